@@ -79,17 +79,14 @@ def exists_within(
     tolerance: int | float,
     *,
     time: str = "t",
+    cell_width: int | float | None = None,
     out: str = "near",
 ) -> DataFrame:
     """Flag left rows that have any right time within the tolerance; right rows are reusable."""
-    matched = nearest_within(left, right, keys, tolerance, time=time, out="_m")
+    matched = nearest_within(left, right, keys, tolerance, time=time, cell_width=cell_width, out="_m")
     return matched.withColumn(out, F.col("_m").isNotNull()).drop("_m")
 
 
-def _clamp_shift(state: Column, shift: Column, low: Column, high: Column) -> Column:
-    return F.least(high, F.greatest(low, state + shift))
-
-
 def match_one_to_one(
     references: DataFrame,
     estimates: DataFrame,
@@ -169,106 +166,131 @@ def match_one_to_one(
         F.lit(0).cast("long").alias("a"), F.lit(-far).cast("long").alias("lo"), F.lit(far).cast("long").alias("hi")
     )
 
-    def compose(acc: Column, s: Column) -> Column:
-        # acc is x -> clamp(x + a, lo, hi); the step clamps to [low, high] and adds the side.
-        side = s["_side"].cast("long")
-        lo = _clamp_shift(acc["lo"], F.lit(0), s["_low"], s["_high"]) + side
-        hi = _clamp_shift(acc["hi"], F.lit(0), s["_low"], s["_high"]) + side
-        return F.struct((acc["a"] + side).alias("a"), lo.alias("lo"), hi.alias("hi"))
+    def clamped(f: Column, low: Column, high: Column) -> Column:
+        """f followed by a clamp to [low, high]; f is x -> clamp(x + a, lo, hi)."""
+        return F.struct(
+            f["a"].alias("a"),
+            F.least(high, F.greatest(low, f["lo"])).alias("lo"),
+            F.least(high, F.greatest(low, f["hi"])).alias("hi"),
+        )
+
+    def shifted(f: Column, by: Column) -> Column:
+        return F.struct((f["a"] + by).alias("a"), (f["lo"] + by).alias("lo"), (f["hi"] + by).alias("hi"))
 
-    composed = chunks.withColumn("_f", F.aggregate("_steps", identity, compose))
-    # Second level: chunk steps of a track are composed in the same bounded way.
-    summaries = composed.select(*keys, "_chunk", F.floor(F.col("_chunk") / chunk_rows).alias("_super"), "_f")
-    entry = F.struct(F.col("_chunk"), F.col("_f"))
+    prefix_type = "array<struct<a:bigint,lo:bigint,hi:bigint>>"
+    nothing = F.struct(identity.alias("f"), F.array().cast(prefix_type).alias("seen"))
 
-    def chain(acc: Column, e: Column) -> Column:
-        f = e["_f"]
+    def walk(acc: Column, s: Column) -> Column:
+        # "seen" keeps the composed step up to each event, so a chunk is folded only once.
+        open_now = clamped(acc["f"], s["_low"], s["_high"])
         return F.struct(
-            (acc["a"] + f["a"]).alias("a"),
-            F.least(f["hi"], F.greatest(f["lo"], acc["lo"] + f["a"])).alias("lo"),
-            F.least(f["hi"], F.greatest(f["lo"], acc["hi"] + f["a"])).alias("hi"),
+            shifted(open_now, s["_side"].cast("long")).alias("f"),
+            F.concat(acc["seen"], F.array(open_now)).alias("seen"),
         )
 
-    supers = summaries.groupBy(*keys, "_super").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    supers = supers.withColumn("_g", F.aggregate("_entries", identity, chain))
-    start_type = "array<struct<chunk:bigint,start:bigint>>"
+    folded = chunks.withColumn("_fold", F.aggregate("_steps", nothing, walk))
+    super_chunk = F.floor(F.col("_chunk") / chunk_rows)
 
-    def run(entries: Column, start: Column, number: str, func: str) -> Column:
-        zero = F.struct(start.cast("long").alias("x"), F.array().cast(start_type).alias("seen"))
+    def then(f: Column, g: Column) -> Column:
+        """f followed by g."""
+        return F.struct(
+            (f["a"] + g["a"]).alias("a"),
+            F.least(g["hi"], F.greatest(g["lo"], f["lo"] + g["a"])).alias("lo"),
+            F.least(g["hi"], F.greatest(g["lo"], f["hi"] + g["a"])).alias("hi"),
+        )
+
+    def starts(entries: Column) -> Column:
+        """Composed step before each entry, in order, and the composition of all."""
+        zero = F.struct(identity.alias("f"), F.array().cast(prefix_type).alias("seen"))
 
-        def advance(acc: Column, e: Column) -> Column:
-            f = e[func]
-            seen = F.concat(
-                acc["seen"], F.array(F.struct(e[number].cast("long").alias("chunk"), acc["x"].alias("start")))
+        def add(acc: Column, e: Column) -> Column:
+            return F.struct(
+                then(acc["f"], e["f"]).alias("f"), F.concat(acc["seen"], F.array(acc["f"])).alias("seen")
             )
-            after = F.least(f["hi"], F.greatest(f["lo"], acc["x"] + f["a"]))
-            return F.struct(after.alias("x"), seen.alias("seen"))
 
-        return F.aggregate(entries, zero, advance)["seen"]
+        return F.aggregate(entries, zero, add)
 
-    tops = supers.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_super"), F.col("_g")))).alias("_tops")
-    )
-    super_starts = tops.select(*keys, F.explode(run(F.col("_tops"), F.lit(0), "_super", "_g")).alias("s")).select(
-        *keys, F.col("s.chunk").alias("_super"), F.col("s.start").alias("_start")
+    # Chunks of a super-chunk, then super-chunks of a key: both lists stay short.
+    groups = (
+        folded.select(*keys, super_chunk.alias("_super"), F.struct("_chunk", F.col("_fold.f").alias("f")).alias("_e"))
+        .groupBy(*keys, "_super")
+        .agg(F.array_sort(F.collect_list("_e")).alias("_entries"))
+        .withColumn("_starts", starts(F.col("_entries")))
     )
+    ordered = Window.partitionBy(*keys).orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.aggregate(F.collect_list("_starts.f").over(ordered), identity, then)
     chunk_starts = (
-        supers.join(super_starts, [*keys, "_super"])
-        .select(*keys, F.explode(run(F.col("_entries"), F.col("_start"), "_chunk", "_f")).alias("s"))
-        .select(*keys, F.col("s.chunk").alias("_chunk"), F.col("s.start").alias("_start"))
-    )
-
-    replay_type = "array<struct<side:int,at:{t},refs:bigint,ests:bigint,state:bigint>>".format(
-        t=dict(timeline.dtypes)["_at"]
-    )
-    zero = F.struct(F.col("_start").alias("x"), F.array().cast(replay_type).alias("seen"))
-
-    def replay(acc: Column, s: Column) -> Column:
-        open_now = _clamp_shift(acc["x"], F.lit(0), s["_low"], s["_high"])
-        row = F.struct(
-            s["_side"].alias("side"),
-            s["_at"].alias("at"),
-            s["_refs"].alias("refs"),
-            s["_ests"].alias("ests"),
-            open_now.alias("state"),
+        groups.select(*keys, "_entries", "_starts", base.alias("_base"))
+        .select(
+            *keys,
+            "_base",
+            F.explode(F.arrays_zip(F.col("_entries").alias("e"), F.col("_starts.seen").alias("s"))).alias("z"),
         )
-        return F.struct((open_now + s["_side"]).alias("x"), F.concat(acc["seen"], F.array(row)).alias("seen"))
-
+        .select(*keys, F.col("z.e._chunk").alias("_chunk"), then(F.col("_base"), F.col("z.s")).alias("_start"))
+    )
+    # Everything starts with nothing open: the state is the composed step applied to 0.
+    zero_state = F.least(F.col("_start.hi"), F.greatest(F.col("_start.lo"), F.col("_start.a")))
     replayed = (
-        chunks.join(chunk_starts, [*keys, "_chunk"])
-        .select(*keys, F.explode(F.aggregate("_steps", zero, replay)["seen"]).alias("r"))
-        .select(*keys, "r.*")
+        folded.join(chunk_starts.select(*keys, "_chunk", zero_state.alias("_x")), [*keys, "_chunk"])
+        .select(
+            *keys,
+            "_x",
+            F.explode(F.arrays_zip(F.col("_steps").alias("s"), F.col("_fold.seen").alias("p"))).alias("z"),
+        )
+        .select(
+            *keys,
+            F.col("z.s._side").alias("side"),
+            F.col("z.s._at").alias("at"),
+            F.col("z.s._refs").alias("refs"),
+            F.col("z.s._ests").alias("ests"),
+            F.least(F.col("z.p.hi"), F.greatest(F.col("z.p.lo"), F.col("_x") + F.col("z.p.a"))).alias("state"),
+        )
     )
-    # The event that closes a pair knows the ordinal of its partner.
+    # The event that closes a pair knows the ordinal of its partner: one aggregation
+    # brings its time to the partner, a second one brings the partner's time back.
     est_closes = (F.col("side") == -1) & (F.col("state") > 0)
     ref_closes = (F.col("side") == 1) & (F.col("state") < 0)
     own = F.when(F.col("side") == 1, F.col("refs")).otherwise(F.col("ests"))
     partner = F.when(est_closes, F.col("refs") - F.col("state") + 1).when(
         ref_closes, F.col("ests") + F.col("state") + 1
     )
-    rows = replayed.select(
-        *keys, "side", F.col("at").alias(time), own.alias("ordinal"), partner.alias("_partner")
-    )
-    closers = rows.filter(F.col("_partner").isNotNull()).select(
-        *keys,
-        (-F.col("side")).alias("side"),
-        F.col("_partner").alias("ordinal"),
-        F.col(time).alias("_closer_t"),
-        F.col("ordinal").alias("_closer_ordinal"),
+    empty_t = F.lit(None).cast(dict(timeline.dtypes)["_at"])
+    empty_n = F.lit(None).cast("long")
+
+    def record(side: Column, ordinal: Column, at: Column, other_t: Column, other: Column) -> Column:
+        return F.struct(
+            side.cast("int").alias("side"),
+            ordinal.alias("ordinal"),
+            at.alias("_t"),
+            other_t.alias("_pt"),
+            other.alias("_pn"),
+        )
+
+    def gather(df: DataFrame, first: Column, second: Column, wanted: Column) -> DataFrame:
+        both = F.when(wanted.isNotNull(), F.array(first, second)).otherwise(F.array(first))
+        return df.select(*keys, F.inline(both)).groupBy(*keys, "side", "ordinal").agg(
+            F.max("_t").alias("_t"), F.max("_pt").alias("_pt"), F.max("_pn").alias("_pn")
+        )
+
+    side, at = F.col("side"), F.col("at")
+    opened = gather(
+        replayed,
+        record(side, own, at, empty_t, empty_n),
+        record(-side, partner, empty_t, at, own),
+        partner,
     )
-    opened = rows.join(closers, [*keys, "side", "ordinal"], "left")
-    back = opened.filter(F.col("_closer_t").isNotNull()).select(
-        *keys,
-        (-F.col("side")).alias("side"),
-        F.col("_closer_ordinal").alias("ordinal"),
-        F.col(time).alias("_opener_t"),
+    closed = gather(
+        opened,
+        record(side, F.col("ordinal"), F.col("_t"), F.col("_pt"), empty_n),
+        record(-side, F.col("_pn"), empty_t, F.col("_t"), empty_n),
+        F.col("_pn"),
     )
-    return opened.join(back, [*keys, "side", "ordinal"], "left").select(
+    return closed.select(
         *keys,
-        F.when(F.col("side") == 1, "ref").otherwise("est").alias("side"),
-        time,
+        F.when(side == 1, "ref").otherwise("est").alias("side"),
+        F.col("_t").alias(time),
         "ordinal",
-        F.coalesce("_closer_t", "_opener_t").alias("partner_t"),
+        F.col("_pt").alias("partner_t"),
     )
 
 
@@ -276,13 +298,13 @@ def match_metrics(matches: DataFrame, keys: Sequence[str], *, time: str = "t", s
     """TP/FP/FN, precision, recall, F1 and absolute errors per key from matched events."""
     is_ref = F.col("side") == "ref"
     hit = is_ref & F.col("partner_t").isNotNull()
-    error = F.when(hit, F.abs(F.col(time) - F.col("partner_t")) / F.lit(scale))
+    error = F.when(hit, F.abs(F.col(time) - F.col("partner_t")))
     grouped = matches.groupBy(*keys).agg(
         F.sum(F.when(is_ref, 1).otherwise(0)).alias("reference_count"),
         F.sum(F.when(is_ref, 0).otherwise(1)).alias("estimated_count"),
         F.sum(F.when(hit, 1).otherwise(0)).alias("true_positive_count"),
-        F.avg(error).alias("mean_error"),
-        F.max(error).alias("max_error"),
+        (F.avg(error) / F.lit(scale)).alias("mean_error"),
+        (F.max(error) / F.lit(scale)).alias("max_error"),
     )
     tp, refs, ests = F.col("true_positive_count"), F.col("reference_count"), F.col("estimated_count")
     return grouped.select(
@@ -426,7 +448,7 @@ def frame_lookup(
     """
     keys = list(keys)
     offsets = F.array(*[F.lit(i).cast("long") for i in range(-radius, radius + 1)])
-    probes = events.withColumn("_base", frame_of.cast("long"))
-    probes = probes.withColumn("frame", F.col("_base") + F.explode(offsets)).drop("_base")
+    around = F.transform(offsets, lambda d: frame_of.cast("long") + d)
+    probes = events.withColumn("frame", F.explode(around))
     hits = probes.join(frames.select(*keys, "frame", value), [*keys, "frame"], "left")
     return hits.groupBy(*events.columns).agg(F.max(value).alias(out))

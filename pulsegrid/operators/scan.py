@@ -41,10 +41,8 @@ def ordered_scan(
     ffill, bfill = dict(ffill or {}), dict(bfill or {})
     keys = list(keys)
     sources = {**lag, **lead, **cumsum, **ffill, **bfill}
-    work = df.withColumn("_cell", cell)
-    for name, expr in sources.items():
-        work = work.withColumn(f"_v_{name}", expr)
-    position = F.struct(*[F.col(c) for c in order])
+    work = df.select("*", cell.alias("_cell"), *[e.alias(f"_v_{n}") for n, e in sources.items()])
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
     inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -54,40 +52,34 @@ def ordered_scan(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
-    aggs: list[Column] = []
-    for name in lag:
-        aggs.append(F.max_by(F.struct(F.col(f"_v_{name}").alias("v")), position).alias(f"_s_{name}"))
-    for name in lead:
-        aggs.append(F.min_by(F.struct(F.col(f"_v_{name}").alias("v")), position).alias(f"_s_{name}"))
-    for name in cumsum:
-        aggs.append(F.sum(f"_v_{name}").alias(f"_s_{name}"))
-    for name in ffill:
-        known = F.when(F.col(f"_v_{name}").isNotNull(), position)
-        aggs.append(F.max_by(F.col(f"_v_{name}"), known).alias(f"_s_{name}"))
-    for name in bfill:
-        known = F.when(F.col(f"_v_{name}").isNotNull(), position)
-        aggs.append(F.min_by(F.col(f"_v_{name}"), known).alias(f"_s_{name}"))
-
-    cells = work.groupBy(*keys, "_cell").agg(*aggs)
+    aggs = [F.max_by(f"_v_{n}", position).alias(f"_s_{n}") for n in lag]
+    aggs += [F.min_by(f"_v_{n}", position).alias(f"_s_{n}") for n in lead]
+    aggs += [F.sum(f"_v_{n}").alias(f"_s_{n}") for n in cumsum]
+    for pick, names in ((F.max_by, ffill), (F.min_by, bfill)):
+        for n in names:
+            known = F.when(F.col(f"_v_{n}").isNotNull(), position)
+            aggs.append(pick(F.col(f"_v_{n}"), known).alias(f"_s_{n}"))
+
     across = Window.partitionBy(*keys).orderBy("_cell")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     after = (
         Window.partitionBy(*keys).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = [F.lag(f"_s_{n}").over(across)["v"].alias(f"_c_{n}") for n in lag]
-    carried += [F.lead(f"_s_{n}").over(across)["v"].alias(f"_c_{n}") for n in lead]
+    carried = [F.lag(f"_s_{n}").over(across).alias(f"_c_{n}") for n in lag]
+    carried += [F.lead(f"_s_{n}").over(across).alias(f"_c_{n}") for n in lead]
     carried += [F.sum(f"_s_{n}").over(before).alias(f"_c_{n}") for n in cumsum]
     carried += [F.last(f"_s_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in ffill]
     carried += [F.last(f"_s_{n}", ignorenulls=True).over(after).alias(f"_c_{n}") for n in bfill]
-    carry = cells.select(*keys, "_cell", *carried)
+    carry = work.groupBy(*keys, "_cell").agg(*aggs).select(*keys, "_cell", *carried)
 
-    local = [F.row_number().over(inside).alias("_rn"), F.lead(F.lit(1)).over(inside).alias("_more")]
+    local = [F.row_number().over(inside).alias("_rn")] if lag else []
+    local += [F.lead(F.lit(1)).over(inside).alias("_more")] if lead else []
     local += [F.lag(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in lag]
     local += [F.lead(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in lead]
     local += [F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in cumsum]
     local += [F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in ffill]
     local += [F.last(f"_v_{n}", ignorenulls=True).over(reverse).alias(f"_l_{n}") for n in bfill]
-    joined = work.select("*", *local).join(carry, [*keys, "_cell"], "left")
+    joined = work.select(*df.columns, "_cell", *local).join(carry, [*keys, "_cell"], "left")
 
     out: list[Column] = []
     for n in lag:
@@ -114,8 +106,22 @@ def gap_islands(
     The first ``order`` column is the time.
     """
     time = order[0]
-    stepped = ordered_scan(df, keys, order, cell, lag={"_prev_t": F.col(time)})
-    opens = F.col("_prev_t").isNull() | (F.col(time) - F.col("_prev_t") > F.lit(gap_limit))
-    flagged = stepped.withColumn("_opens", F.when(opens, 1).otherwise(0))
-    numbered = ordered_scan(flagged, keys, order, cell, cumsum={island: F.col("_opens")})
-    return numbered.drop("_opens", "_prev_t")
+    keys = list(keys)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
+    gap = F.col(time) - F.lag(time).over(inside)
+    celled = df.select("*", cell.alias("_cell"))
+    opened = celled.select("*", F.when(gap > F.lit(gap_limit), 1).otherwise(0).alias("_opens"))
+    local = F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    counted = opened.select(*df.columns, "_cell", local.alias("_inner"))
+    # One row per cell settles whether a run crosses the border.
+    cells = counted.groupBy(*keys, "_cell").agg(
+        F.min(time).alias("_lo"), F.max(time).alias("_hi"), F.max("_inner").alias("_n")
+    )
+    across = Window.partitionBy(*keys).orderBy("_cell")
+    border = F.col("_lo") - F.lag("_hi").over(across)
+    bordered = cells.select(
+        *keys, "_cell", "_n", F.when(border.isNull() | (border > F.lit(gap_limit)), 1).otherwise(0).alias("_b")
+    )
+    earlier = F.sum(F.col("_n") + F.col("_b")).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    base = bordered.select(*keys, "_cell", (F.coalesce(earlier, F.lit(0)) + F.col("_b")).alias("_base"))
+    return counted.join(base, [*keys, "_cell"]).select(*df.columns, (F.col("_base") + F.col("_inner")).alias(island))
