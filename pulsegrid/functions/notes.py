@@ -17,7 +17,7 @@ REST = "0"
 
 def count_chars(notes: Column, chars: str) -> Column:
     """How many slots hold one of the characters."""
-    return F.length(notes) - F.length(F.translate(notes, F.lit(chars), F.lit("")))
+    return F.length(notes) - F.length(F.translate(notes, chars, ""))
 
 
 def normal_count(notes: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.numeric import flag_sum, ratio
+from pulsegrid.functions.numeric import flag_sum, ratio, round_half_even
 from pulsegrid.operators.scan import gap_islands, ordered_scan, time_cell
 from pulsegrid.session import ensure_checkpoint_dir
 
@@ -73,37 +73,43 @@ def same_value_runs(
 def grouped_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
+    wanted: dict[str, tuple[Column, float]],
     cell_width: int | float,
-    index_rule: bool = False,
+    index_rule: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact quantiles per key without gathering a group.
+    """Exact quantiles of several values per key in one pass, without gathering a group.
 
-    Values are counted first, ranked by a running count, and only the one or two values
-    around each target rank are kept. ``index_rule`` takes the value at ``int(n*q)``
-    instead of interpolating.
+    ``wanted`` maps an output name to (value, q); null values are skipped. Values are
+    counted first, ranked by a running count, and only the one or two values around each
+    target rank are kept. Names in ``index_rule`` take the value at ``int(n*q)`` instead
+    of interpolating.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    keys = list(keys)
+    entries = [
+        F.struct(F.lit(name).alias("_name"), value.cast("double").alias("_value"))
+        for name, (value, _q) in wanted.items()
+    ]
+    long_form = rows.select(*keys, F.inline(F.array(*entries))).filter(F.col("_value").isNotNull())
+    counted = long_form.groupBy(*keys, "_name", "_value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = ordered_scan(
-        counted, keys, [value], time_cell(F.col(value), cell_width), cumsum={"_upto": F.col("_n")}
+        counted, [*keys, "_name"], ["_value"], time_cell(F.col("_value"), cell_width), cumsum={"_upto": F.col("_n")}
     )
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = ranked.join(totals, list(keys))
-    first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
+    totals = counted.groupBy(*keys, "_name").agg(F.sum("_n").alias("_total"))
+    placed = ranked.join(totals, [*keys, "_name"])
+    first, last, total = F.col("_upto") - F.col("_n"), F.col("_upto") - 1, F.col("_total")
     aggs = []
-    for name, q in quantiles.items():
-        if index_rule:
-            low = F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(q)))
+    for name, (_value, q) in wanted.items():
+        if name in index_rule:
+            low = F.least(total - 1, F.floor(total * F.lit(q)))
             high, part = low, F.lit(0.0)
         else:
-            spot = (F.col("_total") - 1) * F.lit(q)
+            spot = (total - 1) * F.lit(q)
             low = F.floor(spot)
-            high = F.least(F.col("_total") - 1, low + 1)
-            part = spot - low
-        lower = F.max(F.when((first <= low) & (low <= last), F.col(value)))
-        upper = F.max(F.when((first <= high) & (high <= last), F.col(value)))
-        fraction = F.max(part)
+            high, part = F.least(total - 1, low + 1), spot - low
+        mine = F.col("_name") == name
+        lower = F.max(F.when(mine & (first <= low) & (low <= last), F.col("_value")))
+        upper = F.max(F.when(mine & (first <= high) & (high <= last), F.col("_value")))
+        fraction = F.max(F.when(mine, part))
         aggs.append((lower * (1.0 - fraction) + upper * fraction).alias(name))
     return placed.groupBy(*keys).agg(*aggs)
 
@@ -136,7 +142,7 @@ def interval_stats(
 ) -> DataFrame:
     """Count, mean, variation, stability and coverage of the gaps between events."""
     gaps = intervals(events, keys, time, cell_width)
-    median = grouped_quantiles(gaps, keys, "gap", {"median_gap": 0.5}, gap_cell)
+    median = grouped_quantiles(gaps, keys, {"median_gap": (F.col("gap"), 0.5)}, gap_cell)
     spread = gaps.join(median, list(keys)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("interval_count"),
         F.avg("gap").alias("mean_gap"),
@@ -182,10 +188,17 @@ def period_fit(
     rows = rows.withColumn("_error", error).withColumn("_early", index < size).withColumn(
         "_late", index >= F.col("_count") - 1 - size
     )
-    bucket = interval / 16
-    p95 = grouped_quantiles(rows, keys, "_error", {"p95_error": 0.95}, bucket)
-    early = grouped_quantiles(rows.filter("_early"), keys, "gap", {"_early_gap": 0.5}, bucket)
-    late = grouped_quantiles(rows.filter("_late"), keys, "gap", {"_late_gap": 0.5}, bucket)
+    gap = F.col("gap")
+    ranks = grouped_quantiles(
+        rows,
+        keys,
+        {
+            "p95_error": (F.col("_error"), 0.95),
+            "_early_gap": (F.when(F.col("_early"), gap), 0.5),
+            "_late_gap": (F.when(F.col("_late"), gap), 0.5),
+        },
+        interval / 16,
+    )
     summary = rows.groupBy(*keys).agg(
         F.avg("_error").alias("mean_error"),
         F.max("_error").alias("max_error"),
@@ -197,10 +210,7 @@ def period_fit(
         ),
     )
     return (
-        summary.join(p95, keys)
-        .join(early, keys)
-        .join(late, keys)
-        .select(
+        summary.join(ranks, keys).select(
             *keys,
             "mean_error",
             "p95_error",
@@ -399,14 +409,15 @@ def energy_rank(rows: DataFrame, keys: Sequence[str], position: str, value: str,
 def rolling_best(rows: DataFrame, keys: Sequence[str], position: str, value: str, size: int) -> DataFrame:
     """Start of the window of ``size`` rows with the highest mean; the earliest wins.
 
-    A window shorter than ``size`` only counts when the key has fewer rows. Rows are one
-    per bar, so the window follows the length of a track.
+    A window shorter than ``size`` only counts when the key has fewer rows. Means are
+    compared at nine digits. Rows are one per bar, so the window follows the length of a
+    track.
     """
     ordered = Window.partitionBy(*keys).orderBy(position)
     scored = rows.select(
         *keys,
         position,
-        F.avg(value).over(ordered.rowsBetween(0, size - 1)).alias("_mean"),
+        round_half_even(F.avg(value).over(ordered.rowsBetween(0, size - 1)), 9).alias("_mean"),
         F.row_number().over(ordered).alias("_rn"),
         F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_rows"),
     )
