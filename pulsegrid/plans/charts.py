@@ -352,7 +352,7 @@ WINDOW w AS (PARTITION BY track ORDER BY bar ROWS BETWEEN CURRENT ROW AND 7 FOLL
 )
 cte(
     "peaks",
-    """SELECT track, arg_min(bar, (-round(m, 9), bar)) AS window_start, max(m) AS window_mean FROM rolled
+    """SELECT track, arg_min(bar, (-round(m, 9), bar)) AS window_start, round_even(max(m) * 1000000000, 0) / 1000000000 AS window_mean FROM rolled
 WHERE rn + 7 <= nb OR (nb < 8 AND rn = 1) GROUP BY track""",
     "rolled",
 )
