@@ -543,6 +543,12 @@ def candidates(points: DataFrame, salience: DataFrame, step: int = 1) -> DataFra
     return scored.withColumn("rank", F.row_number().over(order)).withColumn("reliable", c("priority") < 4)
 
 
+def rank_on_step(ranked: DataFrame, step: int) -> DataFrame:
+    """Candidates on the ticks of a coarser step, ranked anew."""
+    order = Window.partitionBy(*BAR).orderBy("rank")
+    return ranked.filter(c("tick") % step == 0).withColumn("rank", F.row_number().over(order))
+
+
 def accent_candidates(ranked: DataFrame) -> DataFrame:
     """Candidates that carry an accent, ranked by it inside their bar."""
     hinted = F.array_contains("reasons", "accent:downbeat") | F.array_contains("reasons", "accent:hint")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.plans.registry import cte
+from pulsegrid.plans.stages import stage
 
 EPOCH_US = 1704067200000000
 SECOND = 1_000_000
@@ -99,6 +100,11 @@ def bar_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chart_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts as a staged table."""
+    return stage(spark, sf_dir, "chart", lambda: build_chart_bars(spark, sf_dir))
+
+
+def build_chart_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, bar, notes, start_s, end_s, balloon_counts.
 
     A bar is written at the coarsest of 16, 24 and 48 slots that holds its notes.
@@ -133,6 +139,11 @@ def chart_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence points as a staged table."""
+    return stage(spark, sf_dir, "evidence", lambda: build_evidence(spark, sf_dir))
+
+
+def build_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse evidence points: one row per track, bar and tick that has any line."""
 
     def top(column: str, scale: float, condition: Column | None = None) -> Column:

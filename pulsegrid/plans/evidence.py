@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import binning, evidence as ev
 from pulsegrid.plans.bindings import BEAT, DAY, HOUR, SECOND, TICKS, bar_spine, evidence, lines, timeline
 from pulsegrid.plans.registry import cte, plan
+from pulsegrid.plans.stages import stage
 
 ROLES = ("stable", "build_up", "peak", "drop", "breakdown", "cadence", "fill", "stable")
 
@@ -20,6 +21,11 @@ def sparse(spark, sf_dir):
 
 
 def bar_context(spark, sf_dir):
+    """Bar context as a staged table."""
+    return stage(spark, sf_dir, "context", lambda: build_bar_context(spark, sf_dir))
+
+
+def build_bar_context(spark, sf_dir):
     """Bar rows with energy, source activity and a rule-made structure context."""
     points = evidence(spark, sf_dir)
     energy = binning.bar_energy(points, ["track"], 16, TICKS, BEAT).drop("accents")
@@ -79,13 +85,17 @@ def grid(spark, sf_dir):
 
 
 def peaks(spark, sf_dir):
-    return ev.with_peaks(grid(spark, sf_dir))
+    """Dense evidence with peak flags, staged: it feeds the scores, the bars and the bursts."""
+    return stage(spark, sf_dir, "peaks", lambda: ev.with_peaks(grid(spark, sf_dir)))
 
 
 def scored(spark, sf_dir):
     """(peaks, hit points)"""
     found = peaks(spark, sf_dir)
-    return found, ev.hit_scores(found, ev.transient_reference(found))
+    points = stage(
+        spark, sf_dir, "hits", lambda: ev.hit_scores(found, ev.transient_reference(found))
+    )
+    return found, points
 
 
 def classed(spark, sf_dir):
@@ -94,9 +104,21 @@ def classed(spark, sf_dir):
     return found, ev.class_scores(ev.accent_scores(points), BEAT), ev.bar_salience(found, points)
 
 
+def all_candidates(spark, sf_dir):
+    """Classified candidates of every tick, staged."""
+
+    def build():
+        _, points, salience = classed(spark, sf_dir)
+        kept = ["track", "bar", "tick", "hit", "confidence", "accent", "activity", "don_preference", "ka_preference", "reasons"]
+        return ev.candidates(points.select(*kept), salience)
+
+    return stage(spark, sf_dir, "candidates", build)
+
+
 def ranked(spark, sf_dir, step=1):
-    _, points, salience = classed(spark, sf_dir)
-    return ev.candidates(points, salience, step)
+    """Ranked candidates; a coarser step re-ranks the ticks that stay."""
+    found = all_candidates(spark, sf_dir)
+    return found if step == 1 else ev.rank_on_step(found, step)
 
 
 # SQL side ------------------------------------------------------------------------------

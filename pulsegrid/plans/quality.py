@@ -11,6 +11,7 @@ from pulsegrid.plans.bindings import TICKS, chart_bars, evidence
 from pulsegrid.plans.charts import COURSES, notes_of
 from pulsegrid.plans.evidence import _EDGE, _r, ROLES, bar_context, bursts_of, event_bars, ranked
 from pulsegrid.plans.registry import cte, plan
+from pulsegrid.plans.stages import stage
 
 CELL = 96.0
 
@@ -51,6 +52,11 @@ FROM (SELECT *, ['silent', 'rest', 'normal', 'sparse', 'fill', 'dense', 'normal'
 
 
 def hinted_bars(spark, sf_dir):
+    """Density hints of the daily bars, staged."""
+    return stage(spark, sf_dir, "hints", lambda: build_hinted_bars(spark, sf_dir))
+
+
+def build_hinted_bars(spark, sf_dir):
     bars = binning.edge_runs(event_bars(spark, sf_dir), ["track"], F.col("silent") | F.col("noise"))
     b = F.col("bar").cast("int")
 
@@ -291,6 +297,11 @@ cte(
 
 
 def reliable_bursts(spark, sf_dir):
+    """Reliable bursts with their time span, staged."""
+    return stage(spark, sf_dir, "bursts", lambda: build_reliable_bursts(spark, sf_dir))
+
+
+def build_reliable_bursts(spark, sf_dir):
     rows = bursts_of(spark, sf_dir).filter(ev.reliable_burst())
     base = F.col("bar") * 48.0
     return rows.select(
