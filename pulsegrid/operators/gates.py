@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.numeric import flag_sum, ratio
+
 
 def timeline_hash(notes: DataFrame, keys: Sequence[str], bar: str, time: str) -> DataFrame:
     """First 16 hex digits of the SHA-256 of a chart's ordered times at nine digits.
@@ -21,3 +23,213 @@ def timeline_hash(notes: DataFrame, keys: Sequence[str], bar: str, time: str) ->
         F.sum("_n").alias("note_count"),
         F.substring(F.sha2(F.array_join(ordered, ","), 256), 1, 16).alias("times_hash"),
     )
+
+
+def metric_gate(baseline: DataFrame, current: DataFrame, rules: DataFrame) -> DataFrame:
+    """Baseline against current metrics by name with the rule of each metric.
+
+    Rules: ``above``, ``below``, ``at_least``, ``at_most``, ``equal`` against the baseline;
+    ``minimum`` and ``maximum`` against a fixed limit. A missing side fails.
+    """
+    joined = baseline.withColumnRenamed("value", "baseline").join(
+        current.withColumnRenamed("value", "current"), "metric", "full"
+    )
+    b, c, rule = F.col("baseline"), F.col("current"), F.col("rule")
+    passed = (
+        F.when(rule == "above", c > b)
+        .when(rule == "below", c < b)
+        .when(rule == "at_least", c >= b)
+        .when(rule == "at_most", c <= b)
+        .when(rule == "equal", c == b)
+        .when(rule == "minimum", c >= F.col("threshold"))
+        .when(rule == "maximum", c <= F.col("threshold"))
+    )
+    delta = F.rint((c - b) * 1e6) / 1e6
+    return rules.join(joined, "metric", "left").select(
+        "metric", "rule", "baseline", "current", delta.alias("delta"), F.coalesce(passed, F.lit(False)).alias("passed")
+    )
+
+
+def determinism(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Whether two result sets hold the same rows, copies included; one row."""
+    names = first.columns
+    both = first.withColumn("_d", F.lit(1)).unionByName(second.select(*names).withColumn("_d", F.lit(-1)))
+    balance = both.groupBy(*names).agg(
+        F.sum("_d").alias("_b"),
+        F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("_f"),
+        F.sum(F.when(F.col("_d") < 0, 1).otherwise(0)).alias("_s"),
+    )
+    return balance.agg(
+        F.coalesce(F.sum("_f"), F.lit(0)).alias("first_rows"),
+        F.coalesce(F.sum("_s"), F.lit(0)).alias("second_rows"),
+        F.coalesce(F.sum(F.abs("_b")), F.lit(0)).alias("different_rows"),
+        F.coalesce(F.bool_and(F.col("_b") == 0), F.lit(True)).alias("identical"),
+    )
+
+
+def artifact_mismatches(expected: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Artifacts missing from a rebuild, not expected, or with another hash."""
+    both = expected.withColumnRenamed("hash", "_e").join(rebuilt.withColumnRenamed("hash", "_r"), "name", "full")
+    code = (
+        F.when(F.col("_r").isNull(), "missing-rebuild")
+        .when(F.col("_e").isNull(), "missing-committed")
+        .when(F.col("_e") != F.col("_r"), "content-mismatch")
+    )
+    return both.select("name", code.alias("code")).filter(F.col("code").isNotNull())
+
+
+def monotonic_check(rows: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Whether values never fall along a short fixed order, such as the courses of a source."""
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
+    stepped = rows.select(*keys, (before.isNull() | (F.col(value) >= before)).alias("_ok"))
+    return stepped.groupBy(*keys).agg(F.bool_and("_ok").alias("monotonic"), F.count(F.lit(1)).alias("steps"))
+
+
+def plan_mismatch(bars: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bars on one side only, or with another slot count than planned."""
+    keys = list(keys)
+    have = bars.select(*keys, "bar", F.length("notes").alias("actual"))
+    both = have.join(plan.select(*keys, "bar", F.col("resolution").alias("expected")), [*keys, "bar"], "full")
+    return both.filter(~F.col("actual").eqNullSafe(F.col("expected")))
+
+
+def extreme_gate(report: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Charts that fail an extreme rule: silent activity, unsupported notes, strong onsets ignored."""
+    c = F.col
+    codes = F.array_compact(
+        F.array(
+            F.when(c("silent_violation_count") > 0, "silent-range-violation"),
+            F.when(
+                (c("note_evaluated_count") >= 8) & (c("unsupported_count") >= 4) & (c("unsupported_rate") >= 0.5),
+                "unsupported-note-rate",
+            ),
+            F.when(
+                (c("bar_count") >= 4) & (c("strong_evaluated_count") >= 8) & (c("strong_responded_count") == 0),
+                "strong-onset-response",
+            ),
+        )
+    )
+    return report.select(*keys, F.explode(codes).alias("code"))
+
+
+def metric_coverage(metrics: DataFrame, required: Sequence[str], keys: Sequence[str], examples: int = 8) -> DataFrame:
+    """First charts that lack a required metric, with the missing names."""
+    keys = list(keys)
+    names = F.array(*[F.lit(r) for r in required])
+    have = metrics.groupBy(*keys).agg(F.collect_set(F.when(F.col("metric").isin(*required), F.col("metric"))).alias("_have"))
+    lacking = have.select(*keys, F.array_join(F.array_except(names, F.col("_have")), ",").alias("missing")).filter("missing != ''")
+    return lacking.orderBy(*keys).limit(examples)
+
+
+def quality_gate(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Load rules on charts of at least 8 bars: too sparse on average, too many sparse bars,
+    empty runs inside, per density class.
+
+    ``bars`` carry hits, in_average and density_class.
+    """
+    keys = list(keys)
+    average = F.when(F.col("density_class") == "max", 8.5).when(F.col("density_class") == "high", 6.5)
+    lowest = F.when(F.col("density_class") == "max", 4.0).when(F.col("density_class") == "high", 3.0)
+    counted = F.col("in_average")
+    sums = bars.groupBy(*keys, "density_class").agg(
+        F.count(F.lit(1)).alias("_bars"),
+        F.sum(F.when(counted, 1).otherwise(0)).alias("_counted"),
+        F.avg(F.when(counted, F.col("hits"))).alias("_mean"),
+        F.sum(F.when(counted & (F.col("hits") < lowest), 1).otherwise(0)).alias("_sparse"),
+        F.sum(F.when(counted & (F.col("hits") == 0), 1).otherwise(0)).alias("_empty"),
+    )
+    judged = sums.filter((F.col("_bars") >= 8) & (F.col("_counted") > 0) & average.isNotNull())
+    codes = F.array_compact(
+        F.array(
+            F.when(F.col("_mean") < average, "too-sparse"),
+            F.when(F.col("_sparse") > F.greatest(F.lit(1), F.floor(F.col("_counted") / 12)), "sparse-bars"),
+            F.when(F.col("_empty") > 0, "empty-bars"),
+        )
+    )
+    return judged.select(*keys, F.explode(codes).alias("code"))
+
+
+def ratio_rollup(rows: DataFrame, group: str, metrics: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """Ratio of sums per group and overall, with the default of each metric for an empty denominator."""
+    rolled = rows.groupingSets([[group], []], group).agg(
+        F.grouping(group).alias("_all"),
+        *[F.sum(n).alias(f"_n_{m}") for m, (n, _d, _e) in metrics.items()],
+        *[F.sum(d).alias(f"_d_{m}") for m, (_n, d, _e) in metrics.items()],
+    )
+    return rolled.select(
+        F.when(F.col("_all") == 1, "all").otherwise(F.col(group)).alias(group),
+        *[
+            ratio(F.col(f"_n_{m}"), F.col(f"_d_{m}"), empty=e, digits=6).alias(m)
+            for m, (_n, _d, e) in metrics.items()
+        ],
+    )
+
+
+def point_audit(points: DataFrame, bars: DataFrame, ticks: int = 48) -> DataFrame:
+    """Contract of scored points: ticks in range and unique, silence empty, confidence and reason agree."""
+    place = ["track", "bar"]
+    per_tick = points.groupBy(*place, "tick").agg(F.count(F.lit(1)).alias("_n"))
+    per_bar = per_tick.groupBy(*place).agg(
+        F.sum("_n").alias("_points"),
+        flag_sum(F.col("_n") > 1).alias("_twice"),
+        flag_sum((F.col("tick") < 0) | (F.col("tick") >= ticks)).alias("_outside"),
+    )
+    reason, trust = F.col("fallback_reason"), F.col("bar_confidence")
+    joined = bars.join(per_bar, place, "left").fillna(0, ["_points", "_twice", "_outside"])
+    empty_kind = reason.isin("edge-silence", "silent-bar", "no-rhythmic-evidence")
+    wrong = (
+        (reason.isNull() & (trust < 0.45))
+        | ((reason == "low-confidence") & (trust >= 0.45))
+        | (empty_kind & (F.col("_points") > 0))
+    )
+    return joined.groupBy("track").agg(
+        F.sum("_points").alias("point_count"),
+        F.sum("_outside").alias("invalid_grid_count"),
+        F.sum("_twice").alias("duplicate_grid_count"),
+        F.sum(F.when(F.col("edge"), F.col("_points")).otherwise(0)).alias("edge_violation_count"),
+        flag_sum(F.coalesce(wrong, F.lit(False))).alias("reason_violation_count"),
+        flag_sum(reason.isNotNull()).alias("fallback_bar_count"),
+        ratio(F.sum("_points"), F.count(F.lit(1)) * ticks, digits=6).alias("sparse_ratio"),
+    )
+
+
+def notices(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Notices of an analysis: one row per code that applies, with its level."""
+    c = F.col
+
+    def note(condition: Column, code: str | Column, level: str = "warning") -> Column:
+        name = code if isinstance(code, Column) else F.lit(code)
+        return F.when(condition, F.struct(name.alias("code"), F.lit(level).alias("level")))
+
+    manual = F.contains(F.lower("analyzer"), F.lit("manual-override"))
+    asked = c("requested_tracker")
+    adopted = asked & c("partial_adoption")
+    lost = asked & ~c("partial_adoption") & ~F.contains(F.lower("analyzer"), F.lit("beatnet"))
+    rejected = lost & (c("tracker_status") == "complete") & c("tracker_rejected")
+    reason = F.coalesce("source_reason", F.lit("unknown"))
+    fallback = (
+        F.when(reason.startswith("missing-dependency:"), "instrument-dependencies-unavailable")
+        .when(reason.startswith("missing-model:") | reason.startswith("invalid-model-manifest"), "instrument-models-missing")
+        .when(reason.startswith("device-unavailable:"), "instrument-device-unavailable")
+        .otherwise("instrument-analysis-fallback")
+    )
+    sources, status = c("requested_sources"), c("source_status")
+    classifier = (status == "complete") & c("stem_profile") & c("source_reason").isNotNull()
+    found = F.array_compact(
+        F.array(
+            note(adopted, "beatnet-meter-adopted", "info"),
+            note(rejected, "beatnet-candidate-rejected"),
+            note(lost & ~rejected, "beatnet-fallback"),
+            note(c("tempo_suspected"), "tempo-variation-suspected"),
+            note(c("spectral_status") == "fallback", "spectral-analysis-fallback"),
+            note(sources & classifier, "instrument-classifier-fallback"),
+            note(sources & ~classifier & (status == "complete"), "instrument-analysis-succeeded", "info"),
+            note(sources & (status == "partial"), "instrument-analysis-partial"),
+            note(sources & ~status.isin("complete", "partial"), fallback),
+            note(c("tempo_ambiguous") & ~manual, "tempo-arbitration-ambiguous"),
+            note(~c("tempo_ambiguous") & ~c("tempo_accepted") & ~manual, "tempo-refinement-fallback"),
+            note((c("bar_count") >= 4) & (c("structure_confidence") < 0.35), "structure-low-confidence"),
+            note(c("resolution_evidence") == 0, "resolution-evidence-fallback"),
+        )
+    )
+    return states.select(*keys, F.inline(found))
