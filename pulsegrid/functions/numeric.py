@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 
 def round_half_even(value: Column, digits: int = 0) -> Column:
-    """Half-even rounding that stays in generated code."""
+    """Half-even rounding that stays in generated code.
+
+    Below nine digits the value is first settled at nine, so the order in which a sum was
+    added up cannot decide a tie.
+    """
     if digits == 0:
         return F.rint(value)
+    if digits < 9:
+        value = F.rint(value * F.lit(1e9)) / F.lit(1e9)
     scale = float(10**digits)
     return F.rint(value * F.lit(scale)) / F.lit(scale)
 

@@ -23,11 +23,6 @@ NOISE_SUSTAINED = 0.15
 SPARSE_MINIMUM = 0.05
 
 
-def settled(value: Column, digits: int) -> Column:
-    """Round at nine digits first, so the order of a sum cannot decide a tie."""
-    return round_half_even(round_half_even(value, 9), digits)
-
-
 def bar_grid(
     events: DataFrame,
     keys: Sequence[str],
@@ -74,7 +69,7 @@ def bar_summary(points: DataFrame, keys: Sequence[str], peaks: Sequence[str], me
     strongest = F.greatest(*[F.col(c) for c in peaks])
     return points.groupBy(*keys, "bar").agg(
         *[round_half_even(F.max(c), 3).alias(c) for c in peaks],
-        *[settled(F.avg(c), 3).alias(c) for c in means],
+        *[round_half_even(F.avg(c), 3).alias(c) for c in means],
         flag_sum(strongest >= SPARSE_MINIMUM).alias("grid_count"),
     )
 
@@ -103,10 +98,10 @@ def bar_loudness(frames: DataFrame, keys: Sequence[str], time: Column, rms: Colu
     return near.join(top, keys).select(
         *keys,
         "bar",
-        settled(level, 3).alias("rms_dbfs"),
-        settled(dbfs(F.col("_peak")), 3).alias("peak_rms_dbfs"),
-        settled(level - dbfs(F.col("_top")), 3).alias("relative_rms_db"),
-        settled(F.when(F.col("_peak") <= LOUDNESS_EPSILON, 0.0).otherwise(F.col("_near")), 3).alias("sustained_ratio"),
+        round_half_even(level, 3).alias("rms_dbfs"),
+        round_half_even(dbfs(F.col("_peak")), 3).alias("peak_rms_dbfs"),
+        round_half_even(level - dbfs(F.col("_top")), 3).alias("relative_rms_db"),
+        round_half_even(F.when(F.col("_peak") <= LOUDNESS_EPSILON, 0.0).otherwise(F.col("_near")), 3).alias("sustained_ratio"),
     )
 
 
@@ -132,7 +127,7 @@ def bar_energy(points: DataFrame, keys: Sequence[str], slots: int, ticks: int, b
     energy = F.greatest(
         F.least(F.lit(1.0), F.col("_strength") / slots), F.least(F.lit(1.0), F.col("_activity") / ticks)
     )
-    return sums.select(*keys, "bar", settled(energy, 3).alias("energy"), "onset_count", accents.alias("accents"))
+    return sums.select(*keys, "bar", round_half_even(energy, 3).alias("energy"), "onset_count", accents.alias("accents"))
 
 
 def silent_bar(onsets: Column, energy: Column, mean_activity: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.numeric import is_finite, ratio
 from pulsegrid.operators.scan import ordered_scan, time_cell
+from pulsegrid.session import plain_unions
 
 FOLD_CHUNK = 512
 
@@ -35,6 +36,7 @@ def nearest_within(
     """
     if tolerance < 0:
         raise ValueError("tolerance must not be negative")
+    plain_unions(left.sparkSession)
     keys = list(keys)
     width = max(cell_width or 0, tolerance * 8, 1 if isinstance(tolerance, int) else 1e-6)
     cell = time_cell(F.col(time), width)

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.session import plain_unions
+
 
 def time_cell(value: Column, width: int | float) -> Column:
     return F.floor(value / F.lit(width)).cast("long")
@@ -40,6 +42,7 @@ def ordered_scan(
     lag, lead, cumsum = dict(lag or {}), dict(lead or {}), dict(cumsum or {})
     ffill, bfill = dict(ffill or {}), dict(bfill or {})
     keys = list(keys)
+    plain_unions(df.sparkSession)
     sources = {**lag, **lead, **cumsum, **ffill, **bfill}
     work = df.select("*", cell.alias("_cell"), *[e.alias(f"_v_{n}") for n, e in sources.items()])
     position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])

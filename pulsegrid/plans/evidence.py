@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.numeric import round_half_even
 from pulsegrid.operators import binning, evidence as ev
 from pulsegrid.plans.bindings import BEAT, DAY, HOUR, SECOND, TICKS, bar_spine, evidence, lines, timeline
 from pulsegrid.plans.registry import cte, plan
@@ -31,7 +32,7 @@ def build_bar_context(spark, sf_dir):
     energy = binning.bar_energy(points, ["track"], 16, TICKS, BEAT).drop("accents")
     means = points.groupBy("track", "bar").agg(
         *[
-            binning.settled(F.avg(src), 3).alias(out)
+            round_half_even(F.avg(src), 3).alias(out)
             for src, out in (
                 ("vocal", "vocal_activity"),
                 ("drum", "drum_activity"),
@@ -125,13 +126,11 @@ def ranked(spark, sf_dir, step=1):
 
 
 def _r(x, n):
+    if n < 9:
+        x = f"round_even(({x}) * 1000000000, 0) / 1000000000"
     return f"(round_even(({x}) * {10**n}, 0) / {10**n})"
 
 
-def _settle(x, n):
-    return _r(_r(x, 9), n)
-
-
 def _unit(x):
     return f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {x}))"
 
@@ -162,10 +161,10 @@ def _if(cond, value):
 
 cte(
     "be",
-    f"""SELECT track, bar, {_settle("greatest(least(1, sum(CASE WHEN onset THEN strength ELSE 0 END) / 16), least(1, sum(activity) / 48))", 3)} AS energy,
+    f"""SELECT track, bar, {_r("greatest(least(1, sum(CASE WHEN onset THEN strength ELSE 0 END) / 16), least(1, sum(activity) / 48))", 3)} AS energy,
   sum(onset::INT)::BIGINT AS onset_count, max(CASE WHEN onset THEN strength END) AS best, max((onset AND tick % 12 = 0)::INT) AS has_beat,
-  {_settle("avg(vocal)", 3)} AS vocal_activity, {_settle("avg(drum)", 3)} AS drum_activity, {_settle("avg(bass)", 3)} AS bass_activity,
-  {_settle("avg(accompaniment)", 3)} AS accompaniment_activity, {_settle("avg(high)", 3)} AS brightness, {_settle("avg(mid)", 3)} AS percussive_ratio,
+  {_r("avg(vocal)", 3)} AS vocal_activity, {_r("avg(drum)", 3)} AS drum_activity, {_r("avg(bass)", 3)} AS bass_activity,
+  {_r("avg(accompaniment)", 3)} AS accompaniment_activity, {_r("avg(high)", 3)} AS brightness, {_r("avg(mid)", 3)} AS percussive_ratio,
   sum(activity) / 48 AS mean_activity FROM evid GROUP BY track, bar""",
     "evid",
 )
@@ -358,7 +357,7 @@ def frames(spark, sf_dir):
     "bar_summary",
     f"""
     SELECT track, bar, {_r("max(low)", 3)} AS low, {_r("max(mid)", 3)} AS mid, {_r("max(high)", 3)} AS high, {_r("max(flux)", 3)} AS flux,
-      {_settle("avg(activity)", 3)} AS activity, {_settle("avg(drum)", 3)} AS drum, sum((greatest(low, mid, high, flux) >= 0.05)::INT)::BIGINT AS grid_count
+      {_r("avg(activity)", 3)} AS activity, {_r("avg(drum)", 3)} AS drum, sum((greatest(low, mid, high, flux) >= 0.05)::INT)::BIGINT AS grid_count
     FROM evid GROUP BY track, bar
     """,
     ("evid",),
@@ -373,8 +372,8 @@ def bar_summary(spark, sf_dir):
     WITH f AS (SELECT track, day - 10 AS rel, (q * q * q) / 125000.0::DOUBLE AS x FROM ln), m AS (SELECT track, max(x) AS top FROM f GROUP BY track),
     b AS (SELECT track, CAST(floor(rel / 48.0::DOUBLE) AS INTEGER) AS bar, x FROM f WHERE rel >= 0), g AS (SELECT track, bar, avg(x * x) AS pw, max(x) AS pkx FROM b GROUP BY ALL),
     n AS (SELECT b.track, b.bar, any_value(pw) AS pw, any_value(pkx) AS pkx, avg((x >= pkx * 0.1::DOUBLE)::INT) AS near FROM b JOIN g ON g.track = b.track AND g.bar = b.bar GROUP BY ALL)
-    SELECT n.track, n.bar, {_settle("20 * log10(greatest(sqrt(pw), 1e-6))", 3)} AS rms_dbfs, {_settle("20 * log10(greatest(pkx, 1e-6))", 3)} AS peak_rms_dbfs,
-      {_settle("20 * log10(greatest(sqrt(pw), 1e-6)) - 20 * log10(greatest(top, 1e-6))", 3)} AS relative_rms_db, {_settle("CASE WHEN pkx <= 1e-6 THEN 0 ELSE near END", 3)} AS sustained_ratio
+    SELECT n.track, n.bar, {_r("20 * log10(greatest(sqrt(pw), 1e-6))", 3)} AS rms_dbfs, {_r("20 * log10(greatest(pkx, 1e-6))", 3)} AS peak_rms_dbfs,
+      {_r("20 * log10(greatest(sqrt(pw), 1e-6)) - 20 * log10(greatest(top, 1e-6))", 3)} AS relative_rms_db, {_r("CASE WHEN pkx <= 1e-6 THEN 0 ELSE near END", 3)} AS sustained_ratio
     FROM n JOIN m USING (track)
     """,
     ("ln",),
@@ -514,7 +513,7 @@ def evidence_grid(spark, sf_dir):
 )
 def evidence_peaks(spark, sf_dir):
     found = peaks(spark, sf_dir).filter("onset_peak OR spectral_peak")
-    return found.select("track", "bar", "tick", "onset_peak", "spectral_peak", ev.round_half_even(F.col("margin"), 6).alias("margin"))
+    return found.select("track", "bar", "tick", "onset_peak", "spectral_peak", round_half_even(F.col("margin"), 6).alias("margin"))
 
 
 @plan("transient_p75", "SELECT track, transient_p75 FROM p75", ("p75",))

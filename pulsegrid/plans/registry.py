@@ -7,9 +7,12 @@ named common table expressions, so that both sides start from the raw tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.session import plain_unions
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 PLANS: dict[str, Plan] = {}
@@ -44,13 +47,22 @@ def with_ctes(needs: tuple[str, ...], body: str, recursive: bool = False) -> str
     return f"{head} {parts}\n{text}"
 
 
+def _prepared(func: Plan) -> Plan:
+    @wraps(func)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        plain_unions(spark)
+        return func(spark, sf_dir)
+
+    return run
+
+
 def plan(name: str, sql: str | None = None, needs: tuple[str, ...] = (), recursive: bool = False):
     """Register a plan, with its SQL counterpart where one exists."""
 
     def register(func: Plan) -> Plan:
         if name in PLANS:
             raise ValueError(f"plan {name} is registered twice")
-        PLANS[name] = func
+        PLANS[name] = _prepared(func)
         if sql is not None:
             SQL[name] = with_ctes(needs, sql, recursive)
         return func

@@ -28,6 +28,16 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
     )
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Plan unions without a claimed output partitioning.
+
+    Spark 4.1 may take a union of co-partitioned inputs as partitioned by the keys and
+    leave out the exchange of the aggregate above it; groups can then be split over
+    partitions. The unions of this package sit below such aggregates and windows.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a temporary one only where none is set."""
     context = spark.sparkContext
