@@ -165,3 +165,17 @@ def test_quantiles(spark):
         low, high = values[int(spot)], values[min(len(values) - 1, int(spot) + 1)]
         assert abs(row.median - (low + (high - low) * (spot - int(spot)))) < 1e-9
         assert row.p95 == values[min(len(values) - 1, int(len(values) * 0.95))]
+
+
+def test_tempo_scan_paths_agree(spark, monkeypatch):
+    from pulsegrid.operators import tempo
+
+    rng = random.Random(8)
+    rows = [(k, i * 0.5 + rng.random() / 50, rng.randint(1, 9)) for k in range(2) for i in range(40)]
+    df = spark.createDataFrame(rows, "track long, s double, w long")
+    runs = []
+    for few in (4096, 5):
+        monkeypatch.setattr(tempo, "FEW_ONSETS", few)
+        runs.append(sorted(map(tuple, tempo.tempo_scan(df, ["track"], F.col("s"), F.col("w"), 20.0, 118.0).collect())))
+    assert runs[0] == runs[1]
+    assert all(abs(row[3] - 120.0) <= 1.0 for row in runs[0])
