@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import notes as N
+from pulsegrid.functions.numeric import round_half_even
 from pulsegrid.operators import charts
 from pulsegrid.plans.bindings import TICKS, chart_bars
 from pulsegrid.plans.registry import cte, plan
@@ -72,7 +73,7 @@ def note_times(spark, sf_dir):
     ch AS (SELECT track, bar, pos, 60 + q * 2.0::DOUBLE AS nb, lead(pos) OVER (PARTITION BY track, bar ORDER BY pos) AS nx FROM nt WHERE note IN ('3', '4')),
     s AS (SELECT c.track, c.bar, c.res, c.bpm, min(ch.pos) AS first_pos, sum((coalesce(ch.nx, c.res) - ch.pos) / c.res::DOUBLE * 240.0::DOUBLE / ch.nb) AS rest
       FROM c LEFT JOIN ch ON ch.track = c.track AND ch.bar = c.bar GROUP BY ALL)
-    SELECT track, bar, round_even((coalesce(first_pos, res) / res::DOUBLE * 240.0::DOUBLE / bpm + coalesce(rest, 0)) * 1000000, 0) / 1000000 AS duration_s FROM s
+    SELECT track, bar, round_even(round_even(((coalesce(first_pos, res) / res::DOUBLE * 240.0::DOUBLE / bpm + coalesce(rest, 0))) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS duration_s FROM s
     """,
     ("nt", "bars"),
 )
@@ -93,7 +94,7 @@ def bar_duration(spark, sf_dir):
         lambda x: F.struct((x["tick"] * F.col("res") / TICKS).cast("int").alias("position"), x["bpm"].alias("bpm")),
     )
     duration = piecewise_duration(F.col("res"), F.lit(4.0), 60.0 + (F.col("bar") % 5) * 12.0, scaled)
-    return joined.select("track", "bar", (F.rint(duration * 1e6) / 1e6).alias("duration_s"))
+    return joined.select("track", "bar", round_half_even(duration, 6).alias("duration_s"))
 
 
 @plan(
@@ -319,9 +320,9 @@ def local_excess(spark, sf_dir):
     h AS (SELECT source_id, course, string_agg(res || ':' || c, ',' ORDER BY res) AS resolution_counts FROM (SELECT source_id, course, res, count(*) AS c FROM b GROUP BY ALL) GROUP BY ALL)
     SELECT b.source_id, b.course, any_value(level) AS level, count(*) AS bar_count, any_value(resolution_counts) AS resolution_counts,
       sum((pr <> res)::INT)::BIGINT AS resolution_change_count, sum(n)::BIGINT AS normal_note_count, sum(sp)::BIGINT AS special_note_count,
-      sum(48.0::DOUBLE) AS playable_seconds, round_even(sum(n) / sum(48.0::DOUBLE) * 1000000, 0) / 1000000 AS average_nps,
-      round_even(max(n / 48.0::DOUBLE) * 1000000, 0) / 1000000 AS peak_bar_nps, sum(gogo::INT)::BIGINT AS gogo_bar_count,
-      coalesce(round_even(sum(CASE WHEN gogo THEN n END) / sum(CASE WHEN gogo THEN 48.0::DOUBLE END) * 1000000, 0) / 1000000, 0) AS gogo_average_nps
+      sum(48.0::DOUBLE) AS playable_seconds, round_even(round_even((sum(n) / sum(48.0::DOUBLE)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS average_nps,
+      round_even(round_even((max(n / 48.0::DOUBLE)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS peak_bar_nps, sum(gogo::INT)::BIGINT AS gogo_bar_count,
+      coalesce(round_even(round_even((sum(CASE WHEN gogo THEN n END) / sum(CASE WHEN gogo THEN 48.0::DOUBLE END)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000, 0) AS gogo_average_nps
     FROM b JOIN h ON h.source_id = b.source_id AND h.course = b.course GROUP BY b.source_id, b.course
     """,
     ("corpus",),
@@ -369,7 +370,7 @@ cte(
 cte(
     "ref_windows",
     """SELECT w.source_id, w.course, w.level, w.role, w.start_bar::INTEGER AS start_bar, (w.start_bar + any_value(width) - 1)::INTEGER AS end_bar,
-  round_even(sum(nps * 48) / sum(48.0::DOUBLE) * 1000000, 0) / 1000000 AS average_nps, round_even(avg(gogo::INT) * 1000000, 0) / 1000000 AS gogo_ratio,
+  round_even(round_even((sum(nps * 48) / sum(48.0::DOUBLE)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS average_nps, round_even(round_even((avg(gogo::INT)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS gogo_ratio,
   string_agg((r.bar - w.start_bar) || '|' || r.res || '|' || gogo::INT || '|' || (nps * 48)::INTEGER || '|' || coalesce(ev, '') || '|' || coalesce(bc, ''), ';' ORDER BY r.bar) AS bars
 FROM windows w JOIN rolled r ON r.track = w.track AND r.bar BETWEEN w.start_bar AND w.start_bar + w.width - 1
 LEFT JOIN (SELECT track, bar, string_agg(pos || ':' || note, ' ' ORDER BY pos) AS ev, string_agg(CASE WHEN note = '7' THEN ((tick + q) % 7 + 1)::VARCHAR END, ',' ORDER BY pos) AS bc FROM nt GROUP BY ALL) x

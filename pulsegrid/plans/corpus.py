@@ -85,7 +85,7 @@ FROM corpus""",
 )
 cte(
     "ingested",
-    """SELECT *, round_even((e - d) * 1000000, 0) / 1000000 AS start_s, round_even(e * 1000000, 0) / 1000000 AS end_s FROM (
+    """SELECT *, round_even(round_even(((e - d)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS start_s, round_even(round_even((e) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS end_s FROM (
   SELECT *, 1.5::DOUBLE + sum(d) OVER (PARTITION BY track ORDER BY bar ROWS UNBOUNDED PRECEDING) AS e FROM (
     SELECT *, CASE WHEN measure_ratio = '3/4' THEN 3.0::DOUBLE ELSE 4.0::DOUBLE END * 60 *
       CASE WHEN change_bpm IS NULL THEN 1 / bpm ELSE 0.5::DOUBLE / bpm + 0.5::DOUBLE / change_bpm END AS d FROM expected_bars))""",

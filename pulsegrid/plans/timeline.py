@@ -160,7 +160,7 @@ def event_match(spark, sf_dir):
       coalesce(sum(true_positive_count) / nullif(sum(estimated_count), 0)::DOUBLE, 0) AS precision,
       coalesce(sum(true_positive_count) / nullif(sum(reference_count), 0)::DOUBLE, 0) AS recall,
       coalesce(2 * sum(true_positive_count) / nullif(sum(reference_count) + sum(estimated_count), 0)::DOUBLE, 0) AS f1,
-      round_even(sum(mean_error * true_positive_count) / nullif(sum(true_positive_count), 0) * 1000000, 0) / 1000000 AS mean_error,
+      round_even(round_even((sum(mean_error * true_positive_count) / nullif(sum(true_positive_count), 0)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS mean_error,
       max(max_error) AS max_error, count(*) FILTER (reference_count > 0) AS applicable_count
     FROM (SELECT *, ['Easy', 'Normal', 'Hard', 'Oni'][CAST(track % 4 + 1 AS INTEGER)] AS course FROM matched)
     GROUP BY GROUPING SETS ((metric, course), (metric))
@@ -251,7 +251,7 @@ def range_overlap(spark, sf_dir):
         0.65::DOUBLE * least(1, value / 500) + 0.35::DOUBLE * ((event_id % 100) / 100.0::DOUBLE) AS x FROM ev),
     b AS (SELECT track, s, e, x, unnest(range(s // 86400000000, (e + 86399999999) // 86400000000)) AS bar FROM w),
     o AS (SELECT track, bar, x, (least(e, (bar + 1) * 86400000000) - greatest(s, bar * 86400000000))::DOUBLE AS w FROM b)
-    SELECT track, bar, sum(w) AS overlap, round_even(sum(w * x) / sum(w) * 1000000, 0) / 1000000 AS mean_value
+    SELECT track, bar, sum(w) AS overlap, round_even(round_even((sum(w * x) / sum(w)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS mean_value
     FROM o WHERE w > 0 GROUP BY track, bar
     """,
     ("ev",),
@@ -305,8 +305,8 @@ def frame_lookup(spark, sf_dir):
     g AS (SELECT track, t, t - lag(t) OVER (PARTITION BY track ORDER BY t) AS gap FROM d),
     m AS (SELECT track, quantile_cont(gap, 0.5) AS med FROM g WHERE gap IS NOT NULL GROUP BY track)
     SELECT g.track, count(gap) AS interval_count, avg(gap) / 1e6::DOUBLE AS mean_gap_s,
-      round_even(stddev_pop(gap) / avg(gap) * 1000000, 0) / 1000000 AS variation,
-      round_even(CASE WHEN count(gap) < 2 THEN 0 ELSE greatest(0, least(1, 1 - avg(abs(gap - med)) / any_value(med))) END * 1000000, 0) / 1000000 AS stability,
+      round_even(round_even((stddev_pop(gap) / avg(gap)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS variation,
+      round_even(round_even((CASE WHEN count(gap) < 2 THEN 0 ELSE greatest(0, least(1, 1 - avg(abs(gap - med)) / any_value(med))) END) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS stability,
       least(1, sum(gap)::DOUBLE / 2592000000000.0::DOUBLE) AS coverage
     FROM g JOIN m USING (track) WHERE gap IS NOT NULL GROUP BY g.track
     """,
@@ -334,7 +334,7 @@ def interval_stats(spark, sf_dir):
       abs((t - t0) - round_even((t - t0) / 36000000000.0::DOUBLE, 0) * 36000000000.0::DOUBLE) AS err,
       greatest(1, cnt // 3) AS size FROM n)
     SELECT track, round_even(avg(err), 0) AS mean_error, round_even(quantile_cont(err, 0.95), 0) AS p95_error, max(err) AS max_error,
-      round_even(avg(err) / 36000000000.0::DOUBLE * 1000000, 0) / 1000000 AS error_ratio,
+      round_even(round_even((avg(err) / 36000000000.0::DOUBLE) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS error_ratio,
       avg(CASE WHEN abs(gap - 36000000000.0::DOUBLE) / 36000000000.0::DOUBLE >= 0.08::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS outlier_ratio,
       (quantile_cont(gap, 0.5) FILTER (ix >= cnt - size) - quantile_cont(gap, 0.5) FILTER (ix < size)) / 36000000000.0::DOUBLE AS drift_ratio,
       coalesce(max(abs(gap - pg) / 36000000000.0::DOUBLE), 0) AS max_adjacent_change
@@ -439,7 +439,7 @@ def residual_regions(spark, sf_dir):
     ml AS (SELECT track, avg(greatest(0, 1 - abs(gap - 172800000000.0::DOUBLE) / 172800000000.0::DOUBLE)) AS s FROM d WHERE gap IS NOT NULL GROUP BY track)
     SELECT o.track, CASE WHEN n < 2 THEN 0 ELSE (v / n::DOUBLE) * (coalesce(f, 0) / (n - 1)::DOUBLE) END AS number_completeness,
       coalesce(whole / cycles::DOUBLE, 0) AS cycle_stability, CASE m WHEN 3 THEN '3/4' WHEN 6 THEN '6/8' ELSE '4/4' END AS meter,
-      round_even(coalesce(ml.s, 0) * 1000000, 0) / 1000000 AS meter_length_score
+      round_even(round_even((coalesce(ml.s, 0)) * 1000000000, 0) / 1000000000 * 1000000, 0) / 1000000 AS meter_length_score
     FROM o LEFT JOIN w USING (track) LEFT JOIN ml USING (track)
     """,
     ("ev",),

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.numeric import round_half_even
+
 # Headers, commands and characters of the chart text format.
 COURSE_KEYS = ("LEVEL", "BALLOON", "SCOREINIT", "SCOREDIFF")
 UNSUPPORTED_COMMANDS = ("#N", "#E", "#M")
@@ -267,8 +269,8 @@ def ingest(files: DataFrame) -> Ingested:
             "bar",
             "notes",
             F.length("notes").alias("resolution"),
-            (F.rint(start * 1e6) / 1e6).alias("start_s"),
-            (F.rint((start + F.col("duration")) * 1e6) / 1e6).alias("end_s"),
+            round_half_even(start, 6).alias("start_s"),
+            round_half_even(start + F.col("duration"), 6).alias("end_s"),
             F.col("start_bpm").alias("bpm"),
             "tempo_changes",
             F.col("measure").alias("measure_ratio"),
