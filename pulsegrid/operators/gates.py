@@ -233,3 +233,30 @@ def notices(states: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
     )
     return states.select(*keys, F.inline(found))
+
+
+def alignment_report(charts: DataFrame, group: str) -> DataFrame:
+    """Alignment sums per group and overall in one pass over per-chart counts.
+
+    Needs note_count, evidenced_count, silent_violation_count and deterministic per chart.
+    """
+    rolled = charts.groupingSets([[group], []], group).agg(
+        F.grouping(group).alias("_all"),
+        F.count(F.lit(1)).alias("chart_count"),
+        F.sum("note_count").alias("note_count"),
+        F.sum("evidenced_count").alias("evidenced_note_count"),
+        F.sum("silent_violation_count").alias("silent_violation_count"),
+        flag_sum(F.col("deterministic")).alias("deterministic_chart_count"),
+    )
+    lost = F.col("note_count") - F.col("evidenced_note_count")
+    return rolled.select(
+        F.when(F.col("_all") == 1, "all").otherwise(F.col(group)).alias(group),
+        "chart_count",
+        "note_count",
+        "evidenced_note_count",
+        lost.alias("unsupported_note_count"),
+        ratio(lost, F.col("note_count"), digits=6).alias("unsupported_note_ratio"),
+        "silent_violation_count",
+        "deterministic_chart_count",
+        ratio(F.col("deterministic_chart_count"), F.col("chart_count"), digits=6).alias("deterministic_rate"),
+    )

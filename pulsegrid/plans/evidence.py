@@ -338,14 +338,11 @@ def bar_grid(spark, sf_dir):
     ("ev",),
 )
 def frames(spark, sf_dir):
-    order = F.struct("t", "event_id", "x")
-
     def values(condition, value):
         rows = F.array_sort(F.collect_list(F.when(condition, F.struct("t", "event_id", value.alias("x")))))
         return F.transform(rows, lambda r: r["x"])
 
     events = timeline(spark, sf_dir).withColumn("x", F.col("value") / 100)
-    del order
     arrays = events.groupBy("track", F.floor(F.col("t") / DAY).alias("day")).agg(
         values(F.lit(True), F.col("x")).alias("loud"),
         values(F.col("kind") != "error", (F.col("event_id") % 7 - 2) / 4).alias("shifted"),

@@ -575,3 +575,32 @@ def compact_export(spark, sf_dir):
     onset_only = F.when(F.col("onset"), F.col("strength")).otherwise(0.0)
     points = evidence(spark, sf_dir).withColumn("strength", onset_only)
     return compact_bars(bar_spine(spark, sf_dir), points, ranked(spark, sf_dir), _CHANNELS, 16, TICKS, 4)
+
+
+@plan(
+    "alignment_report",
+    f"""
+    WITH n AS (SELECT track, t, EXISTS (SELECT 1 FROM ev r WHERE r.track = l.track AND r.kind IN ('purchase', 'signup') AND abs(r.t - l.t) <= 10800000000) OR EXISTS (SELECT 1 FROM ev r WHERE r.track = l.track AND r.kind = 'error' AND abs(r.t - l.t) <= 21600000000) AS ok FROM ev l WHERE kind IN ('view', 'click')),
+    c AS (SELECT track, count(*) AS n, sum(ok::INT)::BIGINT AS e FROM n GROUP BY track), s AS (SELECT track, sum(CASE WHEN silent OR noise THEN notes ELSE 0 END)::BIGINT AS v FROM quiet GROUP BY track),
+    j AS (SELECT c.*, s.v, c.track % 7 <> 0 AS d, ['Easy', 'Normal', 'Hard', 'Oni'][CAST(c.track % 4 + 1 AS INTEGER)] AS course FROM c JOIN s USING (track))
+    SELECT CASE WHEN GROUPING(course) = 1 THEN 'all' ELSE course END AS course, count(*) AS chart_count, sum(n)::BIGINT AS note_count, sum(e)::BIGINT AS evidenced_note_count, sum(n - e)::BIGINT AS unsupported_note_count, {_r("sum(n - e) / sum(n)::DOUBLE", 6)} AS unsupported_note_ratio,
+      sum(v)::BIGINT AS silent_violation_count, sum(d::INT)::BIGINT AS deterministic_chart_count, {_r("sum(d::INT) / count(*)::DOUBLE", 6)} AS deterministic_rate FROM j GROUP BY GROUPING SETS ((course), ())
+    """,
+    ("ev", "quiet"),
+)
+def alignment_report(spark, sf_dir):
+    events = timeline(spark, sf_dir)
+    notes = of_kind(events, "view", "click")
+    near = matching.exists_within(notes, of_kind(events, "purchase", "signup"), ["track"], 3 * HOUR, out="onset_near")
+    both = matching.exists_within(near, of_kind(events, "error"), ["track"], 6 * HOUR, out="beat_near")
+    counted = both.groupBy("track").agg(
+        F.count(F.lit(1)).alias("note_count"), flag_sum(F.col("onset_near") | F.col("beat_near")).alias("evidenced_count")
+    )
+    silent = event_bars(spark, sf_dir).groupBy("track").agg(
+        F.sum(F.when(F.col("silent") | F.col("noise"), F.col("notes")).otherwise(0)).alias("silent_violation_count")
+    )
+    course = F.element_at(F.array(*[F.lit(c) for c in COURSES]), (F.pmod("track", F.lit(4)) + 1).cast("int"))
+    rows = counted.join(silent, ["track"]).select(
+        "*", (F.col("track") % 7 != 0).alias("deterministic"), course.alias("course")
+    )
+    return gates.alignment_report(rows, "course")
