@@ -24,10 +24,20 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     the loss of executors, and keeps column pruning for what reads it."""
     folder = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
+#: Rows of two or three short columns that may be sent to every executor: tens of MB.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(frame: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has at most ``rows`` rows;
+    beyond that it is left to a shuffled join."""
+    return F.broadcast(frame) if frame.count() <= rows else frame
+
+
 def utf8(text: str | None) -> bytes:
     """The text's UTF-8 bytes; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import (
+    fuzzy_lines,
     language_masks,
     latent_decontamination,
     licence_index,
@@ -32,6 +34,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_planes.near_groups(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fuzzy_lines.cleaned(spark, read_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("removed"), F.col("_text").alias("text")
+    )
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_index.licence_scan(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_toxicity,
         op2_neighbours,
         op3_simhash,
+        op4_lines,
         op5_licences,
         op7_decontamination,
         op8_tokens,
