@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import (
+    feistel_pseudonyms,
     fuzzy_lines,
     language_masks,
     latent_decontamination,
@@ -45,6 +46,10 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_index.licence_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_pseudonyms.pseudonymised(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_decontamination.contaminated(
         spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash,
         op4_lines,
         op5_licences,
+        op6_pseudonyms,
         op7_decontamination,
         op8_tokens,
         op9_language,
