@@ -32,14 +32,15 @@ def bar_grid(
     start: int | float,
     tick: int | float,
     ticks: int,
-    bars: int | None = None,
+    end: Column | None = None,
 ) -> DataFrame:
     """Round times to ticks and keep the largest value per (bar, tick).
 
-    Times before the start or past the last bar are dropped. The maximum is combined
+    Times before the start, or after the track's ``end`` if there is one, are dropped. The maximum is combined
     before the shuffle, so a hot track costs one row per occupied tick.
     """
-    placed = events.select(*keys, time.alias("_t"), value.alias("_v")).filter(F.col("_t") >= start)
+    inside = (time >= start) if end is None else (time >= start) & (time <= end)
+    placed = events.filter(inside).select(*keys, time.alias("_t"), value.alias("_v"))
     absolute = F.rint((F.col("_t") - F.lit(start)) / F.lit(float(tick))).cast("long")
     gridded = placed.select(
         *keys,
@@ -47,8 +48,6 @@ def bar_grid(
         F.pmod(absolute, F.lit(ticks)).cast("int").alias("tick"),
         "_v",
     )
-    if bars is not None:
-        gridded = gridded.filter(F.col("bar") < bars)
     return gridded.groupBy(*keys, "bar", "tick").agg(F.max("_v").alias("value"), F.count(F.lit(1)).alias("event_count"))
 
 

@@ -403,9 +403,15 @@ def retrieve_windows(windows: DataFrame, requests: DataFrame, per_request: int =
     """Up to ``per_request`` windows per (course, level) request.
 
     One window per role by level distance, unused source, then rate or start; then fill by
-    distance, unused source, source and start. Only the few best windows of each (course,
-    level, role) can ever be chosen, so they are ranked first and the requests join that
-    short list. Charts of all courses serve a course that has none.
+    distance, unused source, source and start. Charts of all courses serve a course that has
+    none. The requests join a short list that is provably enough:
+
+    * role picks: two sources at most are used before one, and three windows of each source
+      are listed, so the best nine of a (course, level, role) hold one of an unused source
+      wherever there is one;
+    * fills: three sources at most are used before them, so the first ``per_request`` + 3
+      sources of a (course, level) hold ``per_request`` unused ones, or are all there are;
+      of each the first ``per_request`` + 3 windows are listed, as three may be taken.
     """
     key = F.struct(
         F.when(F.col("role") == "peak", -F.col("average_nps")).otherwise(F.col("start_bar").cast("double")),
@@ -416,14 +422,17 @@ def retrieve_windows(windows: DataFrame, requests: DataFrame, per_request: int =
     pooled = own.unionByName(everyone).select(
         "pool", "level", "role", "source_id", "course", "start_bar", "average_nps", key.alias("_key")
     )
-    # Two sources at most are taken before a pick, and a source may repeat inside a pool.
     by_source = Window.partitionBy("pool", "level", "role", "source_id").orderBy("_key", "course")
     by_role = Window.partitionBy("pool", "level", "role").orderBy("_key", "course")
-    by_fill = Window.partitionBy("pool", "level").orderBy("source_id", "start_bar", "course", "role")
+    by_fill = Window.partitionBy("pool", "level", "source_id").orderBy("start_bar", "course", "role")
+    by_place = Window.partitionBy("pool", "level").orderBy("source_id")
     firsts = pooled.withColumn("_s", F.row_number().over(by_source)).filter(F.col("_s") <= 3)
     leaders = firsts.withColumn("_r", F.row_number().over(by_role)).filter(F.col("_r") <= 9).drop("_r", "_s")
-    depth = per_request + 12
-    fills = pooled.withColumn("_f", F.row_number().over(by_fill)).filter(F.col("_f") <= depth).drop("_f")
+    depth = per_request + 3
+    sources = pooled.select("pool", "level", "source_id").distinct()
+    sources = sources.withColumn("_p", F.row_number().over(by_place)).filter(F.col("_p") <= depth).drop("_p")
+    fills = pooled.join(sources, ["pool", "level", "source_id"], "left_semi")
+    fills = fills.withColumn("_f", F.row_number().over(by_fill)).filter(F.col("_f") <= depth).drop("_f")
     shortlist = leaders.unionByName(fills).distinct()
     known = windows.select(F.lower("course").alias("pool")).distinct()
     asked = requests.withColumn("_want", F.lower("course")).join(

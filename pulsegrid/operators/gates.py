@@ -112,13 +112,12 @@ def extreme_gate(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     return report.select(*keys, F.explode(codes).alias("code"))
 
 
-def metric_coverage(metrics: DataFrame, required: Sequence[str], keys: Sequence[str], examples: int = 8) -> DataFrame:
-    """First charts that lack a required metric, with the missing names."""
+def metric_coverage(metrics: DataFrame, required: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Every chart that lacks a required metric, with the missing names."""
     keys = list(keys)
     names = F.array(*[F.lit(r) for r in required])
     have = metrics.groupBy(*keys).agg(F.collect_set(F.when(F.col("metric").isin(*required), F.col("metric"))).alias("_have"))
-    lacking = have.select(*keys, F.array_join(F.array_except(names, F.col("_have")), ",").alias("missing")).filter("missing != ''")
-    return lacking.orderBy(*keys).limit(examples)
+    return have.select(*keys, F.array_join(F.array_except(names, F.col("_have")), ",").alias("missing")).filter("missing != ''")
 
 
 def quality_gate(bars: DataFrame, keys: Sequence[str]) -> DataFrame:

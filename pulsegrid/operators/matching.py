@@ -377,7 +377,7 @@ def overlaps_any(
 
     A right range misses the left one only by starting after its end or by ending before
     its start, so two running counts decide: starts up to the left end minus ends before
-    the left start.
+    the left start. Repeated left rows are answered as often as they occur.
     """
     keys = list(keys)
     left_cols = left.columns
@@ -402,8 +402,10 @@ def overlaps_any(
     both_counts = swept.groupBy("_rid").agg(
         F.max(F.when(F.col("_which") == 2, F.col("_seen"))).alias("_starts"),
         F.max(F.when(F.col("_which") == 1, F.col("_seen"))).alias("_ends"),
+        F.sum(F.when(F.col("_which") == 2, 1).otherwise(0)).cast("int").alias("_copies"),
     )
-    return both_counts.select("_rid.*", (F.col("_starts") > F.col("_ends")).alias(out))
+    whole = both_counts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return whole.select("_rid.*", (F.col("_starts") > F.col("_ends")).alias(out))
 
 
 def overlap_weighted_mean(
@@ -445,12 +447,15 @@ def frame_lookup(
 ) -> DataFrame:
     """Largest frame value at the event's frame, optionally with its neighbours.
 
-    ``events`` needs an ``event_id``; the join key holds the frame number, so one hot
-    track is spread over its frames.
+    The join key holds the frame number, so one hot track is spread over its frames.
+    Repeated events are answered as often as they occur.
     """
     keys = list(keys)
     offsets = F.array(*[F.lit(i).cast("long") for i in range(-radius, radius + 1)])
     around = F.transform(offsets, lambda d: frame_of.cast("long") + d)
     probes = events.withColumn("frame", F.explode(around))
-    hits = probes.join(frames.select(*keys, "frame", value), [*keys, "frame"], "left")
-    return hits.groupBy(*events.columns).agg(F.max(value).alias(out))
+    tops = frames.groupBy(*keys, "frame").agg(F.max(value).alias("_value"))
+    hits = probes.join(tops, [*keys, "frame"], "left")
+    found = hits.groupBy(*events.columns).agg(F.max("_value").alias(out), F.count(F.lit(1)).alias("_probes"))
+    copies = F.sequence(F.lit(1), (F.col("_probes") / (2 * radius + 1)).cast("int"))
+    return found.withColumn("_copy", F.explode(copies)).select(*events.columns, out)

@@ -148,23 +148,21 @@ def sustain_issues(long_notes: DataFrame, spans: DataFrame, keys: Sequence[str],
     return every.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("issue_count"))
 
 
-def issue_groups(messages: DataFrame, order: Sequence[str], message: str = "message", groups: int = 40, samples: int = 3) -> DataFrame:
-    """Messages that differ only in an index: template, count and first samples; first groups by appearance.
+def issue_groups(messages: DataFrame, order: Sequence[str], message: str = "message", samples: int = 3) -> DataFrame:
+    """Messages that differ only in an index: template, count and first samples, for every template.
 
     The samples are cut per template before they meet, so a frequent template never
     gathers its messages.
     """
-    place = F.struct(*[F.col(c) for c in order], F.col(message))
     rows = messages.withColumn("template", F.regexp_replace(message, r"\[\d+\]", "[*]"))
-    sums = rows.groupBy("template").agg(F.count(F.lit(1)).alias("occurrences"), F.min(place).alias("_first"))
-    top = sums.orderBy("_first").limit(groups)
+    sums = rows.groupBy("template").agg(F.count(F.lit(1)).alias("occurrences"))
     numbered = rows.withColumn(
         "_n", F.row_number().over(Window.partitionBy("template").orderBy(*order, message))
     ).filter(F.col("_n") <= samples)
     shown = numbered.groupBy("template").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", message))), lambda x: x[message]), "; ").alias("examples")
     )
-    return top.join(shown, "template").select("template", "occurrences", "examples")
+    return sums.join(shown, "template").select("template", "occurrences", "examples")
 
 
 def apply_repairs(bars: DataFrame, violations: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -318,13 +318,13 @@ cte(
     "bar_grid",
     """
     SELECT track, CAST(a // 48 AS INTEGER) AS bar, CAST(a % 48 AS INTEGER) AS tick, max(value) AS value, count(*) AS event_count
-    FROM (SELECT track, value, round_even((t - 10800000000) / 450000000.0::DOUBLE, 0)::BIGINT AS a FROM ev WHERE t >= 10800000000) WHERE a // 48 < 110 GROUP BY ALL
+    FROM (SELECT track, value, round_even((t - 10800000000) / 450000000.0::DOUBLE, 0)::BIGINT AS a FROM ev WHERE t >= 10800000000) GROUP BY ALL
     """,
     ("ev",),
 )
 def bar_grid(spark, sf_dir):
     return binning.bar_grid(
-        timeline(spark, sf_dir), ["track"], F.col("t"), F.col("value"), start=3 * HOUR, tick=450 * SECOND, ticks=48, bars=110
+        timeline(spark, sf_dir), ["track"], F.col("t"), F.col("value"), start=3 * HOUR, tick=450 * SECOND, ticks=48
     )
 
 
@@ -419,9 +419,9 @@ def dominant_source(spark, sf_dir):
 # Silence works on sparse daily bars of the events table.
 cte(
     "eb",
-    """SELECT track, bar, coalesce(n, 0) AS onset_count, coalesce(least(1, v / 4000), 0) AS energy, coalesce(least(1, v / 4000), 0) / 4 AS mean_activity, notes,
+    """SELECT track, bar, last_bar, coalesce(n, 0) AS onset_count, coalesce(least(1, v / 4000), 0) AS energy, coalesce(least(1, v / 4000), 0) / 4 AS mean_activity, notes,
   CASE WHEN v IS NOT NULL THEN -60 + v / 10 END AS rms_dbfs, CASE WHEN v IS NOT NULL THEN -55 + v / 8 END AS peak_dbfs, CASE WHEN v IS NOT NULL THEN -50 + v / 10 END AS relative_db, (bar % 10) / 20.0::DOUBLE AS sustained
-FROM (SELECT s.track, s.bar, e.n, e.v, coalesce(e.notes, 0) AS notes FROM (SELECT track, unnest(range(0, 30)) AS bar FROM (SELECT DISTINCT track FROM ev)) s
+FROM (SELECT s.track, s.bar, s.last_bar, e.n, e.v, coalesce(e.notes, 0) AS notes FROM (SELECT track, last_bar, unnest(range(0, last_bar + 1)) AS bar FROM (SELECT track, max(t) // 86400000000 AS last_bar FROM ev GROUP BY track)) s
   LEFT JOIN (SELECT track, t // 86400000000 AS bar, count(*) FILTER (kind IN ('purchase', 'signup')) AS n, round_even(sum(value * 100), 0) / 100 AS v, count(*) FILTER (kind IN ('view', 'click')) AS notes FROM ev GROUP BY ALL) e
   ON e.track = s.track AND e.bar = s.bar)""",
     "ev",
@@ -442,11 +442,13 @@ def event_bars(spark, sf_dir):
         (F.rint(F.sum(F.col("value") * 100)) / 100).alias("v"),
         F.sum(F.when(F.col("kind").isin("view", "click"), 1).otherwise(0)).alias("notes"),
     )
-    spine = events.select("track").distinct().select("track", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("bar"))
+    ends = events.groupBy("track").agg(F.floor(F.max("t") / DAY).alias("last_bar"))
+    spine = ends.select("track", "last_bar", F.explode(F.sequence(F.lit(0).cast("long"), "last_bar")).alias("bar"))
     energy = F.coalesce(F.least(F.lit(1.0), F.col("v") / 4000), F.lit(0.0))
     bars = spine.join(daily, ["track", "bar"], "left").select(
         "track",
         "bar",
+        "last_bar",
         F.coalesce("n", F.lit(0)).alias("onset_count"),
         energy.alias("energy"),
         (energy / 4).alias("mean_activity"),

@@ -32,8 +32,8 @@ DENSITIES = ("low", "medium", "auto", "high", "max")
 cte(
     "hctx",
     f"""SELECT q.*, ({_EDGE}) AS edge, ['stable', 'build_up', 'peak', 'drop', 'breakdown', 'cadence', 'fill', 'stable'][bar % 8 + 1] AS role,
-  CASE WHEN bar = 29 THEN 'song_end' WHEN bar % 8 = 7 THEN 'phrase_end' ELSE 'phrase_middle' END AS phrase_position, bar % 8 = 7 OR bar % 8 = 5 AS fill_candidate, (bar % 8) / 7.0::DOUBLE AS phrase_progress,
-  ['verse', 'break', 'chorus', 'break'][bar // 8 + 1] AS section, least(1.0::DOUBLE, energy * 6) AS activity_level, notes * 5 AS active_count FROM quiet q""",
+  CASE WHEN bar = last_bar THEN 'song_end' WHEN bar % 8 = 7 THEN 'phrase_end' ELSE 'phrase_middle' END AS phrase_position, bar % 8 = 7 OR bar % 8 = 5 AS fill_candidate, (bar % 8) / 7.0::DOUBLE AS phrase_progress,
+  ['verse', 'break', 'chorus', 'break'][bar // 8 % 4 + 1] AS section, least(1.0::DOUBLE, energy * 6) AS activity_level, notes * 5 AS active_count FROM quiet q""",
     "quiet",
 )
 cte(
@@ -66,10 +66,10 @@ def build_hinted_bars(spark, sf_dir):
     rows = bars.select(
         "*",
         pick(ROLES, b % 8).alias("role"),
-        F.when(b == 29, "song_end").when(b % 8 == 7, "phrase_end").otherwise("phrase_middle").alias("phrase_position"),
+        F.when(b == F.col("last_bar"), "song_end").when(b % 8 == 7, "phrase_end").otherwise("phrase_middle").alias("phrase_position"),
         (b % 8).isin(5, 7).alias("fill_candidate"),
         ((b % 8) / 7.0).alias("phrase_progress"),
-        pick(SECTIONS, F.floor(b / 8).cast("int")).alias("section"),
+        pick(SECTIONS, (F.floor(b / 8) % 4).cast("int")).alias("section"),
         F.least(F.lit(1.0), F.col("energy") * 6).alias("activity_level"),
         (F.col("notes") * 5).alias("active_count"),
     )
@@ -338,7 +338,7 @@ def fill_alignment(spark, sf_dir):
 @plan(
     "coverage_report",
     f"""
-    WITH k AS (SELECT c.*, EXISTS (SELECT 1 FROM nn n WHERE n.track = c.track AND n.bar = c.bar AND n.tick = c.tick) AS hit_it FROM cand c WHERE tick % 2 = 0),
+    WITH k AS (SELECT c.*, EXISTS (SELECT 1 FROM nn n WHERE n.track = c.track AND n.bar = c.bar AND n.tick = c.tick) AS hit_it FROM cand c),
     st AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY bar, rank) - row_number() OVER (PARTITION BY track, hit_it ORDER BY bar, rank) AS g FROM k WHERE kind = 'strong-transient'),
     mr AS (SELECT track, max(n) AS m FROM (SELECT track, g, count(*) AS n FROM st WHERE NOT hit_it GROUP BY ALL) GROUP BY track),
     s AS (SELECT track, sum(reliable::INT)::BIGINT AS rc, sum((reliable AND hit_it)::INT)::BIGINT AS rh, sum((kind = 'strong-transient')::INT)::BIGINT AS sc, sum((kind = 'strong-transient' AND hit_it)::INT)::BIGINT AS sh FROM k GROUP BY track),
@@ -350,8 +350,7 @@ def fill_alignment(spark, sf_dir):
     ("cand", "nn"),
 )
 def coverage_report(spark, sf_dir):
-    found = ranked(spark, sf_dir).filter(F.col("tick") % 2 == 0)
-    return quality.coverage_report(found, timed_notes(spark, sf_dir), ["track"])
+    return quality.coverage_report(ranked(spark, sf_dir), timed_notes(spark, sf_dir), ["track"])
 
 
 @plan(

@@ -171,7 +171,7 @@ SELECT track, bar, max(tick) FILTER (note <> '8') AS s, max(tick) FILTER (note =
 @plan(
     "skeleton_compare",
     """
-    WITH w AS (SELECT DISTINCT track, bar, tick FROM cand WHERE reliable AND rank <= 6), h AS (SELECT DISTINCT track, bar, tick FROM nn),
+    WITH w AS (SELECT DISTINCT track, bar, tick FROM cand WHERE reliable), h AS (SELECT DISTINCT track, bar, tick FROM nn),
     b AS (SELECT coalesce(w.track, h.track) AS track, coalesce(w.bar, h.bar) AS bar, coalesce(w.tick, h.tick) AS tick, w.tick IS NOT NULL AS w, h.tick IS NOT NULL AS h FROM w FULL JOIN h ON h.track = w.track AND h.bar = w.bar AND h.tick = w.tick),
     c AS (SELECT *, w AND NOT h AND EXISTS (SELECT 1 FROM bspan s WHERE s.track = b.track AND s.bar = b.bar AND b.tick BETWEEN s.s AND s.e) AS u FROM b),
     s AS (SELECT track, sum(w::INT)::BIGINT AS ex, sum(h::INT)::BIGINT AS ac, sum(((w AND h) OR u)::INT)::BIGINT AS ma, sum((h AND NOT w)::INT)::BIGINT AS xt FROM c GROUP BY track), z AS (SELECT track, count(*) AS n FROM bars GROUP BY track)
@@ -181,7 +181,7 @@ SELECT track, bar, max(tick) FILTER (note <> '8') AS s, max(tick) FILTER (note =
     ("cand", "nn", "bspan", "bars"),
 )
 def skeleton_compare(spark, sf_dir):
-    expected = ranked(spark, sf_dir).filter(F.col("reliable") & (F.col("rank") <= 6))
+    expected = ranked(spark, sf_dir).filter("reliable")
     tick = N.project_slot(F.col("pos"), F.col("res"), F.lit(TICKS))
     marks = notes_of(spark, sf_dir).filter(F.col("note").isin("5", "7", "8")).withColumn("tick", tick)
     closed = F.when(F.col("note") == "8", 1).otherwise(0)
@@ -204,7 +204,7 @@ def skeleton_compare(spark, sf_dir):
     r"""
     WITH m AS (SELECT track, bar, 'bars[' || bar || '].notes is too ' || CASE WHEN notes > max_hits THEN 'dense' ELSE 'sparse' END || ' for ' || kind || ': ' || notes AS message FROM hint WHERE notes > max_hits OR (NOT allow_empty AND notes < min_hits)),
     g AS (SELECT *, regexp_replace(message, '\[\d+\]', '[*]', 'g') AS template FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY track, bar) AS rn FROM g)
-    SELECT template, count(*) AS occurrences, string_agg(message, '; ' ORDER BY rn) FILTER (rn <= 3) AS examples FROM n GROUP BY template ORDER BY min((track, bar)) LIMIT 40
+    SELECT template, count(*) AS occurrences, string_agg(message, '; ' ORDER BY rn) FILTER (rn <= 3) AS examples FROM n GROUP BY template
     """,
     ("hint",),
 )
@@ -328,7 +328,7 @@ def plan_mismatch(spark, sf_dir):
 
 cte(
     "rep",
-    f"""SELECT track, (SELECT sum(CASE WHEN silent OR edge THEN notes ELSE 0 END) FROM (SELECT *, {_EDGE} AS edge FROM quiet q) z WHERE z.track = t.track AND z.bar % 9 = 0)::BIGINT AS sv,
+    f"""SELECT track, (SELECT sum(CASE WHEN silent OR edge THEN notes ELSE 0 END) FROM (SELECT *, {_EDGE} AS edge FROM quiet q) z WHERE z.track = t.track)::BIGINT AS sv,
   (SELECT count(*) FROM ev WHERE ev.track = t.track AND kind = 'view') AS ne, (SELECT count(*) FROM ev l WHERE l.track = t.track AND l.kind = 'view' AND NOT EXISTS (SELECT 1 FROM ev r WHERE r.track = l.track AND r.kind = 'click' AND abs(r.t - l.t) <= 36000000000)) AS us,
   (SELECT count(*) FROM ev WHERE ev.track = t.track AND kind = 'purchase') AS so, (SELECT count(*) FROM ev l WHERE l.track = t.track AND l.kind = 'purchase' AND EXISTS (SELECT 1 FROM ev r WHERE r.track = l.track AND r.kind = 'view' AND abs(r.t - l.t) <= 3600000000)) AS sr
 FROM (SELECT DISTINCT track FROM ev) t""",
@@ -348,7 +348,7 @@ def extreme_gate(spark, sf_dir):
     events = timeline(spark, sf_dir)
     bars = binning.edge_runs(event_bars(spark, sf_dir), ["track"], F.col("silent") | F.col("noise"))
     silent = bars.groupBy("track").agg(
-        F.sum(F.when((F.col("silent") | F.col("edge")) & (F.col("bar") % 9 == 0), F.col("notes")).otherwise(0)).alias("silent_violation_count"),
+        F.sum(F.when(F.col("silent") | F.col("edge"), F.col("notes")).otherwise(0)).alias("silent_violation_count"),
         F.count(F.lit(1)).alias("bar_count"),
     )
     views = matching.exists_within(of_kind(events, "view"), of_kind(events, "click"), ["track"], 10 * HOUR)
@@ -365,7 +365,7 @@ def extreme_gate(spark, sf_dir):
     """
     WITH h AS (SELECT track, t // 864000000000 AS part, list(DISTINCT kind) AS k FROM ev GROUP BY ALL),
     m AS (SELECT track, part, array_to_string(list_filter(['view', 'click', 'purchase', 'signup', 'error'], lambda x: NOT list_contains(k, x)), ',') AS missing FROM h)
-    SELECT track, part, missing FROM m WHERE missing <> '' ORDER BY track, part LIMIT 8
+    SELECT track, part, missing FROM m WHERE missing <> ''
     """,
     ("ev",),
 )

@@ -335,7 +335,8 @@ def resolution_choice(spark, sf_dir):
 def resolution_plan(spark, sf_dir):
     found = samples(spark, sf_dir)
     b = F.col("bar")
-    days = found.select("track").distinct().select("track", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("bar"))
+    days = found.groupBy("track").agg(F.max("bar").cast("long").alias("last"))
+    days = days.select("track", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bar"))
     bars = days.select(
         "track",
         "bar",

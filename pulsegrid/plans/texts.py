@@ -51,13 +51,16 @@ def content_id(spark, sf_dir):
 @plan(
     "encode_audit",
     r"""
-    WITH d AS (SELECT doc_id, text, regexp_extract(text, '^(?s:.*?)([^\x00-\x7F])', 1) AS ch FROM documents WHERE regexp_matches(text, '[^\x00-\x7F]')),
+    WITH t AS (SELECT doc_id, 'かな ' || text || CASE WHEN doc_id % 5 = 0 THEN '😀' ELSE '' END AS text FROM documents),
+    d AS (SELECT doc_id, text, regexp_extract(text, '^(?s:.*?)([^\x00-\x7Fかな])', 1) AS ch FROM t WHERE regexp_matches(text, '[^\x00-\x7Fかな]')),
     p AS (SELECT *, left(text, strpos(text, ch) - 1) AS pre FROM d)
-    SELECT doc_id, (length(pre) - length(replace(pre, chr(10), '')) + 1)::INTEGER AS line_no, (length(list_last(string_split(pre, chr(10)))) + 1)::INTEGER AS column_no, 'U+' || lpad(upper(to_hex(unicode(ch))), 4, '0') AS code_point FROM p
+    SELECT doc_id, (length(pre) - length(replace(pre, chr(10), '')) + 1)::INTEGER AS line_no, (length(list_last(string_split(pre, chr(10)))) + 1)::INTEGER AS column_no, 'U+' || lpad(upper(to_hex(unicode(ch))), greatest(4, length(to_hex(unicode(ch))))::INTEGER, '0') AS code_point FROM p
     """,
 )
 def encode_audit(spark, sf_dir):
-    return content.encode_audit(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    smile = F.when(F.col("doc_id") % 5 == 0, "😀").otherwise("")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("かな "), "text", smile).alias("text"))
+    return content.encode_audit(spark, texts)
 
 
 @plan(

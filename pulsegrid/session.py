@@ -39,13 +39,16 @@ def plain_unions(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a temporary one only where none is set."""
+    """Return the shared checkpoint folder. Only a local master, where all tasks share one
+    machine, gets a temporary one if none is set."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="pulsegrid-checkpoint-")
     context.setCheckpointDir(configured)
     return configured

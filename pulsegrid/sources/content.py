@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Audio suffixes, persisted keys that must not appear, dropped secrets.
@@ -89,11 +89,12 @@ def encode_audit(spark: SparkSession, texts: DataFrame, text: str = "text") -> D
         before = F.expr(f"substring({text}, 1, _first.at - 1)")
         line = F.length(before) - F.length(F.translate(before, "\n", "")) + 1
         column = F.length(F.substring_index(before, "\n", -1)) + 1
+        code = F.hex(F.expr("ascii(_first.ch)"))
         return rows.select(
             *[c for c in texts.columns if c != text],
             line.alias("line_no"),
             column.alias("column_no"),
-            F.concat(F.lit("U+"), F.lpad(F.hex(F.expr("ascii(_first.ch)")), 4, "0")).alias("code_point"),
+            F.concat(F.lit("U+"), F.lpad(code, F.greatest(F.lit(4), F.length(code)), F.lit("0"))).alias("code_point"),
         )
 
 
@@ -141,31 +142,42 @@ def read_analysis(documents: DataFrame, keys: list[str], column: str = "value")
 
 
 def scan_records(records: DataFrame, keys: list[str], allowed: DataFrame, column: str = "value") -> DataFrame:
-    """Privacy findings per record: forbidden keys, paths and URLs, unknown audio names.
+    """Privacy findings per JSON record: forbidden keys, paths and URLs, unknown audio names.
 
-    Objects are walked to the second level; ``allowed`` holds the known audio names.
+    Objects and lists are read at every depth: a JSON text is its string tokens in order, one
+    followed by a colon is a key, any other a string value, and one that a key "audio"
+    stands directly before is an audio name. Escaped quotes are masked while the tokens are cut, so no
+    nesting has to be followed. A record that is no JSON, or has no strings, has counts of 0.
     """
-    top = F.from_json(column, "map<string,string>")
-    level1 = records.select(*keys, F.explode(top).alias("key", "text"))
-    nested = F.from_json("text", "map<string,string>")
-    level2 = level1.filter(F.col("text").startswith("{")).select(*keys, F.explode(nested).alias("key", "text"))
-    entries = level1.withColumn("_object", F.col("text").startswith("{")).unionByName(
-        level2.withColumn("_object", F.lit(False))
+    slash, quote = F.lit("\x01"), F.lit("\x02")
+    masked = F.replace(F.replace(F.col(column), F.lit("\\\\"), slash), F.lit('\\"'), quote)
+    body = F.when(F.try_parse_json(column).isNotNull(), masked)
+    found = records.select(
+        *keys, F.posexplode_outer(F.regexp_extract_all(body, F.lit(r'([\[{,]?\s*"[^"]*"\s*:?)'), F.lit(1))).alias("_n", "_token")
+    )
+    token = F.col("_token")
+    inner = F.regexp_extract(token, r'"([^"]*)"', 1)
+    literal = F.concat(F.lit('["'), F.replace(F.replace(inner, quote, F.lit('\\"')), slash, F.lit("\\\\")), F.lit('"]'))
+    tokens = found.select(
+        *keys,
+        F.from_json(literal, "array<string>")[0].alias("text"),
+        token.endswith(":").alias("_key"),
+        F.ltrim(token).startswith('"').alias("_direct"),
+        F.when(token.isNotNull(), F.lag(F.lower(inner)).over(Window.partitionBy(*keys).orderBy("_n"))).alias("_before"),
     )
-    name = F.lower("key")
     value = F.col("text")
     local = value.rlike(r"^[A-Za-z]:[\\/]") | value.startswith("/") | value.startswith("\\\\")
-    leaf = ~F.col("_object")
-    audio = F.when(leaf & (name == "audio"), value)
+    leaf, name = ~F.col("_key"), F.lower("text")
+    audio = F.when(leaf & F.col("_direct") & (F.col("_before") == "audio"), value)
     known = allowed.select(F.col("name").alias("_audio"), F.lit(True).alias("_known")).distinct()
-    judged = entries.withColumn("_audio", audio).join(known, "_audio", "left")
+    judged = tokens.withColumn("_audio", audio).join(known, "_audio", "left")
 
     def count(condition: Column) -> Column:
         return F.sum(F.when(condition, 1).otherwise(0))
 
     return judged.groupBy(*keys).agg(
         count(leaf).alias("scanned_string_count"),
-        count(name.isin(*FORBIDDEN_KEYS)).alias("forbidden_key_count"),
+        count(F.col("_key") & name.isin(*FORBIDDEN_KEYS)).alias("forbidden_key_count"),
         count(leaf & (local | F.contains(value, F.lit("://")))).alias("forbidden_string_count"),
         count(F.col("_audio").isNotNull() & F.col("_known").isNull()).alias("unknown_audio_count"),
     )
