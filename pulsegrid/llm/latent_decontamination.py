@@ -298,4 +298,4 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """The rows of ``docs`` in which no benchmark item is found; columns stay as they are.
     Rows with a null doc_id stay."""
     found = written(spark, contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct(), "leaky")
-    return docs.join(found, docs["doc_id"] == F.col("_leaky"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_leaky"], "left_anti")

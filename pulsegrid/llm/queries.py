@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pulsegrid.llm import (
     feistel_pseudonyms,
@@ -37,9 +36,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fuzzy_lines.cleaned(spark, read_table(spark, sf_dir, "documents"))
-    return made.select(
-        "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("removed"), F.col("_text").alias("text")
-    )
+    return made.select("row.doc_id", "n_lines", "removed", "text")
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A fingerprint has a bit set where over half of the text's shingle hashes have it. Texts
 with one fingerprint form a class; classes link at ``radius`` or fewer differing bits.
-Candidates share two of five blocks of the fingerprint's bits (pigeonhole for radius 3).
-Within a bucket the fingerprints are stored as vertical bit planes, 64 to a machine word;
+For up to three bits, candidates share two of five blocks of the fingerprint's bits
+(pigeonhole: no pair is lost). For a wider radius they share one of ``MINIMA`` least shingle
+hashes, which near copies do and other documents with like fingerprints do not. Within a bucket the fingerprints are stored as vertical bit planes, 64 to a machine word;
 a query is held against all lanes of a word at once with carry-save counters, and a word is
 abandoned as soon as all of its lanes exceed the radius.
 """
@@ -25,54 +26,72 @@ from pulsegrid.llm.common import components, merge_labels, parts, texts, utf8, w
 SEED = 42
 WIDTHS = (13, 13, 13, 13, 12)
 CHUNK = 2048
+MINIMA = 6
+#: Odd factors that give each minimum an order of its own.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 PAIRS = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _votes(words: list[bytes], width: int) -> tuple[np.ndarray, int]:
-    """How many shingles of ``words`` set each bit (highest first), and how many there are."""
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The hashes of all shingles of ``words``, eight bytes each, highest first."""
     line = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words)))
     starts = [0, *ends]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :], strict=False)])
-    table = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(table), 1 << 15):
-        votes += np.unpackbits(table[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
-    return votes, len(table)
+    made = b"".join([digest(line[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :], strict=False)])
+    return np.frombuffer(made, np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The unsigned fingerprint of a whole text; 0 where it has no words."""
-    votes, total, tail, seen = np.zeros(64, np.int64), 0, [], 0
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Shingle hashes of a whole text in tables of bounded length; none without words."""
+    tail, seen, made = [], 0, False
     for part in parts(utf8(text).lower()):
         words = part.split()
         seen += len(words)
         words = tail + words
         if len(words) >= width:
-            more, n = _votes(words, width)
-            votes, total = votes + more, total + n
+            made = True
+            yield _hashes(words, width)
         tail = words[-(width - 1) :] if width > 1 else []
-    if seen == 0:
-        return 0
-    if total == 0:
-        votes, total = _votes(tail, len(tail))
-    return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    if seen and not made:
+        yield _hashes(tail, len(tail))
+
+
+def summary(text: str | None, width: int = 3, minima: int = 0) -> tuple[int, list[int]]:
+    """The unsigned fingerprint of a whole text (0 where it has no words), and the least of
+    its shingle hashes in ``minima`` different orders."""
+    votes, total = np.zeros(64, np.int64), 0
+    least = np.full(minima, FULL, np.uint64)
+    for table in shingle_hashes(text, width):
+        total += len(table)
+        for at in range(0, len(table), 1 << 15):
+            votes += np.unpackbits(table[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+        if minima:
+            values = table.copy().view(">u8").ravel().astype(np.uint64)
+            least = np.minimum(least, [(values * f).min() for f in FACTORS[:minima]])
+    if not total:
+        return 0, []
+    return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big"), least.tolist()
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, minima: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.fromiter((fingerprint(t, width) for t in texts(batch)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"]
-        )
-
-
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long) of every row."""
+        found = [summary(t, width, minima) for t in texts(batch)]
+        values = np.array([f for f, _ in found], np.uint64)
+        columns, names = [batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"]
+        if minima:
+            least = [np.array(m, np.uint64).view(np.int64) for _, m in found]
+            columns, names = [*columns, pa.array(least, pa.list_(pa.int64()))], [*names, "least"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, minima: int = 0) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a long), and with ``minima`` the least shingle
+    hashes, of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
+    more = ", least array<long>" if minima else ""
+    return rows.mapInArrow(partial(_fingerprints, width=width, minima=minima), f"doc_id long, fp long{more}")
 
 
 def _keys() -> list[Column]:
@@ -103,7 +122,6 @@ def sliced_links(fps: np.ndarray, starts: np.ndarray, asks: np.ndarray, answers:
     planes = np.stack([np.bitwise_or.reduceat(((fps >> np.uint64(b)) & one) << lane, heads) for b in range(64)])
     valid = np.bitwise_or.reduceat(answers.astype(np.uint64) << lane, heads)
     group = np.repeat(np.arange(len(starts)), sizes)
-    head_of = heads
     labels = np.arange(n)
     every = np.flatnonzero(asks)
     counts = words[group[every]]
@@ -120,41 +138,35 @@ def sliced_links(fps: np.ndarray, starts: np.ndarray, asks: np.ndarray, answers:
         lanes = valid[word].copy()
         mine = step == own[query]
         lanes[mine] &= ~(one << lane[query[mine]])
-        over, s0, s1 = ~lanes, np.zeros(len(query), np.uint64), np.zeros(len(query), np.uint64)
-        s2 = np.zeros(len(query), np.uint64)
+        over = ~lanes
+        counters = [np.zeros(len(query), np.uint64) for _ in range(max(1, radius.bit_length()))]
         for b in range(64):
-            differ = planes[b][word] ^ (np.uint64(0) - ((fps[query] >> np.uint64(b)) & one))
-            carry = s0 & differ
-            s0 = s0 ^ differ
-            differ = s1 & carry
-            s1 = s1 ^ carry
-            carry = s2 & differ
-            s2 = s2 ^ differ
-            over |= carry | _beyond(s0, s1, s2, radius)
+            carry = planes[b][word] ^ (np.uint64(0) - ((fps[query] >> np.uint64(b)) & one))
+            for n, plane in enumerate(counters):
+                counters[n], carry = plane ^ carry, plane & carry
+            over |= carry | _beyond(counters, radius)
             if b & 7 == 7:
                 live = over != FULL
-                query, word, over, s0, s1, s2 = (x[live] for x in (query, word, over, s0, s1, s2))
+                query, word, over, *counters = (x[live] for x in (query, word, over, *counters))
                 if not len(query):
                     break
         if len(query):
             bits = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, col = np.nonzero(bits)
-            labels = merge_labels(labels, query[row], head_of[word[row]] + col)
+            labels = merge_labels(labels, query[row], heads[word[row]] + col)
     return labels
 
 
-def _beyond(s0: np.ndarray, s1: np.ndarray, s2: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count exceeds ``radius`` (at most 7; the fourth bit is the carry)."""
-    if radius == 3:
-        return s2
-    planes = (s2, s1, s0)
-    more, same = np.zeros_like(s0), ~np.zeros_like(s0)
-    for plane, bit in zip(planes, (4, 2, 1), strict=True):
-        if radius & bit:
-            same = same & plane
+def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count (lowest bit plane first) exceeds ``radius``; what does not fit the
+    planes has gone over as a carry."""
+    more, same = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for bit in reversed(range(len(counters))):
+        if radius >> bit & 1:
+            same = same & counters[bit]
         else:
-            more = more | (same & plane)
-            same = same & ~plane
+            more = more | (same & counters[bit])
+            same = same & ~counters[bit]
     return more
 
 
@@ -183,16 +195,13 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield linked(rest)
 
 
-def fingerprint_links(classes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between different fingerprints of ``classes`` (fp, unique) that connect
-    all pairs at ``radius`` (3 at most) or fewer bits: of each bucket a spanning forest.
+def bucket_links(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between fingerprints of rows (g, fp), unique: those at ``radius`` or fewer
+    bits in one bucket g are connected, by a spanning forest of each bucket.
 
     A bucket over ``chunk`` rows is dealt into chunks by hash; each two chunks meet in a
     group of their own, so no task holds more than about two chunks at once.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("five blocks, two shared, find all pairs up to 3 bits only")
-    keyed = classes.select("fp", F.explode(F.array(*_keys())).alias("g"))
     sizes = keyed.groupBy("g").count().where("count > 1")
     chunks = sizes.select("g", F.ceil(F.col("count") / chunk).cast("long").alias("chunks"))
     met = keyed.join(chunks, "g").withColumn("side", F.pmod(F.xxhash64("fp"), F.col("chunks")))
@@ -202,6 +211,25 @@ def fingerprint_links(classes: DataFrame, radius: int = 3, chunk: int = CHUNK) -
     return met.mapInArrow(partial(_links, radius=radius), "a long, b long").distinct()
 
 
+def fingerprint_links(classes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """Links between different fingerprints of ``classes`` (fp, unique) that connect all
+    pairs at ``radius`` (3 at most) or fewer bits."""
+    if not 0 <= radius <= 3:
+        raise ValueError("five blocks, two shared, find all pairs up to 3 bits only")
+    return bucket_links(classes.select(F.explode(F.array(*_keys())).alias("g"), "fp"), radius, chunk)
+
+
+def grouped(spark: SparkSession, own: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of the rows of ``own`` (doc_id, fp)."""
+    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = components(spark, links)
+    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    named = named.select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.join(roots, "root").select("fp", "component_id")
+    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_groups(spark: SparkSession, docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``.
 
@@ -211,32 +239,32 @@ def near_groups(spark: SparkSession, docs: DataFrame, radius: int = 3, width: in
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
     own = written(spark, fingerprints(docs, width), "fingerprints")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(spark, fingerprint_links(classes.select("fp"), radius))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(roots, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    links = fingerprint_links(own.select("fp").distinct(), radius)
+    made = grouped(spark, own, links)
+    return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, radius: int = 3, width: int = 5) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, similar: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the smallest doc_id stays.
 
-    Rows that repeat a doc_id are one document: the first by text stays. Rows with a null
-    doc_id, and texts without words, are not compared and stay.
+    Two texts are near if they share ``similar`` of their fingerprints' bits and a least
+    shingle hash. Rows that repeat a doc_id are one document: the first by text stays. Rows
+    with a null doc_id, and texts without words, are not compared and stay.
     """
-    worded = docs.where("doc_id IS NOT NULL AND text RLIKE '[^\\\\s]'")
-    near = near_groups(spark, worded, radius, width)
+    worded = docs.where("doc_id IS NOT NULL AND text RLIKE '\\\\S'")
+    own = written(spark, fingerprints(worded, width, MINIMA), "fingerprints")
+    keyed = own.select("fp", F.posexplode("least")).select(F.xxhash64("pos", "col").alias("g"), "fp").distinct()
+    links = bucket_links(keyed, int(64 * (1 - similar) + 1e-9))
+    near = grouped(spark, own.select("doc_id", "fp"), links)
     fate = near.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("first"), F.count("*").alias("rows"))
-    fate = written(spark, fate.where("NOT first OR rows > 1").withColumnRenamed("doc_id", "_id"), "fates")
-    kept = docs.join(fate.where("NOT first"), docs["doc_id"] == F.col("_id"), "left_anti")
-    twice = fate.where("first")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, kept["doc_id"] == F.col("_id"), "left_semi")
-    order = F.struct("text", *[F.col(c).cast("string") for c in docs.columns if c != "text"])
-    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
-    return kept.join(twice, kept["doc_id"] == F.col("_id"), "left_anti").unionByName(again)
+    fate = written(spark, fate.where("NOT first OR rows > 1").withColumnRenamed("doc_id", "id"), "fates")
+    gone, twice = fate.where("NOT first").select("id"), fate.where("first").select("id")
+    # Rows travel as one struct, so that no column of theirs can clash.
+    row = F.struct(*docs.columns)
+    kept = docs.select(row.alias("row")).join(gone, F.col("row.doc_id") == F.col("id"), "left_anti")
+    if not twice.isEmpty():
+        again = kept.join(twice, F.col("row.doc_id") == F.col("id"), "left_semi")
+        order = F.struct("row.text", F.to_json("row"))
+        again = again.groupBy("row.doc_id").agg(F.min_by("row", order).alias("row")).select("row")
+        kept = kept.join(twice, F.col("row.doc_id") == F.col("id"), "left_anti").unionByName(again)
+    return kept.select("row.*")

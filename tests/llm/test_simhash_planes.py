@@ -87,9 +87,24 @@ def test_sliced_links_keep_asks_and_answers_apart():
     assert labels.tolist() == [0, 0, 0, 3]
 
 
+def test_counters_of_every_radius():
+    random = np.random.default_rng(8)
+    base = random.integers(0, 1 << 63, 3, dtype=np.uint64)
+    fps = []
+    for b in base:
+        for n in range(70):
+            flips = random.choice(64, n % 20, replace=False)
+            fps.append(int(b) ^ sum(1 << int(f) for f in flips))
+    fps = sorted(set(fps))
+    every = np.ones(len(fps), bool)
+    for radius in (0, 1, 2, 3, 5, 7, 8, 12, 15):
+        labels = sliced_links(np.array(fps, np.uint64), np.array([0]), every, every, radius)
+        assert labels.tolist() == plain_groups(fps, radius)
+
+
 def test_one_of_each_keeps_clean_and_unjudged_rows(spark):
     long = " ".join(f"word{i}" for i in range(300))
-    near = long.replace("word7 ", "other ")
+    near = long.replace("word7 ", "other ").replace("word200 ", "")
     table = docs(spark, [long, near, "quite another text of its own", None, "", long, "a text"], ids=[4, 2, 6, 7, 8, None, 6])
     kept = sorted(((r["doc_id"], r["text"]) for r in one_of_each(spark, table).collect()), key=str)
     assert kept == sorted([(2, near), (6, "a text"), (7, None), (8, ""), (None, long)], key=str)
