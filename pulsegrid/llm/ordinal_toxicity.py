@@ -27,8 +27,12 @@ SAMPLE = 10_000
 #: A feature stands in this many distinct sampled texts at least.
 SUPPORT = 4
 GRADES = 3
+#: Lengths in bytes of the word beginnings that are features.
+STEMS = (4, 5)
 STEPS = 400
 L1, L2 = 2e-4, 1e-5
+#: A text has every grade that it reaches with this probability.
+FLAG = 0.3
 _WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256)
 )
@@ -42,6 +46,14 @@ def word_set(text: str | None) -> set[bytes]:
     return found
 
 
+def features(text: str | None) -> set[bytes]:
+    """The distinct words of a whole text, and the beginnings of its longer words, which
+    stand for word families."""
+    words = word_set(text)
+    starts = {b"^" + w[:n] for w in words if len(w) > 5 for n in STEMS}
+    return words | starts
+
+
 def sketch(text: str | None) -> int:
     """The least hash of the text's five-word shingles: near copies mostly share it."""
     least = 1 << 32
@@ -56,7 +68,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = list(texts(batch))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), pa.array([sketch(t) for t in own], pa.int64()), pa.array([list(word_set(t)) for t in own], pa.list_(pa.binary()))],
+            [batch.column("toxic"), pa.array([sketch(t) for t in own], pa.int64()), pa.array([list(features(t)) for t in own], pa.list_(pa.binary()))],
             names=["toxic", "sketch", "words"],
         )
 
@@ -74,10 +86,13 @@ class CumulativeLink:
         return [1 / (1 + math.exp(min(50.0, max(-50.0, t - score)))) for t in self.thresholds]
 
 
-def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, size: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(
+    rows: list[np.ndarray], grades: np.ndarray, size: int, levels: int, rising: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that maximise the ordinal likelihood of ``grades`` (0 to
     levels - 1) on binary rows (arrays of feature numbers), with L1 and L2 penalties;
-    proximal steps with per-coordinate rates. Thresholds stay ordered by their gaps."""
+    proximal steps with per-coordinate rates. Thresholds stay ordered by their gaps. If
+    ``rising``, no weight is negative: a text can't make up for what it holds elsewhere."""
     at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     above = np.array([max(1e-3, min(1 - 1e-3, (grades > j).mean())) for j in range(levels - 1)])
@@ -100,7 +115,7 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, size: int, l
         seen_w, seen_t = seen_w + grad**2, seen_t + grad_t**2
         rate = 0.5 / np.sqrt(seen_w)
         weight = weight - rate * grad
-        weight = np.sign(weight) * np.maximum(np.abs(weight) - rate * L1, 0)
+        weight = np.maximum(weight - rate * L1, 0) if rising else np.sign(weight) * np.maximum(np.abs(weight) - rate * L1, 0)
         step = 0.1 * grad_t / np.sqrt(seen_t)
         first, gaps = first - step[0], gaps - step[1:]
     return weight, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
@@ -142,20 +157,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, levels: int =
     toxic = np.array([min(1, max(0, t)) for t in chosen["toxic"].to_pylist()])
     if toxic.min() == toxic.max():
         return CumulativeLink({}, [50.0 if toxic.max() == 0 else -50.0] * (levels - 1))
-    counted = Counter(w for own in words for w in own)
-    index = {w: n for n, w in enumerate(sorted(w for w, n in counted.items() if n >= SUPPORT))}
+    inside = Counter(w for own, t in zip(words, toxic, strict=True) if t for w in own)
+    outside = Counter(w for own, t in zip(words, toxic, strict=True) if not t for w in own)
+    more = (1 - toxic).sum() / toxic.sum()
+    index = {w: n for n, w in enumerate(sorted(w for w, n in inside.items() if n + outside[w] >= SUPPORT and n * more > 1.5 * outside[w]))}
     rows_at = [np.array([index[w] for w in own if w in index], np.int64) for own in words]
     grades = graded(words, toxic, levels)
-    weight, thresholds = fit_cumulative_link(rows_at, grades, max(1, len(index)), levels)
+    weight, thresholds = fit_cumulative_link(rows_at, grades, max(1, len(index)), levels, rising=True)
     return CumulativeLink({w: float(weight[n]) for w, n in index.items() if weight[n]}, thresholds.tolist())
 
 
 def _graded(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     own = model.value
     for batch in batches:
-        rows = [own.probabilities(word_set(t)) for t in texts(batch)]
+        rows = [own.probabilities(features(t)) for t in texts(batch)]
         severity = [sum(r) for r in rows]
-        grade = [sum(p > 0.5 for p in r) for r in rows]
+        grade = [sum(p > FLAG for p in r) for r in rows]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array([g > 0 for g in grade], pa.bool_())],
             names=["doc_id", "severity", "grade", "toxic"],

@@ -59,7 +59,8 @@ def test_edge_rows(spark):
 
 def test_stage_keeps_known_languages_only(spark):
     good = ["the quick brown fox jumps over the lazy dog"] * 8
-    table = docs(spark, [*good, "zzzqx wvvkj xqqz", "1234", None], [n for n in range(80) if not is_held_out(n)][:8] + [6, 10, 14])
+    learned, unseen = ([n for n in range(80) if is_held_out(n) == held] for held in (False, True))
+    table = docs(spark, [*good, "zzzqx wvvkj xqqz", "1234", None], learned[:8] + unseen[:3])
     kept = known_language(spark, table, 0.5)
     assert kept.columns == table.columns and kept.count() == 8
 
