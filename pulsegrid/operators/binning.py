@@ -146,6 +146,19 @@ def edge_noise(onsets: Column, slots: int, rms: Column, relative: Column, peak:
     return F.coalesce(low, F.lit(False))
 
 
+def bar_range(bars: DataFrame, keys: Sequence[str], first: int, last: int, bar: str = "bar") -> DataFrame:
+    """The bars from ``first`` to ``last``; a track that has none of them gets a row that says so."""
+    if first > last:
+        raise ValueError("the first bar lies behind the last one")
+    inside = F.col(bar).between(first, last)
+    values = [n for n in bars.columns if n not in keys]
+    empty = bars.groupBy(*keys).agg(F.bool_or(inside).alias("_any")).filter(~F.col("_any"))
+    refused = empty.select(
+        *keys, *[F.lit(None).cast(bars.schema[n].dataType).alias(n) for n in values], F.lit("empty-bar-range").alias("issue")
+    )
+    return bars.filter(inside).withColumn("issue", F.lit(None).cast("string")).unionByName(refused)
+
+
 def edge_runs(bars: DataFrame, keys: Sequence[str], condition: Column, bar: str = "bar") -> DataFrame:
     """Flag the bars of the leading and trailing runs where the condition holds.
 

@@ -492,11 +492,13 @@ def notices(spark, sf_dir):
 
 @plan(
     "bar_range",
-    "SELECT track, bar, energy FROM be WHERE bar BETWEEN 10 AND 20",
+    """SELECT track, bar, energy, NULL::VARCHAR AS issue FROM be WHERE bar BETWEEN 10 AND 20
+    UNION ALL SELECT track, NULL, NULL, 'empty-bar-range' FROM be GROUP BY track HAVING count(*) FILTER (bar BETWEEN 10 AND 20) = 0""",
     ("be",),
 )
 def bar_range(spark, sf_dir):
-    return binning.bar_energy(evidence(spark, sf_dir), ["track"], 16, TICKS, 12).filter(F.col("bar").between(10, 20)).select("track", "bar", "energy")
+    bars = binning.bar_energy(evidence(spark, sf_dir), ["track"], 16, TICKS, 12).select("track", "bar", "energy")
+    return binning.bar_range(bars, ["track"], 10, 20)
 
 
 @plan(

@@ -105,7 +105,10 @@ def redact(spark, sf_dir):
     """
     SELECT track || '-' || t // 86400000000 AS fixture, CASE kind WHEN 'view' THEN 'onsets' WHEN 'click' THEN 'beats' ELSE 'downbeats' END AS kind, (t % 86400000000) / 1000000.0::DOUBLE AS start_s, NULL::DOUBLE AS end_s FROM ev
       WHERE kind IN ('view', 'click', 'purchase') AND (track + t // 86400000000) % 7 <> 0
+    UNION ALL SELECT track || '-' || t // 86400000000, 'low_band_onsets', (t % 86400000000) / 1000000.0::DOUBLE, NULL FROM ev WHERE kind = 'error' AND (track + t // 86400000000) % 7 <> 0
     UNION ALL SELECT track || '-' || t // 86400000000, 'fill_ranges', (t % 86400000000) / 1000000.0::DOUBLE, (t % 86400000000) / 1000000.0::DOUBLE + 60 FROM ev WHERE kind = 'signup' AND (track + t // 86400000000) % 7 <> 0
+    UNION ALL SELECT track || '-' || t // 86400000000, 'section:drop', (t % 86400000000) / 1000000.0::DOUBLE, 86400 FROM ev WHERE kind = 'purchase' AND (track + t // 86400000000) % 7 <> 0
+    UNION ALL SELECT DISTINCT track || '-' || t // 86400000000, 'rejected', 2.0::DOUBLE, NULL::DOUBLE FROM ev WHERE (track + t // 86400000000) % 7 = 0
     """,
     ("ev",),
 )
@@ -117,7 +120,7 @@ def gt_events(spark, sf_dir):
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("s"))))
 
     fixtures = events.groupBy("track", "day").agg(
-        times("view").alias("onsets"), times("click").alias("beats"), times("purchase").alias("downbeats"), times("signup").alias("_f")
+        times("view").alias("onsets"), times("click").alias("beats"), times("purchase").alias("downbeats"), times("signup").alias("_f"), times("error").alias("low_band_onsets")
     )
     document = F.to_json(
         F.struct(
@@ -126,12 +129,17 @@ def gt_events(spark, sf_dir):
             "onsets",
             "beats",
             "downbeats",
+            "low_band_onsets",
+            F.transform("downbeats", lambda s: F.struct(s.alias("start"), F.lit(86400.0).alias("end"), F.lit("drop").alias("role"))).alias("sections"),
             F.transform("_f", lambda s: F.array(s, s + 60.0)).alias("fill_ranges"),
         )
     )
-    found, ranges = content.read_ground_truth(fixtures.select(document.alias("value")))
+    found, ranges, rejected = content.read_ground_truth(fixtures.select(document.alias("value")))
+    refused = rejected.select(
+        "fixture", F.lit("rejected").alias("kind"), F.col("schema_version").cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s")
+    )
     points = found.select("fixture", "kind", F.col("time_s").alias("start_s"), F.lit(None).cast("double").alias("end_s"))
-    return points.unionByName(ranges)
+    return points.unionByName(ranges).unionByName(refused)
 
 
 @plan(

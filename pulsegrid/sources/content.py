@@ -100,19 +100,35 @@ def encode_audit(spark: SparkSession, texts: DataFrame, text: str = "text") -> D
 
 GROUND_TRUTH = """fixture string, schema_version int, bpm double, time_signature string, duration double,
 first_downbeat double, onsets array<double>, strong_onsets array<double>, beats array<double>, downbeats array<double>,
-silent_ranges array<array<double>>, fill_ranges array<array<double>>"""
+low_band_onsets array<double>, high_band_onsets array<double>, silent_ranges array<array<double>>, fill_ranges array<array<double>>,
+sections array<struct<start:double,end:double,role:string>>"""
 
 
-def read_ground_truth(documents: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(events, ranges) of ground-truth documents of version 1."""
-    parsed = documents.select(F.from_json(column, GROUND_TRUTH).alias("d")).select("d.*").filter("schema_version = 1")
-    kinds = ("onsets", "strong_onsets", "beats", "downbeats")
+def read_ground_truth(documents: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, ranges, rejected) of ground-truth documents; those of another version than 1,
+    and those that can't be read, are rejected with their fixture and version, if known.
+
+    Sections are ranges of kind ``section:<role>``.
+    """
+    every = documents.select(F.from_json(column, GROUND_TRUTH).alias("d")).select("d.*")
+    good = F.coalesce(F.col("schema_version") == 1, F.lit(False))
+    parsed, rejected = every.filter(good), every.filter(~good).select("fixture", "schema_version")
+    kinds = ("onsets", "strong_onsets", "beats", "downbeats", "low_band_onsets", "high_band_onsets")
     lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("times")) for k in kinds])
     events = parsed.select("fixture", F.inline(lists)).select("fixture", "kind", F.explode("times").alias("time_s"))
     spans = ("silent_ranges", "fill_ranges")
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("spans")) for k in spans])
-    ranges = parsed.select("fixture", F.inline(pairs)).select("fixture", "kind", F.explode("spans").alias("s"))
-    return events, ranges.select("fixture", "kind", F.col("s")[0].alias("start_s"), F.col("s")[1].alias("end_s"))
+    none = F.array().cast("array<struct<kind:string,start_s:double,end_s:double>>")
+
+    def named(kind: str) -> Column:
+        made = F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s[0].alias("start_s"), s[1].alias("end_s")))
+        return F.coalesce(made, none)
+
+    role = F.transform(
+        "sections",
+        lambda s: F.struct(F.concat(F.lit("section:"), s["role"]).alias("kind"), s["start"].alias("start_s"), s["end"].alias("end_s")),
+    )
+    ranges = parsed.select("fixture", F.inline(F.concat(*[named(k) for k in spans], F.coalesce(role, none))))
+    return events, ranges, rejected
 
 
 ANALYSIS = """schema_version int, bpm double, onset_grids array<int>, onset_16 array<int>, accent_grids array<int>,
