@@ -145,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, levels: int =
     rate = min(1.0, sample / max(1, total))
     picked = known.where((F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < rate * 1_000_000))
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(picked, rows["doc_id"] == F.col("_id")).select("toxic", "text")
+    # The sample's size is bounded, so its ids can be sent to every executor.
+    rows = rows.join(F.broadcast(picked), rows["doc_id"] == picked["_id"]).select("toxic", "text")
     found = rows.mapInArrow(_sampled, "toxic long, sketch long, words array<binary>").toArrow()
     if not found.num_rows:
         return CumulativeLink({}, [50.0] * (levels - 1))

