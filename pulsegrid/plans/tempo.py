@@ -68,6 +68,24 @@ def tempo_scan(spark, sf_dir):
     return tempo.tempo_scan(onsets, ["track"], seconds(), weight(), 30.0, FALLBACK_BPM)
 
 
+@plan(
+    "tempo_offset",
+    f"""
+    WITH b AS (SELECT track, bpm, center, 60.0::DOUBLE / bpm AS iv FROM walked WHERE i = 264),
+    r AS (SELECT ts.track, s, w, bpm, center, iv, ((s - center + iv * 0.5::DOUBLE) % iv + iv) % iv - iv * 0.5::DOUBLE AS d FROM ts JOIN b USING (track)),
+    g AS (SELECT track, bpm, center, iv, coalesce(sum(w * sin(s / iv * 2 * pi())) FILTER (abs(d) <= {tempo.PHASE_WINDOW_S}), 0) AS y, coalesce(sum(w * cos(s / iv * 2 * pi())) FILTER (abs(d) <= {tempo.PHASE_WINDOW_S}), 0) AS x, count(*) FILTER (abs(d) <= {tempo.PHASE_WINDOW_S}) AS n FROM r GROUP BY ALL)
+    SELECT track, bpm AS best_bpm, {_r("CASE WHEN n = 0 OR sqrt(x * x + y * y) <= 1e-8 THEN center % iv ELSE ((atan2(y, x) + 2 * pi()) % (2 * pi())) / (2 * pi()) * iv END", 6)} AS offset_s FROM g
+    """,
+    ("walked", "ts"),
+    recursive=True,
+)
+def tempo_offset(spark, sf_dir):
+    onsets = of_kind(timeline(spark, sf_dir), "view", "click")
+    best = tempo.tempo_scan(onsets, ["track"], seconds(), weight(), 30.0, FALLBACK_BPM)
+    found = tempo.circular_offset(onsets, best, ["track"], seconds(), weight())
+    return found.select("track", "best_bpm", round_half_even(F.col("offset"), 6).alias("offset_s"))
+
+
 @plan(
     "phase_support",
     f"""
