@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.numeric import round_half_even
-from pulsegrid.operators import binning, evidence as ev
+from pulsegrid.operators import binning, evidence as ev, meters
 from pulsegrid.plans.bindings import BEAT, DAY, HOUR, SECOND, TICKS, bar_spine, evidence, lines, timeline
 from pulsegrid.plans.registry import cte, plan
 from pulsegrid.plans.stages import stage
@@ -328,6 +328,24 @@ def bar_grid(spark, sf_dir):
     )
 
 
+@plan(
+    "meter_grid",
+    """
+    WITH m AS (SELECT track, value, t, CASE track % 4 WHEN 0 THEN '4/4' WHEN 1 THEN '3/4' WHEN 2 THEN '6/8' ELSE '5/4' END AS meter FROM ev),
+    k AS (SELECT *, CASE meter WHEN '4/4' THEN 48 WHEN '3/4' THEN 36 WHEN '6/8' THEN 36 END AS ticks, round_even((t - 10800000000) / 450000000.0::DOUBLE, 0)::BIGINT AS a FROM m),
+    p AS (SELECT track, meter, CAST(a // ticks AS INTEGER) AS bar, CAST(a % ticks AS INTEGER) AS tick, value FROM k WHERE ticks IS NOT NULL AND t >= 10800000000)
+    SELECT track, meter, bar, tick, CASE meter WHEN '6/8' THEN tick % 18 = 0 ELSE tick % 12 = 0 END AS is_beat, NULL::VARCHAR AS issue, max(value) AS value, count(*) AS event_count FROM p GROUP BY ALL
+    UNION ALL SELECT track, meter, NULL, NULL, false, 'unknown-meter', NULL, count(*) FROM k WHERE ticks IS NULL GROUP BY track, meter
+    """,
+    ("ev",),
+)
+def meter_grid(spark, sf_dir):
+    k = F.col("track") % 4
+    meter = F.when(k == 0, "4/4").when(k == 1, "3/4").when(k == 2, "6/8").otherwise("5/4")
+    events = timeline(spark, sf_dir).withColumn("meter", meter)
+    return meters.meter_grid(events, ["track"], "meter", F.col("t"), F.col("value"), start=3 * HOUR, quarter=12 * 450 * SECOND)
+
+
 @plan(
     "frames",
     """
