@@ -30,6 +30,8 @@ PILOTS = 100
 RECALL = 0.97
 BLOCK = 512
 ASKED = 256
+#: Queries whose nearest a task holds before it passes them on.
+HELD = 50_000
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -130,23 +132,34 @@ def _visits(batches: Iterator[pa.RecordBatch], model, share: float, least: int)
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Each row holds some queries and some entries of one cell; per query its k nearest."""
+    """Each row holds some queries and some entries of one cell. The k nearest of a query are
+    kept over all rows of the task; they are passed on when ``HELD`` queries are held."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def passed_on() -> pa.RecordBatch:
+        queries = np.repeat(list(held), [len(ids) for ids, _ in held.values()])
+        columns = [queries, *(np.concatenate(c) for c in zip(*held.values(), strict=True))]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
     for batch in batches:
-        out = defaultdict(list)
         for row in range(batch.num_rows):
             asked, queries = (np.array(batch.column(c)[row].values) for c in ("query_ids", "qs"))
             ids, own = (np.array(batch.column(c)[row].values) for c in ("vec_ids", "vs"))
             queries, own = queries.reshape(len(asked), -1), own.reshape(len(ids), -1)
-            for query, point in zip(asked, queries, strict=True):
+            for query, point in zip(asked.tolist(), queries, strict=True):
                 differ = own - point
                 score = np.sqrt((differ * differ).sum(axis=1))
                 other = ids != query
-                order = np.lexsort((ids[other], score[other]))[:k]
-                out["query_id"].append(np.full(len(order), query))
-                out["vec_id"].append(ids[other][order])
-                out["score"].append(score[other][order])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[c])) for c in ("query_id", "vec_id", "score")], names=["query_id", "vec_id", "score"])
+                found, score = ids[other], score[other]
+                if query in held:
+                    found, score = np.concatenate([held[query][0], found]), np.concatenate([held[query][1], score])
+                order = np.lexsort((found, score))[:k]
+                held[query] = found[order], score[order]
+            if len(held) >= HELD:
+                yield passed_on()
+    if held:
+        yield passed_on()
 
 
 FOUND = "query_id long, vec_id long, score double"
