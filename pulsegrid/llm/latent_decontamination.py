@@ -2,13 +2,16 @@
 
 Benchmark items are cut into passages; a distributed randomised SVD of their TF-IDF matrix
 (IDF counted over the whole corpus) gives a latent space. Every window of every document is
-projected into it and held against the passages by cosine; what could cover half of a
-passage's weight is verified: by the longest common subsequence of words, by the weight of
+projected into it and held against the passages; what could cover half of a passage's
+weight is verified: by the longest common subsequence of words, by the weight of
 the words in common, and by the passage's end (its answer). Paraphrases that keep the order
 of most words are found as well as copies.
 
-Benchmarks are worked through in blocks of ``BLOCK`` passages, so what is broadcast to the
-tasks is bounded: at most BLOCK * PASSAGE words and passages, each with RANK numbers.
+Benchmarks are worked through in blocks of about ``BLOCK`` passages, so what is broadcast to
+the tasks is bounded: about BLOCK * PASSAGE words and BLOCK passages, each with as many
+numbers. Rows have unit length and the rank is that of the block, so short passages keep
+their energy; what a passage still loses is measured and allowed for, so that the latent
+search passes whatever the verification could accept.
 """
 
 from __future__ import annotations
@@ -26,8 +29,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import parts, texts, utf8, written
 
 PASSAGE = 64
-BLOCK = 512
-RANK = 256
+BLOCK = 256
 OVER = 16
 #: A match has this share of the passage's words in order,
 ORDERED = 0.6
@@ -35,8 +37,8 @@ ORDERED = 0.6
 WEIGHT = 0.5
 #: and this share of its last quarter (the answer) in order.
 ANSWER = 0.5
-#: Room for what a truncated latent space loses in the cosine search.
-SLACK = 0.8
+#: Room for rounding in the latent search, as a share of the lengths of both vectors.
+ROUNDING = 1e-4
 SHORTEST = 5
 _WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256)
@@ -93,14 +95,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch], words) -> Iterator[pa.Record
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], words, idf) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Each batch of passages with its rows of the TF-IDF matrix (word numbers, weights)."""
+    """Each batch of passages with its rows of the TF-IDF matrix (word numbers, weights), of
+    unit length each."""
     index, weight = words.value, idf.value
     for batch in batches:
         rows = []
         for own in batch.column("words").to_pylist():
             counted = Counter(index[w] for w in own)
             at = np.array(sorted(counted))
-            rows.append((at, np.array([counted[i] for i in at]) * weight[at]))
+            row = np.array([counted[i] for i in at]) * weight[at]
+            rows.append((at, row / max(np.sqrt(row @ row), 1e-12)))
         yield batch, rows
 
 
@@ -171,7 +175,16 @@ def latent_basis(spark: SparkSession, passages: DataFrame, words, idf, rank: int
     values, vectors = np.linalg.eigh(probe.T @ probe)
     order = np.argsort(-values)[:rank]
     order = order[values[order] > max(values.max(), 0) * 1e-10]
-    return (probe @ vectors[:, order] / np.sqrt(values[order])).astype(np.float32)
+    return np.linalg.qr(probe @ vectors[:, order] / np.sqrt(values[order]))[0].astype(np.float32)
+
+
+def least_product(counts: np.ndarray, energy: np.ndarray) -> float:
+    """The least product of a passage's TF-IDF vector with that of a text that has ``WEIGHT``
+    of the passage's weight in common: words that the passage has seldom are there first."""
+    order = np.argsort(counts)
+    mass = (counts * energy)[order]
+    before = np.cumsum(mass) - mass
+    return float(counts[order] @ np.clip(WEIGHT * mass.sum() - before, 0, mass))
 
 
 @dataclass
@@ -183,6 +196,11 @@ class Block:
     words: list[list[bytes]]
     latent: np.ndarray
     weight: np.ndarray
+    #: Of each passage: the length that its latent vector lacks, the least product with a
+    #: window that holds a match, and the energy of its words.
+    lost: np.ndarray
+    least: np.ndarray
+    mass: np.ndarray
 
     def matches(self, text: str | None) -> dict[int, tuple[float, float, int]]:
         """item -> (share of words in order, cosine, first word of the window), its best."""
@@ -207,13 +225,18 @@ class Block:
         starts = np.arange(0, max(1, len(words) - PASSAGE), PASSAGE)
         low, high = np.searchsorted(place, starts), np.searchsorted(place, starts + 2 * PASSAGE)
         # A window with less weight than the least that a match needs can't hold one.
-        for n in np.flatnonzero(total[high] - total[low] >= WEIGHT * self.weight.min()):
+        for n in np.flatnonzero(total[high] - total[low] >= WEIGHT * self.mass.min() - 1e-9):
             own, counts = np.unique(known[low[n] : high[n]], return_counts=True)
             vector = counts * np.sqrt(self.energy[own])
-            cosine = self.latent @ (vector.astype(np.float32) @ self.basis[own]) / np.sqrt(self.weight * (vector @ vector))
-            floor = SLACK * WEIGHT * np.sqrt(self.weight / (vector @ vector))
+            length = vector @ vector
+            seen = vector.astype(np.float32) @ self.basis[own]
+            product = self.latent @ seen
+            norms = np.sqrt(self.weight * length)
+            cosine = product / norms
+            # What both vectors lack in the latent space adds no more than its lengths' product.
+            floor = self.least - self.lost * np.sqrt(max(0.0, length - float(seen @ seen))) - ROUNDING * norms
             window = words[starts[n] : starts[n] + 2 * PASSAGE]
-            for i in np.flatnonzero(cosine >= floor):
+            for i in np.flatnonzero(product >= floor):
                 share = self.verified(i, window)
                 if share and (share, float(cosine[i])) > best.get(self.items[i], (0.0, 0.0, 0))[:2]:
                     best[self.items[i]] = (share, float(cosine[i]), offset + int(starts[n]))
@@ -244,14 +267,17 @@ def _block(spark: SparkSession, docs: DataFrame, passages: DataFrame) -> Block:
     corpus = found.pop(b"", 0) or 0
     idf = np.log((2 + corpus) / (1 + np.array([found.get(w, 0) for w in index])))
     sent = spark.sparkContext.broadcast(idf)
-    basis = latent_basis(spark, passages, words, sent, min(RANK, len(items)))
-    latent, weight = np.zeros((len(items), basis.shape[1]), np.float32), np.zeros(len(items))
+    basis = latent_basis(spark, passages, words, sent, len(items))
+    latent = np.zeros((len(items), basis.shape[1]))
+    weight, least, mass = (np.zeros(len(items)) for _ in range(3))
     for n, own in enumerate(lists):
-        for w, count in Counter(own).items():
-            at = index[w]
-            latent[n] += np.float32(count * idf[at]) * basis[at]
-            weight[n] += (count * idf[at]) ** 2
-    return Block(index, idf**2, basis, items, lists, latent, np.maximum(weight, 1e-12))
+        counted = Counter(index[w] for w in own)
+        at, counts = np.array(list(counted)), np.array(list(counted.values()))
+        latent[n] = (counts * idf[at]) @ basis[at].astype(np.float64)
+        weight[n] = ((counts * idf[at]) ** 2).sum()
+        least[n], mass[n] = least_product(counts, idf[at] ** 2), counts @ idf[at] ** 2
+    lost = np.sqrt(np.maximum(weight - (latent**2).sum(axis=1), 0))
+    return Block(index, idf**2, basis, items, lists, latent.astype(np.float32), np.maximum(weight, 1e-12), lost, least, mass)
 
 
 def _found(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,15 @@ import random
 import numpy as np
 from helpers import docs, given, long_text
 
-from pulsegrid.llm.latent_decontamination import common_order, contaminated, latent_basis, without_leaks, words_of
+from pulsegrid.llm.latent_decontamination import (
+    WEIGHT,
+    common_order,
+    contaminated,
+    latent_basis,
+    least_product,
+    without_leaks,
+    words_of,
+)
 
 
 def plain_common_order(a, b):
@@ -87,3 +95,26 @@ def test_basis_spans_the_passages(spark):
             dense[n, index[w]] += idf[index[w]]
     assert np.abs(basis.T @ basis - np.eye(basis.shape[1])).max() < 1e-4
     assert np.abs(dense @ basis @ basis.T - dense).max() < 1e-3
+
+
+def test_copies_of_many_items_of_all_lengths_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = [f"term{n}" for n in range(3000)]
+    drawn = [1 / (n + 5) for n in range(3000)]
+    items = [" ".join(rng.choices(vocabulary, drawn, k=rng.randint(10, 60))) for _ in range(900)]
+    filler = lambda n: " ".join(rng.choices(vocabulary, drawn, k=n))
+    texts = [f"{filler(rng.randint(0, 200))} {x} {filler(rng.randint(0, 200))}" for x in items]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(spark, docs(spark, texts), bench).collect()}
+    exact = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if f" {x} " in f" {t} "}
+    assert len(exact) >= 900 and exact <= got
+
+
+def test_no_common_words_of_enough_weight_give_a_smaller_product():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        counts, energy = rng.integers(1, 6, 8), rng.random(8) + 0.1
+        least = least_product(counts, energy)
+        there = rng.integers(0, 7, (50, 8))
+        enough = np.minimum(counts, there) @ energy >= WEIGHT * (counts @ energy)
+        assert ((counts * there * energy).sum(axis=1)[enough] >= least - 1e-9).all()
