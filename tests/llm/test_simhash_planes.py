@@ -122,3 +122,25 @@ def test_components_of_a_long_chain(spark):
 def test_fingerprints_of_wide_shingles(spark):
     text = " ".join(f"x{i}" for i in range(50))
     assert fingerprints(docs(spark, [text]), 5).first()["fp"] % (1 << 64) == plain_fingerprint(text, 5)
+
+
+def shingles(text, width=5):
+    words = text.split()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def test_near_copies_are_those_of_the_shingles_similarity(spark):
+    rng = np.random.default_rng(3)
+    texts, alike = [], []
+    for want in (0.5, 0.6, 0.7, 0.9):
+        for _ in range(40):
+            size = int(rng.integers(60, 400))
+            common = round(2 * want * (size - 4) / (1 + want)) + 4
+            a, b = ([f"w{n}" for n in rng.integers(0, 5000, size)] for _ in range(2))
+            pair = [" ".join(a), " ".join(a[:common] + b[common:])]
+            x, y = map(shingles, pair)
+            texts += pair
+            alike.append(len(x & y) / len(x | y) >= 0.8)
+    kept = {r["doc_id"] for r in one_of_each(spark, docs(spark, texts)).collect()}
+    assert alike.count(True) == 40
+    assert kept == set(range(0, len(texts), 2)) | {2 * n + 1 for n, near in enumerate(alike) if not near}
