@@ -73,3 +73,26 @@ def test_edge_rows(spark):
     got = sorted(((r["doc_id"], r["n_values"]) for r in pseudonymised(docs(spark, texts, [1, 2, 3, 4, 5, None, None])).collect()), key=str)
     assert got == sorted([(1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (None, 1), (None, 1)], key=str)
     assert pseudonymised(docs(spark, [])).count() == 0
+
+
+def test_month_first_one_digit_dates_and_account_numbers(spark):
+    texts = [
+        "12/31/1987", "02/28/1987", "02.28.1987", "1987/02/28", "2/28/1987", "1/2/1987", "3.4.1987", "1987-2-8", "1987/12/8", "01/02/1987",
+        "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32",
+    ]
+    wrong = ["13/13/1987", "2/30/1987", "1987/13/01", "DE88370400440532013000"]
+    made = pseudonymised(docs(spark, [f"on {t} AND" for t in texts + wrong]), "a key").cache()
+    got = [(r["text"][3:-4], r["n_values"], r["kinds"]) for r in made.orderBy("doc_id").collect()]
+    assert got[len(texts):] == [(t, 0, "") for t in wrong]
+    for old, (new, n, kind) in zip(texts, got, strict=False):
+        assert new != old and n == 1 and kind == ("iban" if old[0] in "DG" else "date")
+        assert re.sub(r"\d", "0", old) == re.sub(r"\d", "0", new)
+        if kind == "iban":
+            plain = new.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert got[10][0] == got[11][0].replace(" ", "")
+    for new, _, _ in got[:3]:
+        month, day, _ = map(int, re.split("[./]", new))
+        assert month <= 12 < day
+    back = pseudonymised(made, "a key", back=True).orderBy("doc_id").collect()
+    assert [r["text"][3:-4] for r in back] == texts + wrong
