@@ -17,6 +17,7 @@ from pulsegrid.llm import (
     piece_trie,
     prefix_counts,
     simhash_planes,
+    token_alignment,
 )
 from pulsegrid.llm.common import read_table
 from pulsegrid.llm.vocabularies import vocabulary
@@ -65,6 +66,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_trie.encode(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    return token_alignment.alignments(spark, read_table(spark, sf_dir, "documents"), first, second)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tokens,
         op9_language,
         op10_pieces,
+        op13_alignment,
     )
 }
 SQL: dict[str, str] = {}
