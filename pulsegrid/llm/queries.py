@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import (
+    conversation_trie,
     feistel_pseudonyms,
     fuzzy_lines,
+    kernel_quality,
     language_masks,
     latent_decontamination,
     licence_index,
@@ -66,6 +68,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_trie.encode(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_quality.quality(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(spark, read_table(spark, sf_dir, "conversations"), opened=True)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
     return token_alignment.alignments(spark, read_table(spark, sf_dir, "documents"), first, second)
@@ -84,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tokens,
         op9_language,
         op10_pieces,
+        op11_quality,
+        op12_conversations,
         op13_alignment,
     )
 }

@@ -3,7 +3,7 @@ from helpers import SF
 
 from pulsegrid.llm.queries import QUERIES
 
-ROWS = {"op2_neighbours", "op7_decontamination"}
+ROWS = {"op2_neighbours", "op7_decontamination", "op12_conversations"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
