@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.numeric import flag_sum, ratio, round_half_even
 from pulsegrid.operators.scan import gap_islands, ordered_scan, time_cell
-from pulsegrid.session import ensure_checkpoint_dir
-
-SHORT_CHAIN = 512
 
 
 def streams(
@@ -228,60 +226,67 @@ def spaced_picks(
 ) -> DataFrame:
     """Keep the first event and then always the next one more than ``min_gap`` later.
 
-    Which events are kept depends on the ones kept before. An event after a gap wider
-    than ``min_gap`` is always kept, so such events start independent chains. Short chains
-    are folded as arrays. In longer ones the successor of every event is known, and
-    doubling the successor links marks all reachable events in log2(longest chain)
-    equi-joins: no long chain is gathered.
+    Which events are kept depends on the last one kept before. A cell of the time axis is a
+    step function from the last time kept on entry to the last one kept on exit: its
+    breakpoints are the few events that can be the first one kept in it, and the exit of each
+    is found by doubling the links from event to next event inside the cell. One scan over a
+    key's cells composes the functions; then every cell walks from its own entry. A key's
+    scan has a row for each cell, so it follows the length of the timeline.
     """
     keys = list(keys)
+    hops = 32
     times = events.select(*keys, time).distinct()
-    cell = time_cell(F.col(time), max(cell_width, min_gap * 8))
-    ensure_checkpoint_dir(events.sparkSession)
-    islands = gap_islands(times, keys, [time], cell, min_gap, "_chain").checkpoint()
-    sizes = islands.groupBy(*keys, "_chain").agg(F.count(F.lit(1)).alias("_size"))
-    short = islands.join(sizes.filter(F.col("_size") <= SHORT_CHAIN), [*keys, "_chain"])
-    gathered = short.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(time)).alias("_times"))
-
-    def keep(acc: Column, t: Column) -> Column:
-        far = (F.size(acc) == 0) | (t - F.element_at(acc, -1) > F.lit(min_gap))
-        return F.when(far, F.array_append(acc, t)).otherwise(acc)
-
-    empty = F.array().cast(f"array<{dict(islands.dtypes)[time]}>")
-    picked = gathered.select(*keys, F.explode(F.aggregate("_times", empty, keep)).alias(time))
-    longest = sizes.agg(F.max("_size").alias("m")).first()["m"] or 0
-    if longest <= SHORT_CHAIN:
-        return picked
-    long_ones = islands.join(sizes.filter(F.col("_size") > SHORT_CHAIN), [*keys, "_chain"]).drop("_size")
-    return picked.unionByName(_linked_picks(long_ones, keys, time, min_gap, cell_width, longest))
-
-
-def _linked_picks(
-    islands: DataFrame, keys: list[str], time: str, min_gap: int | float, cell_width: int | float, longest: int
-) -> DataFrame:
-    """Reachable events of long chains by doubling successor links."""
-    probe = islands.withColumn("_at", F.col(time) + F.lit(min_gap)).withColumn("_kind", F.lit(1))
-    target = islands.withColumn("_at", F.col(time)).withColumn("_kind", F.lit(0))
-    # A target at exactly the probe time is not more than min_gap away: targets sort first.
-    linked = ordered_scan(
-        probe.unionByName(target).withColumn("_target", F.when(F.col("_kind") == 0, F.struct(time, "_chain"))),
-        keys,
-        ["_at", "_kind", time],
-        time_cell(F.col("_at"), max(cell_width, min_gap * 8)),
-        bfill={"_next": F.col("_target")},
-    ).filter(F.col("_kind") == 1)
-    same = F.col("_next._chain") == F.col("_chain")
-    links = linked.select(*keys, time, F.when(same, F.col(f"_next.{time}")).alias("_jump"))
-    jumps = links.filter(F.col("_jump").isNotNull()).checkpoint()
-    marked = islands.groupBy(*keys, "_chain").agg(F.min(time).alias(time)).select(*keys, time)
-    reach = 1
-    while reach < longest:
-        stepped = marked.join(jumps, [*keys, time]).select(*keys, F.col("_jump").alias(time))
-        marked = marked.unionByName(stepped).distinct().checkpoint()
-        ahead = jumps.select(*keys, F.col(time).alias("_jump"), F.col("_jump").alias("_further"))
-        jumps = jumps.join(ahead, [*keys, "_jump"]).select(*keys, time, F.col("_further").alias("_jump")).checkpoint()
-        reach *= 2
-    return marked
+    width = max(cell_width, min_gap * hops)
+    doublings = max(1, math.ceil(math.log2(width / min_gap + 2))) if min_gap > 0 else 40
+    celled = times.select(*keys, F.col(time).alias("_t"), time_cell(F.col(time), width).alias("_cell"))
+    names = ", ".join(f"`{k}`" for k in keys)
+    upto = F.expr(f"count(1) OVER (PARTITION BY {names}, _cell ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND {min_gap} FOLLOWING)")
+    linked = celled.select(*keys, "_cell", "_t", upto.cast("int").alias("_upto"))
+    cells = linked.groupBy(*keys, "_cell").agg(F.array_sort(F.collect_list(F.struct("_t", "_upto"))).alias("_rows"))
+    # The link of an event is the place of the next one that may follow it, or none inside.
+    cells = cells.select(*keys, "_cell", F.col("_rows._t").alias("_times"), F.col("_rows._upto").alias("_next"))
+    size = F.size("_times")
+    last = F.transform("_next", lambda n, i: F.when(n < size, n).otherwise(i))
+    stepped = cells.withColumn("_last", last)
+    for _ in range(doublings):
+        stepped = stepped.withColumn("_last", F.transform("_last", lambda n: F.get(F.col("_last"), n)))
+    # Only an event within the gap of the cell's start, or the one behind, can be the first kept.
+    edge = F.col("_cell") * F.lit(width) + F.lit(min_gap)
+    first = F.filter("_times", lambda t: t <= edge)
+    entries = F.slice("_times", 1, F.size(first) + 1)
+    exits = F.transform(entries, lambda t, i: F.struct(t.alias("entry"), F.get("_times", F.get("_last", i)).alias("exit")))
+    steps = stepped.select(*keys, "_cell", exits.alias("_steps"))
+    # Of neighbouring breakpoints with one exit the last one stands for all.
+    ends = F.filter("_steps", lambda s, i: (i + 1 == F.size("_steps")) | (F.get("_steps.exit", i + 1) != s["exit"]))
+    steps = steps.select(*keys, "_cell", ends.alias("_steps"))
+    walked = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_cell", "_steps"))).alias("_cells"))
+    kind = dict(times.dtypes)[time]
+
+    def passed(before: Column, pieces: Column) -> Column:
+        taken = F.get(F.filter(pieces, lambda s: before.isNull() | (s["entry"] - before > F.lit(min_gap))), F.lit(0))
+        return F.coalesce(taken["exit"], before)
+
+    def enter(state: Column, cell: Column) -> Column:
+        entry = F.struct(cell["_cell"].alias("cell"), state["at"].alias("before"))
+        return F.struct(passed(state["at"], cell["_steps"]).alias("at"), F.array_append(state["entries"], entry).alias("entries"))
+
+    start = F.struct(F.lit(None).cast(kind).alias("at"), F.array().cast(f"array<struct<cell:bigint,before:{kind}>>").alias("entries"))
+    entered = walked.select(*keys, F.inline(F.aggregate("_cells", start, enter)["entries"]))
+    entered = entered.select(*keys, F.col("cell").alias("_cell"), "before")
+    here = cells.join(entered, [*keys, "_cell"])
+    skipped = F.when(F.col("before").isNull(), 0).otherwise(
+        F.size(F.filter("_times", lambda t: t - F.col("before") <= F.lit(min_gap)))
+    )
+    # Links from the entry on; a walk has a step for each gap that fits into the cell at most.
+    here = here.withColumn("_at", skipped)
+    walk = F.aggregate(
+        "_times",
+        F.struct(F.col("_at").alias("at"), F.array().cast(f"array<{kind}>").alias("kept")),
+        lambda state, _: F.when(state["at"] >= size, state).otherwise(
+            F.struct(F.get("_next", state["at"]).alias("at"), F.array_append(state["kept"], F.get("_times", state["at"])).alias("kept"))
+        ),
+    )
+    return here.select(*keys, F.explode(walk["kept"]).alias(time))
 
 
 def cycle_stats(
@@ -359,29 +364,103 @@ def strongest_apart(
 ) -> DataFrame:
     """Strongest first, keep peaks at least ``separation`` frames from every kept one.
 
-    A peak that beats all undecided peaks in reach is kept and its neighbours are
-    dropped; the rounds end when nothing is undecided. Equal strengths prefer the later
-    frame. A peak has fewer than ``separation`` neighbours on each side, so the edge list
-    is linear in the peaks.
+    Equal strengths prefer the later frame; of rows of one frame the highest counts. Frames
+    are cut into cells. What a cell keeps depends on its neighbours only through the one peak
+    that each of them may keep within reach, so every cell becomes a transfer map: from what
+    is kept beyond either border to what it keeps near them. Whether a peak is kept is settled
+    by stronger peaks alone, so for any choice beyond the right border exactly one row of the
+    map agrees with all cells before: a scan over a key's cells keeps these rows, and the way
+    back picks the one that agrees with the cell behind. Jobs do not depend on the data.
     """
     keys = list(keys)
-    ensure_checkpoint_dir(peaks.sparkSession)
-    rank = F.struct(F.col(value), F.col(frame))
-    open_peaks = peaks.select(*keys, frame, value).checkpoint()
-    kept = open_peaks.limit(0)
-    offsets = F.array(*[F.lit(d) for d in range(-(separation - 1), separation) if d != 0])
-    while separation > 1:
-        reach = F.transform(offsets, lambda d: F.col(frame) + d)
-        rivals = open_peaks.select(*keys, F.explode(reach).alias(frame), rank.alias("_rival"))
-        strongest = rivals.groupBy(*keys, frame).agg(F.max("_rival").alias("_rival"))
-        judged = open_peaks.join(strongest, [*keys, frame], "left")
-        winners = judged.filter(F.col("_rival").isNull() | (rank > F.col("_rival"))).select(*keys, frame, value)
-        kept = kept.unionByName(winners).checkpoint()
-        blocked = winners.select(*keys, F.explode(F.array_append(reach, F.col(frame))).alias(frame)).distinct()
-        open_peaks = open_peaks.join(blocked, [*keys, frame], "left_anti").checkpoint()
-        if open_peaks.isEmpty():
-            return kept
-    return open_peaks
+    if separation <= 1:
+        return peaks.groupBy(*keys, frame).agg(F.max(value).alias(value))
+    width = max(64, separation)
+    reach = separation - 1
+    rows = peaks.groupBy(*keys, F.col(frame).cast("long").alias("_f")).agg(F.max(value).alias("_v"))
+    cell, place = F.floor(F.col("_f") / width).cast("long"), F.pmod(F.col("_f"), F.lit(width))
+    peak = F.struct("_v", "_f")
+    # A peak near a border is a guest of the cell beyond it.
+    spots = F.array(
+        F.struct(cell.alias("_cell"), F.lit(0).alias("_side")),
+        F.when(place < reach, F.struct((cell - 1).alias("_cell"), F.lit(1).alias("_side"))),
+        F.when(place >= width - reach, F.struct((cell + 1).alias("_cell"), F.lit(-1).alias("_side"))),
+    )
+    placed = rows.select(*keys, peak.alias("_peak"), F.inline(F.array_compact(spots)))
+    sides = {"_left": -1, "_own": 0, "_right": 1}
+    cells = placed.groupBy(*keys, "_cell").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("_side") == n, F.col("_peak"))), asc=False).alias(c) for c, n in sides.items()]
+    )
+    cells = cells.filter(F.size("_own") > 0)
+    none = F.lit(None).cast(dict(placed.dtypes)["_peak"])
+
+    def kept(left: Column, right: Column) -> Column:
+        """The cell's peaks that stay, given the kept guest of either side."""
+
+        def beaten(guest: Column, p: Column) -> Column:
+            return F.coalesce((F.abs(guest["_f"] - p["_f"]) < separation) & (guest > p), F.lit(False))
+
+        def keep(acc: Column, p: Column) -> Column:
+            blocked = F.exists(acc, lambda k: F.abs(k["_f"] - p["_f"]) < separation) | beaten(left, p) | beaten(right, p)
+            return F.when(blocked, acc).otherwise(F.array_append(acc, p))
+
+        return F.aggregate("_own", F.array().cast(dict(cells.dtypes)["_own"]), keep)
+
+    low, high = F.col("_cell") * width + reach, F.col("_cell") * width + width - reach
+
+    def mapped(left: Column, right: Column) -> Column:
+        def summary(own: Column) -> Column:
+            near_left = F.get(F.filter(own, lambda p: p["_f"] < low), F.lit(0))["_f"]
+            near_right = F.get(F.filter(own, lambda p: p["_f"] >= high), F.lit(0))["_f"]
+            return F.struct(left["_f"].alias("left"), right["_f"].alias("right"), near_left.alias("to_left"), near_right.alias("to_right"))
+
+        return F.get(F.transform(F.array(kept(left, right)), summary), F.lit(0))
+
+    either = {c: F.concat(F.array(none), F.col(c)) for c in ("_left", "_right")}
+    table = F.flatten(F.transform(either["_left"], lambda a: F.transform(either["_right"], lambda b: mapped(a, b))))
+    maps = cells.select(*keys, "_cell", table.alias("_map"))
+    walked = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_cell", "_map"))).alias("_cells"))
+    row = "struct<left:bigint,right:bigint,to_left:bigint,to_right:bigint>"
+
+    def answer(rows: Column, right: Column) -> Column:
+        return F.get(F.filter(rows, lambda r: r["right"].eqNullSafe(right)), F.lit(0))
+
+    def forward(state: Column, item: Column) -> Column:
+        beside = state["cell"] == item["_cell"] - 1
+        agreed = F.filter(
+            item["_map"],
+            lambda r: F.when(beside, r["left"].eqNullSafe(answer(state["rows"], r["to_left"])["to_right"])).otherwise(r["left"].isNull()),
+        )
+        step = F.struct(item["_cell"].alias("cell"), agreed.alias("rows"))
+        return F.struct(item["_cell"].alias("cell"), agreed.alias("rows"), F.array_append(state["trail"], step).alias("trail"))
+
+    start = F.struct(
+        F.lit(None).cast("long").alias("cell"),
+        F.array().cast(f"array<{row}>").alias("rows"),
+        F.array().cast(f"array<struct<cell:bigint,rows:array<{row}>>>").alias("trail"),
+    )
+    trail = walked.select(*keys, F.aggregate("_cells", start, forward)["trail"].alias("_trail"))
+
+    def backward(state: Column, item: Column) -> Column:
+        right = F.when(state["cell"] == item["cell"] + 1, state["right"])
+        found = answer(item["rows"], right)
+        choice = F.struct(item["cell"].alias("cell"), found["left"].alias("left"), right.alias("right"))
+        return F.struct(item["cell"].alias("cell"), found["to_left"].alias("right"), F.array_append(state["choices"], choice).alias("choices"))
+
+    start = F.struct(
+        F.lit(None).cast("long").alias("cell"),
+        F.lit(None).cast("long").alias("right"),
+        F.array().cast("array<struct<cell:bigint,left:bigint,right:bigint>>").alias("choices"),
+    )
+    chosen = trail.select(*keys, F.inline(F.aggregate(F.reverse("_trail"), start, backward)["choices"]))
+    settled = cells.join(chosen.withColumnRenamed("cell", "_cell"), [*keys, "_cell"])
+
+    def guest(peaks_there: str, side: str) -> Column:
+        return F.get(F.filter(peaks_there, lambda p: p["_f"] == F.col(side)), F.lit(0))
+
+    kind = dict(peaks.dtypes)[frame]
+    out = settled.select(*keys, F.explode(kept(guest("_left", "left"), guest("_right", "right"))).alias("_peak"))
+    return out.select(*keys, F.col("_peak._f").cast(kind).alias(frame), F.col("_peak._v").alias(value))
 
 
 def energy_rank(rows: DataFrame, keys: Sequence[str], position: str, value: str, cell: int = 4096) -> DataFrame:

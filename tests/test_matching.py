@@ -1,6 +1,7 @@
 """Tolerance operators against brute force on random and degenerate timelines."""
 
 import random
+import uuid
 
 import pytest
 
@@ -122,12 +123,11 @@ def test_ordered_scan_crosses_cells(spark):
     assert [r.total for r in out] == [0, 6, 24, 124, 226, 466]
 
 
-@pytest.mark.parametrize("short", [512, 2])
-def test_spaced_picks(spark, monkeypatch, short):
-    monkeypatch.setattr(sequences, "SHORT_CHAIN", short)
+@pytest.mark.parametrize("top", [200, 2000, 40_000])
+def test_spaced_picks(spark, top):
     rng = random.Random(3)
-    data = {k: sorted({rng.randint(0, 200) for _ in range(60)}) for k in range(4)}
-    df = spark.createDataFrame([(k, t) for k, ts in data.items() for t in ts], "track long, t long")
+    data = {k: sorted({rng.randint(-50, top) for _ in range(150)}) for k in range(4)}
+    df = spark.createDataFrame([(k, t) for k, ts in data.items() for t in ts + ts[:3]], "track long, t long")
     got = sequences.spaced_picks(df, ["track"], "t", 7, 20).collect()
     for k, times in data.items():
         kept = []
@@ -137,19 +137,50 @@ def test_spaced_picks(spark, monkeypatch, short):
         assert sorted(r.t for r in got if r.track == k) == kept
 
 
-def test_strongest_apart(spark):
+def jobs_of(spark, build):
+    """The result of ``build()`` and the jobs that it and its collection took."""
+    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "")
+    rows = build().collect()
+    spark.sparkContext.setJobGroup("rest", "")
+    return rows, len(tracker.getJobIdsForGroup(group))
+
+
+def test_spaced_picks_of_a_long_chain(spark):
+    """100,000 events of which each depends on the one before; jobs as for a short one."""
+    chain = lambda n: spark.range(n).select(F.lit(1).alias("track"), (F.col("id") * 5).alias("t"))
+    short, few = jobs_of(spark, lambda: sequences.spaced_picks(chain(100), ["track"], "t", 7, 20))
+    rows, many = jobs_of(spark, lambda: sequences.spaced_picks(chain(100_000), ["track"], "t", 7, 20))
+    assert sorted(r.t for r in short) == list(range(0, 500, 10))
+    assert sorted(r.t for r in rows) == list(range(0, 500_000, 10))
+    assert many <= few + 2
+
+
+def plain_apart(data, separation):
+    """The kept (track, frame) of {(track, frame): value}, strongest first."""
+    want = set()
+    for (k, f), _ in sorted(data.items(), key=lambda x: (x[1], x[0][1]), reverse=True):
+        if all((k, f + d) not in want for d in range(1 - separation, separation)):
+            want.add((k, f))
+    return want
+
+
+@pytest.mark.parametrize(("separation", "spread"), [(5, 90), (2, 300), (9, 700), (70, 900), (1, 60)])
+def test_strongest_apart(spark, separation, spread):
     rng = random.Random(5)
-    data = {(k, f): rng.randint(0, 20) for k in range(4) for f in rng.sample(range(90), 40)}
+    data = {(k, f): rng.randint(0, 20) for k in range(4) for f in rng.sample(range(-30, spread), spread // 2)}
     df = spark.createDataFrame([(k, f, float(v)) for (k, f), v in data.items()], "track long, frame long, value double")
-    got = {(r.track, r.frame) for r in sequences.strongest_apart(df, ["track"], "frame", "value", 5).collect()}
-    want = set()
-    for k in range(4):
-        kept = []
-        for v, f in sorted(((v, f) for (t, f), v in data.items() if t == k), reverse=True):
-            if all(abs(f - o) >= 5 for o in kept):
-                kept.append(f)
-        want |= {(k, f) for f in kept}
-    assert got == want
+    got = [(r.track, r.frame) for r in sequences.strongest_apart(df, ["track"], "frame", "value", separation).collect()]
+    assert sorted(got) == sorted(plain_apart(data, separation))
+
+
+def test_strongest_apart_of_rising_peaks(spark):
+    """10,000 peaks of which each depends on the next; jobs as for a few."""
+    rising = lambda n: spark.range(n).select(F.lit(1).alias("track"), (F.col("id") * 2).alias("frame"), F.col("id").cast("double").alias("value"))
+    _, few = jobs_of(spark, lambda: sequences.strongest_apart(rising(50), ["track"], "frame", "value", 6))
+    rows, many = jobs_of(spark, lambda: sequences.strongest_apart(rising(10_000), ["track"], "frame", "value", 6))
+    assert sorted(r.frame for r in rows) == list(range(19_998, -1, -6))[::-1]
+    assert many <= few + 2
 
 
 def test_quantiles(spark):
