@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import notes as N
 from pulsegrid.functions.numeric import flag_sum, ratio
+from pulsegrid.operators.charts import color_balance, explode_notes, pattern_repeat, true_runs
 
 
 def timeline_hash(notes: DataFrame, keys: Sequence[str], bar: str, time: str) -> DataFrame:
@@ -121,31 +123,117 @@ def metric_coverage(metrics: DataFrame, required: Sequence[str], keys: Sequence[
 
 
 def quality_gate(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Load rules on charts of at least 8 bars: too sparse on average, too many sparse bars,
-    empty runs inside, per density class.
-
-    ``bars`` carry hits, in_average and density_class.
+    """Quality findings of charts: a row for each chart and code, with how many bars, runs or
+    patterns it concerns.
+
+    ``bars`` carry notes, density_class, the density hint (kind, min_hits, max_hits,
+    allow_empty, in_average) and timing_locked. Hints hold for charts of any length and class:
+    a bar may have too many hits, or too few unless the chart's timing is locked. From 8 bars
+    on, colours must be mixed over the bars that are played and no pattern may return too
+    often; charts of a high class that are not locked must also reach a mean, have few sparse
+    bars, and no run of empty ones among the bars that count for the mean.
     """
-    keys = list(keys)
-    average = F.when(F.col("density_class") == "max", 8.5).when(F.col("density_class") == "high", 6.5)
-    lowest = F.when(F.col("density_class") == "max", 4.0).when(F.col("density_class") == "high", 3.0)
-    counted = F.col("in_average")
-    sums = bars.groupBy(*keys, "density_class").agg(
+    keys, c = list(keys), F.col
+    rows = bars.withColumn("hits", N.nonrest_count(c("notes")))
+    average = F.when(c("density_class") == "max", 8.5).when(c("density_class") == "high", 6.5)
+    lowest = F.when(c("density_class") == "max", 4.0).when(c("density_class") == "high", 3.0)
+    counted, free = c("in_average"), ~c("timing_locked")
+    sums = rows.groupBy(*keys, "density_class").agg(
         F.count(F.lit(1)).alias("_bars"),
-        F.sum(F.when(counted, 1).otherwise(0)).alias("_counted"),
-        F.avg(F.when(counted, F.col("hits"))).alias("_mean"),
-        F.sum(F.when(counted & (F.col("hits") < lowest), 1).otherwise(0)).alias("_sparse"),
-        F.sum(F.when(counted & (F.col("hits") == 0), 1).otherwise(0)).alias("_empty"),
+        F.bool_or("timing_locked").alias("_locked"),
+        flag_sum(c("hits") > c("max_hits")).alias("bar-too-dense"),
+        flag_sum(free & ~c("allow_empty") & (c("hits") < c("min_hits"))).alias("bar-too-sparse"),
+        flag_sum(counted).alias("_counted"),
+        F.avg(F.when(counted, c("hits"))).alias("_mean"),
+        flag_sum(F.coalesce(counted & (c("hits") < lowest), F.lit(False))).alias("_sparse"),
     )
-    judged = sums.filter((F.col("_bars") >= 8) & (F.col("_counted") > 0) & average.isNotNull())
-    codes = F.array_compact(
-        F.array(
-            F.when(F.col("_mean") < average, "too-sparse"),
-            F.when(F.col("_sparse") > F.greatest(F.lit(1), F.floor(F.col("_counted") / 12)), "sparse-bars"),
-            F.when(F.col("_empty") > 0, "empty-bars"),
-        )
+    high = average.isNotNull() & (c("_bars") >= 8) & (c("_counted") > 0) & ~c("_locked")
+    few = F.greatest(F.lit(1), F.floor(c("_counted") / 12))
+    empty = true_runs(rows.filter(counted), keys, "bar", c("hits") == 0)
+    runs = empty.groupBy(*keys).agg(F.count(F.lit(1)).alias("_runs"))
+    played = rows.filter(~c("kind").isin("silent", "rest"))
+    colours = color_balance(explode_notes(played, [*keys, "bar"]), keys).select(*keys, "balance_issue")
+    patterns = pattern_repeat(rows, keys).select(*keys, "overused_pattern_count")
+    judged = sums.join(runs, keys, "left").join(colours, keys, "left").join(patterns, keys, "left")
+    long = c("_bars") >= 8
+    found = {
+        "bar-too-dense": c("bar-too-dense"),
+        "bar-too-sparse": c("bar-too-sparse"),
+        "too-sparse": F.when(high & (c("_mean") < average), 1),
+        "sparse-bars": F.when(high & (c("_sparse") > few), c("_sparse")),
+        "empty-runs": F.when(high, c("_runs")),
+        "nearly-all-don": F.when(long & (c("balance_issue") == "nearly-all-don"), 1),
+        "overlong-don-run": F.when(long & (c("balance_issue") == "overlong-don-run"), 1),
+        "overused-patterns": F.when(long, c("overused_pattern_count")),
+    }
+    items = F.array(*[F.struct(F.lit(k).alias("code"), F.coalesce(v, F.lit(0)).cast("long").alias("n")) for k, v in found.items()])
+    return judged.select(*keys, F.inline(items)).filter("n > 0")
+
+
+def evidence_summary(
+    metrics: DataFrame, charts: DataFrame, violations: DataFrame, required: Sequence[str], forbidden: Sequence[str], keys: Sequence[str], examples: int = 8
+) -> DataFrame:
+    """One row on all charts: how many there are, how many lack a required metric, how many
+    gate violations they have, which forbidden score names occur, and the first examples of
+    each in the order of the keys. Only counts, names and the examples come together."""
+    keys = list(keys)
+    lacking = metric_coverage(charts.select(*keys).distinct().join(metrics, keys, "left"), required, keys)
+    label = F.concat_ws(":", *keys)
+
+    def first(rows: DataFrame, text: Column, name: str) -> DataFrame:
+        shown = rows.select(*keys, text.alias("_t")).orderBy(*keys, "_t").limit(examples)
+        ordered = F.array_sort(F.collect_list(F.struct(*keys, "_t")))
+        return shown.agg(F.array_join(F.transform(ordered, lambda x: x["_t"]), " ").alias(name))
+
+    sums = charts.select(*keys).distinct().agg(F.count(F.lit(1)).alias("chart_count"))
+    parts = [
+        lacking.agg(F.count(F.lit(1)).alias("missing_metric_count")),
+        violations.agg(F.count(F.lit(1)).alias("gate_violation_count")),
+        metrics.filter(F.col("metric").isin(*forbidden)).agg(
+            F.coalesce(F.array_join(F.array_sort(F.collect_set("metric")), ","), F.lit("")).alias("forbidden_keys")
+        ),
+        first(lacking, F.concat(label, F.lit("="), F.col("missing")), "missing_examples"),
+        first(violations, F.concat(label, F.lit("="), F.col("code")), "violation_examples"),
+    ]
+    for part in parts:
+        # Every part has one row.
+        sums = sums.crossJoin(F.broadcast(part))
+    return sums
+
+
+def value_counts(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Counted values of some columns per key and over all keys (null keys), as texts
+    "value:count value:count" in the order of the values; nulls are not counted.
+
+    Counts are mergeable: rows are counted by key and value before they meet, and what is
+    counted is rolled up once more for all keys.
+    """
+    keys = list(keys)
+    values = F.array(*[F.struct(F.lit(n).alias("_name"), F.col(n).cast("string").alias("_text"), F.col(n).try_cast("double").alias("_size")) for n in names])
+    counted = rows.select(*keys, F.inline(values)).groupBy(*keys, "_name", "_text", "_size").agg(F.count("_text").alias("_n"))
+    dims = ["_name", "_text", "_size"]
+    rolled = counted.groupingSets([[*keys, *dims], dims], *keys, *dims).agg(F.sum("_n").alias("_n"), F.grouping(keys[0]).alias("_all"))
+    own = lambda name: F.when((F.col("_name") == name) & (F.col("_n") > 0), F.struct("_size", "_text", "_n"))
+    out = rolled.groupBy("_all", *keys).agg(
+        *[F.array_join(F.transform(F.array_sort(F.collect_list(own(n))), lambda x: F.concat_ws(":", x["_text"], x["_n"])), " ").alias(n) for n in names]
+    )
+    return out.select(*keys, *names)
+
+
+def order_audit(points: DataFrame, keys: Sequence[str], place: Sequence[str], position: Sequence[str], value: str) -> DataFrame:
+    """How many places of a key hold their values out of order, in the order of the input
+    positions, which travel with the rows; and how many steps go down.
+
+    A place holds the points of one bar.
+    """
+    keys, place = list(keys), list(place)
+    own = F.transform(F.array_sort(F.collect_list(F.struct(*position, value))), lambda x: x[value])
+    lists = points.groupBy(*keys, *place).agg(own.alias("_v"))
+    falls = F.size(F.filter(F.transform("_v", lambda v, i: F.get("_v", i + 1) < v), lambda down: F.coalesce(down, F.lit(False))))
+    steps = lists.withColumn("_falls", falls)
+    return steps.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("place_count"), flag_sum(F.col("_falls") > 0).alias("unordered_count"), F.sum("_falls").cast("long").alias("falling_steps")
     )
-    return judged.select(*keys, F.explode(codes).alias("code"))
 
 
 def ratio_rollup(rows: DataFrame, group: str, metrics: dict[str, tuple[str, str, float]]) -> DataFrame:

@@ -36,9 +36,7 @@ cte(
   ['verse', 'break', 'chorus', 'break'][bar // 8 % 4 + 1] AS section, least(1.0::DOUBLE, energy * 6) AS activity_level, notes * 5 AS active_count FROM quiet q""",
     "quiet",
 )
-cte(
-    "hint",
-    f"""SELECT *, CASE WHEN kind IN ('silent', 'rest') THEN 1.0::DOUBLE ELSE {_r("least(1.15::DOUBLE, greatest(0.65::DOUBLE, CASE role WHEN 'build_up' THEN 0.9::DOUBLE + 0.2::DOUBLE * phrase_progress WHEN 'peak' THEN 1.12::DOUBLE WHEN 'breakdown' THEN 0.72::DOUBLE WHEN 'drop' THEN 0.95::DOUBLE WHEN 'cadence' THEN CASE WHEN fill_candidate THEN 1.05::DOUBLE ELSE 0.92::DOUBLE END ELSE 1.0::DOUBLE END))", 3)} END AS target_scale,
+_HINT = f"""SELECT *, CASE WHEN kind IN ('silent', 'rest') THEN 1.0::DOUBLE ELSE {_r("least(1.15::DOUBLE, greatest(0.65::DOUBLE, CASE role WHEN 'build_up' THEN 0.9::DOUBLE + 0.2::DOUBLE * phrase_progress WHEN 'peak' THEN 1.12::DOUBLE WHEN 'breakdown' THEN 0.72::DOUBLE WHEN 'drop' THEN 0.95::DOUBLE WHEN 'cadence' THEN CASE WHEN fill_candidate THEN 1.05::DOUBLE ELSE 0.92::DOUBLE END ELSE 1.0::DOUBLE END))", 3)} END AS target_scale,
   CASE rule WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 3 WHEN 3 THEN CASE WHEN onset_count > 0 THEN 1 ELSE 0 END WHEN 4 THEN 3 WHEN 5 THEN 5 ELSE 2 END AS min_hits,
   CASE rule WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN silent THEN 0 ELSE 2 END WHEN 2 THEN 12 WHEN 3 THEN 4 WHEN 4 THEN 14 WHEN 5 THEN 16 ELSE 12 END AS max_hits,
   rule IN (0, 1) OR (rule = 3 AND onset_count = 0) AS allow_empty, rule IN (2, 4, 5, 6) AS in_average
@@ -46,9 +44,35 @@ FROM (SELECT *, ['silent', 'rest', 'normal', 'sparse', 'fill', 'dense', 'normal'
   WHEN activity_level < 0.18::DOUBLE AND CASE WHEN silent THEN section IN ('break', 'verse', 'unknown') ELSE section = 'break' AND ((energy <= 0.025::DOUBLE AND onset_count <= 1) OR (energy <= 0.04::DOUBLE AND onset_count = 0)) END THEN 1
   WHEN activity_level >= 0.25::DOUBLE AND active_count >= 9 AND onset_count <= 3 THEN 2
   WHEN (energy <= 0.08::DOUBLE AND onset_count <= 2) OR (activity_level < 0.18::DOUBLE AND section = 'break' AND energy <= 0.08::DOUBLE AND onset_count <= 3) THEN 3
-  WHEN fill_candidate THEN 4 WHEN energy >= 0.45::DOUBLE OR onset_count >= 24 THEN 5 ELSE 6 END AS rule FROM hctx))""",
-    "hctx",
+  WHEN fill_candidate THEN 4 WHEN energy >= 0.45::DOUBLE OR onset_count >= 24 THEN 5 ELSE 6 END AS rule FROM hctx))"""
+cte("hint", _HINT, "hctx")
+
+
+# The same hints on the bars of the charts, from their evidence.
+cte(
+    "chctx",
+    """SELECT *, (bar % 8) / 7.0::DOUBLE AS phrase_progress, ['verse', 'break', 'chorus', 'break'][bar // 8 % 4 + 1] AS section, least(1.0::DOUBLE, energy * 6) AS activity_level, onset_count * 5 AS active_count FROM ctx""",
+    "ctx",
 )
+cte("chint", _HINT.replace("FROM hctx", "FROM chctx"), "chctx")
+
+
+def chart_hints(spark, sf_dir):
+    """Density hints of the chart bars, staged."""
+
+    def build():
+        b = F.col("bar").cast("int")
+        names = F.array(*[F.lit(n) for n in SECTIONS])
+        rows = bar_context(spark, sf_dir).select(
+            "*",
+            ((b % 8) / 7.0).alias("phrase_progress"),
+            F.element_at(names, (F.floor(b / 8) % 4 + 1).cast("int")).alias("section"),
+            F.least(F.lit(1.0), F.col("energy") * 6).alias("activity_level"),
+            (F.col("onset_count") * 5).alias("active_count"),
+        )
+        return targets.density_hints(rows, TICKS)
+
+    return stage(spark, sf_dir, "chart-hints", build)
 
 
 def hinted_bars(spark, sf_dir):

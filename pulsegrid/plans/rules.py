@@ -374,25 +374,108 @@ def metric_coverage(spark, sf_dir):
     return gates.metric_coverage(metrics, ("view", "click", "purchase", "signup", "error"), ["track", "part"])
 
 
+_CLASS = """CASE WHEN density IN ('high', 'max') THEN density WHEN density = 'auto' AND course = 'Oni' AND level >= 10 THEN 'max' WHEN density = 'auto' AND course = 'Oni' AND level >= 8 THEN 'high' ELSE density END"""
+
+
 @plan(
     "quality_gate",
-    """
-    WITH q AS (SELECT *, CASE WHEN density IN ('high', 'max') THEN density WHEN density = 'auto' AND course = 'Oni' AND level >= 10 THEN 'max' WHEN density = 'auto' AND course = 'Oni' AND level >= 8 THEN 'high' ELSE density END AS qd FROM loadctx),
-    s AS (SELECT track, qd, count(*) AS n, count(*) FILTER (in_average) AS c, avg(notes) FILTER (in_average) AS m, count(*) FILTER (in_average AND notes < CASE qd WHEN 'max' THEN 4 WHEN 'high' THEN 3 END) AS sp, count(*) FILTER (in_average AND notes = 0) AS em FROM q GROUP BY ALL),
-    j AS (SELECT * FROM s WHERE n >= 8 AND c > 0 AND qd IN ('high', 'max'))
-    SELECT track, 'too-sparse' AS code FROM j WHERE m < CASE qd WHEN 'max' THEN 8.5 ELSE 6.5 END UNION ALL SELECT track, 'sparse-bars' FROM j WHERE sp > greatest(1, c // 12) UNION ALL SELECT track, 'empty-bars' FROM j WHERE em > 0
+    f"""
+    WITH a AS (SELECT h.track, h.bar, h.kind, h.min_hits, h.max_hits, h.allow_empty, h.in_average, h.track % 6 = 5 AS locked, length(replace(c.notes, '0', '')) AS hits,
+      ['low', 'medium', 'auto', 'high', 'max'][CAST(h.track % 5 + 1 AS INTEGER)] AS density, ['Easy', 'Normal', 'Hard', 'Oni'][CAST(h.track % 4 + 1 AS INTEGER)] AS course, CAST(h.track % 10 + 1 AS INTEGER) AS level
+      FROM chint h JOIN chart c ON c.track = h.track AND c.bar = h.bar),
+    q AS (SELECT *, {_CLASS} AS qd FROM a),
+    e AS (SELECT track, count(*) AS n FROM (SELECT track, bar, hits, bar - row_number() OVER (PARTITION BY track, hits = 0 ORDER BY bar) AS g, lag(bar) OVER w AS pb, lag(hits) OVER w AS ph FROM q WHERE in_average WINDOW w AS (PARTITION BY track ORDER BY bar))
+      WHERE hits = 0 AND NOT coalesce(pb = bar - 1 AND ph = 0, false) GROUP BY track),
+    s AS (SELECT track, qd, count(*) AS n, bool_or(locked) AS locked, count(*) FILTER (hits > max_hits) AS dense, count(*) FILTER (NOT locked AND NOT allow_empty AND hits < min_hits) AS thin, count(*) FILTER (in_average) AS c, avg(hits) FILTER (in_average) AS m,
+      count(*) FILTER (in_average AND hits < CASE qd WHEN 'max' THEN 4 WHEN 'high' THEN 3 END) AS sp FROM q GROUP BY ALL),
+    pn AS (SELECT n.* FROM nt n JOIN q ON q.track = n.track AND q.bar = n.bar AND q.kind NOT IN ('silent', 'rest')),
+    g AS (SELECT *, CASE WHEN note IN ('1', '2') THEN note END AS v, lag(note) OVER (PARTITION BY track ORDER BY bar, pos) AS pv FROM pn),
+    r AS (SELECT *, sum(CASE WHEN v IS NULL OR pv IS DISTINCT FROM note THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY bar, pos) AS run FROM g),
+    ld AS (SELECT track, max(n) AS ld FROM (SELECT track, run, count(*) AS n FROM r WHERE v = '1' GROUP BY ALL) GROUP BY track),
+    k AS (SELECT track, count(*) FILTER (note = '1') AS don, count(*) FILTER (note = '2') AS ka FROM pn GROUP BY track),
+    p AS (SELECT track, bar, string_agg((pos / res::DOUBLE) || ':' || note, '|' ORDER BY pos) AS pattern, count(*) FILTER (note IN ('1', '2', '3', '4', '5', '7')) AS act FROM nt GROUP BY ALL),
+    o AS (SELECT p.track, count(*) AS n FROM (SELECT track, pattern, count(*) AS n FROM p WHERE act > 0 GROUP BY ALL) p JOIN s USING (track) WHERE p.n > greatest(4, s.n // 12) GROUP BY p.track),
+    j AS (SELECT s.*, e.n AS runs, don, ka, ld, o.n AS over, s.n >= 8 AS long, s.n >= 8 AND c > 0 AND NOT locked AND qd IN ('high', 'max') AS high FROM s LEFT JOIN e USING (track) LEFT JOIN k USING (track) LEFT JOIN ld USING (track) LEFT JOIN o USING (track)),
+    f AS (SELECT *, long AND don + ka >= 32 AND ka < 4 AND ka / (don + ka)::DOUBLE < 0.03 AS mono FROM j)
+    SELECT track, code, n::BIGINT AS n FROM (
+      SELECT track, 'bar-too-dense' AS code, dense AS n FROM f UNION ALL SELECT track, 'bar-too-sparse', thin FROM f
+      UNION ALL SELECT track, 'too-sparse', 1 FROM f WHERE high AND m < CASE qd WHEN 'max' THEN 8.5 ELSE 6.5 END
+      UNION ALL SELECT track, 'sparse-bars', sp FROM f WHERE high AND sp > greatest(1, c // 12)
+      UNION ALL SELECT track, 'empty-runs', runs FROM f WHERE high UNION ALL SELECT track, 'nearly-all-don', 1 FROM f WHERE mono
+      UNION ALL SELECT track, 'overlong-don-run', 1 FROM f WHERE long AND don + ka >= 32 AND NOT mono AND ld > 32 AND ka / (don + ka)::DOUBLE < 0.08
+      UNION ALL SELECT track, 'overused-patterns', over FROM f WHERE long) WHERE n > 0
     """,
-    ("loadctx",),
+    ("chint", "chart", "nt"),
 )
 def quality_gate(spark, sf_dir):
     from pulsegrid.operators.targets import quality_density
+    from pulsegrid.plans.quality import DENSITIES, chart_hints
 
-    rows = load_rows(spark, sf_dir).select(
-        "track", "in_average", F.col("notes").alias("hits"), quality_density(F.col("density"), F.col("course"), F.col("level")).alias("density_class")
+    t = F.col("track")
+
+    def pick(names, size):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(t, F.lit(size)) + 1).cast("int"))
+
+    level = (F.pmod(t, F.lit(10)) + 1).cast("int")
+    hints = chart_hints(spark, sf_dir).select("track", "bar", "kind", "min_hits", "max_hits", "allow_empty", "in_average")
+    rows = chart_bars(spark, sf_dir).join(hints, ["track", "bar"]).select(
+        "*", quality_density(pick(DENSITIES, 5), pick(COURSES, 4), level).alias("density_class"), (F.pmod(t, F.lit(6)) == 5).alias("timing_locked")
     )
     return gates.quality_gate(rows, ["track"])
 
 
+@plan(
+    "evidence_summary",
+    """
+    WITH c AS (SELECT DISTINCT track FROM ev), h AS (SELECT track, list(DISTINCT kind) AS k FROM ev WHERE t >= 432000000000 GROUP BY track),
+    m AS (SELECT c.track, array_to_string(list_filter(['view', 'click', 'purchase', 'signup'], lambda x: NOT list_contains(coalesce(k, []), x)), ',') AS missing FROM c LEFT JOIN h USING (track)),
+    l AS (SELECT * FROM m WHERE missing <> ''), v AS (SELECT track, 'late-error' AS code FROM ev WHERE kind = 'error' AND t >= 2332800000000)
+    SELECT (SELECT count(*) FROM c) AS chart_count, (SELECT count(*) FROM l) AS missing_metric_count, (SELECT count(*) FROM v) AS gate_violation_count,
+      coalesce((SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM ev WHERE t >= 432000000000 AND kind IN ('error', 'score')), '') AS forbidden_keys,
+      coalesce((SELECT string_agg(track || '=' || missing, ' ' ORDER BY track) FROM (SELECT * FROM l ORDER BY track, missing LIMIT 8)), '') AS missing_examples,
+      coalesce((SELECT string_agg(track || '=' || code, ' ' ORDER BY track) FROM (SELECT * FROM v ORDER BY track LIMIT 8)), '') AS violation_examples
+    """,
+    ("ev",),
+)
+def evidence_summary(spark, sf_dir):
+    events = timeline(spark, sf_dir)
+    metrics = events.filter(F.col("t") >= 120 * HOUR).select("track", F.col("kind").alias("metric"))
+    late = events.filter((F.col("kind") == "error") & (F.col("t") >= 648 * HOUR)).select("track", F.lit("late-error").alias("code"))
+    required, forbidden = ("view", "click", "purchase", "signup"), ("error", "score")
+    return gates.evidence_summary(metrics, events.select("track"), late, required, forbidden, ["track"])
+
+
+@plan(
+    "reason_histogram",
+    """
+    WITH r AS (SELECT track, fallback_reason AS r, count(*) AS n FROM sal WHERE fallback_reason IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, fallback_reason, count(*) FROM sal WHERE fallback_reason IS NOT NULL GROUP BY ALL),
+    k AS (SELECT DISTINCT track FROM sal UNION ALL SELECT NULL)
+    SELECT k.track, coalesce(string_agg(r || ':' || n, ' ' ORDER BY r), '') AS fallback_reason FROM k LEFT JOIN r ON k.track IS NOT DISTINCT FROM r.track GROUP BY k.track
+    """,
+    ("sal",),
+)
+def reason_histogram(spark, sf_dir):
+    found, points = scored(spark, sf_dir)
+    return gates.value_counts(ev.bar_salience(found, points), ["track"], ["fallback_reason"])
+
+
+@plan(
+    "point_order",
+    """
+    WITH p AS (SELECT track, bar, tick, lag(tick) OVER (PARTITION BY track, bar ORDER BY ok, ol, tick) AS before FROM (SELECT l_suppkey AS track, l_orderkey AS ok, l_linenumber AS ol,
+      datediff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS day, CAST(floor(datediff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 48.0) AS INTEGER) AS bar, datediff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) - 48 * CAST(floor(datediff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 48.0) AS INTEGER) AS tick FROM lineitem)),
+    b AS (SELECT track, bar, count(*) FILTER (tick < before) AS falls FROM p GROUP BY ALL)
+    SELECT track, count(*) AS place_count, count(*) FILTER (falls > 0) AS unordered_count, sum(falls)::BIGINT AS falling_steps FROM b GROUP BY track
+    """,
+)
+def point_order(spark, sf_dir):
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    points = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("track"), "l_orderkey", "l_linenumber", F.floor(day / TICKS).alias("bar"), F.pmod(day, F.lit(TICKS)).alias("tick")
+    )
+    return gates.order_audit(points, ["track"], ["bar"], ["l_orderkey", "l_linenumber"], "tick")
+
+
 @plan(
     "point_audit",
     f"""

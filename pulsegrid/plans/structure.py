@@ -359,18 +359,48 @@ def resolution_plan(spark, sf_dir):
     ("nt",),
 )
 def resolution_adequacy(spark, sf_dir):
+    return st.resolution_adequacy(*planned_events(spark, sf_dir), KEYS, 48.0)
+
+
+def planned_events(spark, sf_dir):
+    """Events of the chart slots, and a resolution for every bar."""
     from pulsegrid.plans.bindings import chart_bars, slot_notes
 
     events = slot_notes(spark, sf_dir).select("track", "bar", F.col("tick").cast("double").alias("position_s"))
     b = F.col("bar") % 3
-    planned = chart_bars(spark, sf_dir).select("track", "bar", F.when(b == 0, 16).when(b == 1, 24).otherwise(48).alias("resolution"))
-    return st.resolution_adequacy(events, planned, KEYS, 48.0)
+    return events, chart_bars(spark, sf_dir).select("track", "bar", F.when(b == 0, 16).when(b == 1, 24).otherwise(48).alias("resolution"))
 
 
+@plan(
+    "resolution_histogram",
+    """
+    WITH b AS (SELECT track, bar, CASE WHEN bar % 3 = 0 THEN 16 WHEN bar % 3 = 1 THEN 24 ELSE 48 END AS r, CASE WHEN bool_and(tick % 3 = 0) THEN 16 WHEN bool_and(tick % 2 = 0) THEN 24 ELSE 48 END AS m FROM nt GROUP BY track, bar),
+    x AS (SELECT track, r, NULL::INTEGER AS m FROM b UNION ALL SELECT track, NULL, m FROM b),
+    y AS (SELECT track, r, m, count(*) AS n FROM x GROUP BY GROUPING SETS ((track, r, m), (r, m)))
+    SELECT track, string_agg(r || ':' || n, ' ' ORDER BY r) FILTER (r IS NOT NULL) AS resolution, string_agg(m || ':' || n, ' ' ORDER BY m) FILTER (m IS NOT NULL) AS minimum_resolution FROM y GROUP BY track
+    """,
+    ("nt",),
+)
+def resolution_histogram(spark, sf_dir):
+    from pulsegrid.operators.gates import value_counts
+
+    judged = st.judged_bars(*planned_events(spark, sf_dir), KEYS, 48.0)
+    return value_counts(judged, KEYS, ["resolution", "minimum_resolution"])
+
+
+# Phrase ranges of the chart bars: by change of phrase or explicit start, blocks of four in a
+# track of one phrase.
+cte(
+    "prange",
+    """SELECT track, bar, (CASE WHEN m = 0 AND n > 4 THEN i // 4 ELSE rg END)::BIGINT AS phrase_id FROM (SELECT *, sum(st) OVER (PARTITION BY track ORDER BY bar ROWS UNBOUNDED PRECEDING) AS rg, sum(st) OVER (PARTITION BY track) AS m, count(*) OVER (PARTITION BY track) AS n
+  FROM (SELECT track, bar, CASE WHEN lag(bar) OVER w IS NOT NULL AND (lag(phrase_id) OVER w <> phrase_id OR phrase_position = 'phrase_start') THEN 1 ELSE 0 END AS st, row_number() OVER w - 1 AS i FROM ctx WINDOW w AS (PARTITION BY track ORDER BY bar)))""",
+    "ctx",
+)
 cte(
     "lp",
-    "SELECT track, bar // 4 AS phrase_id, tick, kind, confidence, reasons, 0.25::DOUBLE + score + confidence * 0.5::DOUBLE + [0.75::DOUBLE, 0.40, 0.20, 0.10, 0.0][priority + 1] AS w FROM cand",
+    "SELECT c.track, p.phrase_id, c.bar, tick, kind, confidence, reasons, priority, reliable, rank, 0.25::DOUBLE + score + confidence * 0.5::DOUBLE + [0.75::DOUBLE, 0.40, 0.20, 0.10, 0.0][priority + 1] AS w FROM cand c JOIN prange p ON p.track = c.track AND p.bar = c.bar",
     "cand",
+    "prange",
 )
 
 
@@ -378,9 +408,7 @@ def _cov(cond):
     return _r(f"sum(CASE WHEN {cond} THEN w ELSE 0 END) / sum(w)", 9)
 
 
-@plan(
-    "lattice_choice",
-    f"""
+_LATTICE = f"""
     WITH m AS (SELECT *, kind IN ('strong-transient', 'transient') AS mv, sum((kind IN ('strong-transient', 'transient'))::INT) OVER (PARTITION BY track, phrase_id) AS nm FROM lp WHERE kind IN ('strong-transient', 'transient', 'rhythmic-skeleton')), u AS (SELECT * FROM m WHERE mv OR nm = 0),
     s AS (SELECT track, phrase_id, count(*) AS n, {", ".join(f"{_cov(f'tick % {a} = {b}')} AS c{a}{b}" for a, b in st.LATTICES)}, {", ".join(f"{_cov(f'tick % 3 = {a} AND tick % 2 = {b}')} AS b{a}{b}" for a in range(3) for b in range(2))} FROM u GROUP BY ALL),
     k AS (SELECT *, CASE WHEN c30 >= c31 AND c30 >= c32 THEN 0 WHEN c31 >= c32 THEN 1 ELSE 2 END AS sp, greatest(c30, c31, c32) AS sv, CASE WHEN c20 >= c21 THEN 0 ELSE 1 END AS tp, greatest(c20, c21) AS tv FROM s),
@@ -388,21 +416,78 @@ def _cov(cond):
     z AS (SELECT *, CASE WHEN n < 4 THEN 'straight' WHEN sv + tv - bo - greatest(sv, tv) >= 0.25 AND sv - bo >= 0.18 AND tv - bo >= 0.18 THEN 'mixed' WHEN sv >= tv THEN 'straight' ELSE 'triplet' END AS kind FROM j)
     SELECT track, phrase_id::BIGINT AS phrase_id, kind, CASE WHEN kind <> 'triplet' THEN CASE WHEN n < 4 THEN 0 ELSE sp END END AS straight_phase, CASE WHEN kind IN ('triplet', 'mixed') THEN tp END AS triplet_phase,
       {_r("CASE WHEN n < 4 THEN 1 WHEN kind = 'mixed' THEN sv + tv - bo ELSE greatest(sv, tv) END", 6)} AS coverage FROM z
-    """,
-    ("lp",),
-)
+    """
+cte("lat", _LATTICE, "lp")
+
+
+@plan("lattice_choice", _LATTICE, ("lp",))
 def lattice_choice(spark, sf_dir):
     return st.lattice_choice(lattice_points(spark, sf_dir), ["track", "phrase_id"])
 
 
 def lattice_points(spark, sf_dir):
-    return ranked(spark, sf_dir).select(
-        "track", F.floor(F.col("bar") / 4).alias("phrase_id"), "bar", "tick", "kind", "confidence", "reasons", ev.lattice_weight().alias("weight")
-    )
+    """Candidates with the phrase range of their bar."""
+    ranges = st.phrase_numbers(bar_context(spark, sf_dir).select("track", "bar", "phrase_id", "phrase_position"), KEYS)
+    numbered = ranked(spark, sf_dir).join(ranges.select("track", "bar", F.col("range_no").alias("phrase_id")), ["track", "bar"])
+    return numbered.withColumn("weight", ev.lattice_weight())
 
 
-@plan("exception_budget")
-def exception_budget(spark, sf_dir):
-    points = lattice_points(spark, sf_dir)
+cte(
+    "picked",
+    """WITH s AS (SELECT *, (tick % 2 = 0 OR tick % 3 = 0) AS st, NOT (tick % 2 = 0 OR tick % 3 = 0) AND confidence >= 0.85::DOUBLE AND list_contains(reasons, 'onset') AS ar FROM lp),
+r AS (SELECT *, row_number() OVER (PARTITION BY track, bar, st, ar ORDER BY rank) AS k, least(1, sum(ar::INT) OVER (PARTITION BY track, bar)) AS ex FROM s),
+q AS (SELECT * FROM r WHERE (ar AND k <= ex) OR (st AND k <= 8 - ex))
+SELECT q.*, coalesce(tick % 3 = straight_phase, false) OR coalesce(tick % 2 = triplet_phase, false) AS on_l FROM q JOIN lat ON lat.track = q.track AND lat.phrase_id = q.phrase_id""",
+    "lp",
+    "lat",
+)
+cte(
+    "exgroups",
+    f"""WITH t AS (SELECT track, phrase_id, tick, count(*) AS times FROM picked GROUP BY ALL), b AS (SELECT track, phrase_id, greatest(1, round_even(count(*) FILTER (on_l) * 0.10::DOUBLE, 0))::BIGINT AS budget FROM picked GROUP BY ALL),
+g AS (SELECT p.track, p.phrase_id, p.tick, {_r("sum(w)", 6)} AS gw, count(*) AS n FROM picked p JOIN t ON t.track = p.track AND t.phrase_id = p.phrase_id AND t.tick = p.tick
+  WHERE NOT on_l AND kind = 'strong-transient' AND (list_contains(reasons, 'onset') OR list_contains(reasons, 'stem:drum-agreement')) AND confidence >= 0.95::DOUBLE AND times >= 3 GROUP BY ALL)
+SELECT g.*, budget, row_number() OVER (PARTITION BY g.track, g.phrase_id ORDER BY gw DESC, n DESC, tick) AS k FROM g JOIN b ON b.track = g.track AND b.phrase_id = g.phrase_id""",
+    "picked",
+)
+# A group is taken whole if it fits what the groups before it have left of the budget.
+cte(
+    "exwalk",
+    """SELECT DISTINCT track, phrase_id, 0::BIGINT AS k, 0::BIGINT AS used, NULL::INTEGER AS tick FROM exgroups
+UNION ALL SELECT g.track, g.phrase_id, g.k, CASE WHEN x.used + g.n <= g.budget THEN x.used + g.n ELSE x.used END, CASE WHEN x.used + g.n <= g.budget THEN g.tick::INTEGER END
+FROM exwalk x JOIN exgroups g ON g.track = x.track AND g.phrase_id = x.phrase_id AND g.k = x.k + 1""",
+    "exgroups",
+)
+
+
+def skeleton_parts(spark, sf_dir):
+    """(candidates with phrases, selected ticks, lattices, admitted exceptions)"""
     keys = ["track", "phrase_id"]
-    return st.exception_budget(points, st.lattice_choice(points, keys), keys)
+    points = lattice_points(spark, sf_dir)
+    lattices = st.lattice_choice(points, keys)
+    selected = ev.quota_topk(points, size=8, arbitrary=1)
+    return points, selected, lattices, st.exception_budget(selected, lattices, keys)
+
+
+@plan("exception_budget", "SELECT track, phrase_id, tick FROM exwalk WHERE tick IS NOT NULL", ("exwalk",), recursive=True)
+def exception_budget(spark, sf_dir):
+    return skeleton_parts(spark, sf_dir)[3]
+
+
+@plan(
+    "skeleton_refill",
+    """
+    WITH k AS (SELECT p.track, p.phrase_id, p.bar, p.tick, CASE WHEN on_l THEN 'lattice' ELSE 'exception' END AS source FROM picked p LEFT JOIN exwalk x ON x.track = p.track AND x.phrase_id = p.phrase_id AND x.tick = p.tick WHERE on_l OR x.tick IS NOT NULL),
+    w AS (SELECT track, bar, count(*) AS raw FROM picked GROUP BY ALL), h AS (SELECT track, bar, count(*) AS have FROM k GROUP BY ALL),
+    d AS (SELECT w.track, w.bar, least(coalesce(i.min_hits, 0), raw) - coalesce(have, 0) AS need FROM w LEFT JOIN h ON h.track = w.track AND h.bar = w.bar LEFT JOIN chint i ON i.track = w.track AND i.bar = w.bar),
+    s AS (SELECT c.track, c.phrase_id, c.bar, c.tick, need, row_number() OVER (PARTITION BY c.track, c.bar ORDER BY priority, w DESC, c.tick) AS n FROM lp c JOIN d ON d.track = c.track AND d.bar = c.bar JOIN lat ON lat.track = c.track AND lat.phrase_id = c.phrase_id
+      WHERE reliable AND need > 0 AND (coalesce(c.tick % 3 = straight_phase, false) OR coalesce(c.tick % 2 = triplet_phase, false)) AND NOT EXISTS (SELECT 1 FROM k WHERE k.track = c.track AND k.bar = c.bar AND k.tick = c.tick))
+    SELECT track, phrase_id, bar, tick, source FROM k UNION ALL SELECT track, phrase_id, bar, tick, 'refill' FROM s WHERE n <= need
+    """,
+    ("lp", "lat", "picked", "exwalk", "chint"),
+    recursive=True,
+)
+def skeleton_refill(spark, sf_dir):
+    from pulsegrid.plans.quality import chart_hints
+
+    points, selected, lattices, exceptions = skeleton_parts(spark, sf_dir)
+    return st.resolved_skeleton(selected, points, lattices, exceptions, chart_hints(spark, sf_dir), ["track", "phrase_id"])
