@@ -476,6 +476,30 @@ def point_order(spark, sf_dir):
     return gates.order_audit(points, ["track"], ["bar"], ["l_orderkey", "l_linenumber"], "tick")
 
 
+@plan(
+    "report_roundtrip",
+    """
+    SELECT track, kind, count(*) AS event_count, CAST(sum(CAST(round(value * 100, 0) AS BIGINT)) AS BIGINT) AS cents, max(t) AS last_t FROM ev GROUP BY ALL
+    """,
+    ("ev",),
+)
+def report_roundtrip(spark, sf_dir):
+    """Event counts per track and kind, written as a report, replaced once, and read back."""
+    import uuid
+
+    from pulsegrid.session import ensure_checkpoint_dir
+    from pulsegrid.sources.reports import read_report, write_report
+
+    events = timeline(spark, sf_dir)
+    counted = events.groupBy("track", "kind").agg(
+        F.count(F.lit(1)).alias("event_count"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("t").alias("last_t")
+    )
+    path = f"{ensure_checkpoint_dir(spark).removeprefix('file:').rstrip('/')}/report-{uuid.uuid4().hex}"
+    write_report(counted.filter(F.col("kind") == "view"), path)
+    write_report(counted, path)
+    return read_report(spark, path)
+
+
 @plan(
     "point_audit",
     f"""

@@ -209,8 +209,3 @@ def redact(rows: DataFrame, secret: str, columns: list[str], marker: str = "[RED
         return F.replace(F.col(name), F.lit(secret), F.lit(marker))
 
     return rows.withColumns({n: cleaned(n) for n in columns}) if secret else rows
-
-
-def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a result folder, replacing an older one."""
-    df.write.mode("overwrite").format(fmt).save(path)
