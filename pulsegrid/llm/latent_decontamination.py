@@ -17,7 +17,7 @@ search passes whatever the verification could accept.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -35,11 +35,16 @@ OVER = 16
 ORDERED = 0.6
 #: this share of its TF-IDF weight in common,
 WEIGHT = 0.5
-#: and this share of its last quarter (the answer) in order.
+#: and this share of its last quarter (the answer) in order, unless
 ANSWER = 0.5
+#: this share of it stands there word for word.
+VERBATIM = 0.5
 #: Room for rounding in the latent search, as a share of the lengths of both vectors.
 ROUNDING = 1e-4
 SHORTEST = 5
+#: Windows that are gathered before they are searched, and known words that are projected at once.
+TOGETHER = 1024
+CELLS = 1 << 14
 _WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256)
 )
@@ -62,6 +67,18 @@ def common_order(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+def longest_run(a: list, b: list) -> int:
+    """Length of the longest stretch of words that stands in both."""
+    best, before = 0, {}
+    places: dict = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    for x in a:
+        here = {j: before.get(j - 1, 0) + 1 for j in places.get(x, ())}
+        best, before = max(best, *here.values(), 0), here
+    return best
+
+
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, ns, lists = [], [], []
@@ -204,42 +221,78 @@ class Block:
 
     def matches(self, text: str | None) -> dict[int, tuple[float, float, int]]:
         """item -> (share of words in order, cosine, first word of the window), its best."""
-        best: dict[int, tuple[float, float, int]] = {}
-        tail: list[bytes] = []
-        at = 0
-        for part in parts(utf8(text).translate(_WORDS)):
-            words = tail + part.split()
-            self._search(words, at, best)
-            keep = min(len(words), 2 * PASSAGE)
-            at, tail = at + len(words) - keep, words[len(words) - keep :]
+        return self.matches_of([text])[0]
+
+    def matches_of(self, all_texts: Iterable[str | None]) -> list[dict[int, tuple[float, float, int]]]:
+        """The matches of each text. Windows of many texts are projected and held against the
+        passages together."""
+        best: list[dict[int, tuple[float, float, int]]] = []
+        held, size = [], 0
+        for text in all_texts:
+            best.append({})
+            tail: list[bytes] = []
+            at = 0
+            for part in parts(utf8(text).translate(_WORDS)):
+                words = tail + part.split()
+                held.append((best[-1], at, words, *self._windows(words)))
+                size += len(held[-1][3])
+                if size >= TOGETHER:
+                    self._search(held)
+                    held, size = [], 0
+                keep = min(len(words), 2 * PASSAGE)
+                at, tail = at + len(words) - keep, words[len(words) - keep :]
+        self._search(held)
         return best
 
-    def _search(self, words: list[bytes], offset: int, best: dict[int, tuple[float, float, int]]) -> None:
+    def _windows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first words of the windows that could hold a match, and the numbers of their
+        known words, window after window, with how many each has."""
         get = self.index.get
-        ids = np.array([get(w, -1) for w in words], np.int64)
+        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         place = np.flatnonzero(ids >= 0)
-        if not len(place):
-            return
         known = ids[place]
         total = np.concatenate([[0.0], np.cumsum(self.energy[known])])
         starts = np.arange(0, max(1, len(words) - PASSAGE), PASSAGE)
         low, high = np.searchsorted(place, starts), np.searchsorted(place, starts + 2 * PASSAGE)
         # A window with less weight than the least that a match needs can't hold one.
-        for n in np.flatnonzero(total[high] - total[low] >= WEIGHT * self.mass.min() - 1e-9):
-            own, counts = np.unique(known[low[n] : high[n]], return_counts=True)
-            vector = counts * np.sqrt(self.energy[own])
-            length = vector @ vector
-            seen = vector.astype(np.float32) @ self.basis[own]
-            product = self.latent @ seen
-            norms = np.sqrt(self.weight * length)
-            cosine = product / norms
+        some = total[high] - total[low] >= max(1e-9, WEIGHT * self.mass.min() - 1e-9)
+        starts, low, high = starts[some], low[some], high[some]
+        each = high - low
+        spots = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return starts, known[spots], each
+
+    def _search(self, held: list[tuple]) -> None:
+        """Add the matches in the windows of ``held`` (best, offset, words, starts, known, each)."""
+        each = np.concatenate([h[5] for h in held]) if held else np.zeros(0, np.int64)
+        if not len(each):
+            return
+        owner = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+        starts, known = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+        ends = np.cumsum(each)
+        size = len(self.energy)
+        low = 0
+        while low < len(each):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CELLS, "right")))
+            words = known[ends[low] - each[low] : ends[high - 1]]
+            cells, counts = np.unique(np.repeat(np.arange(high - low), each[low:high]) * size + words, return_counts=True)
+            window, word = cells // size, cells % size
+            value = counts * np.sqrt(self.energy[word])
+            length = np.bincount(window, value**2, high - low)
+            first = np.searchsorted(window, np.arange(high - low))
+            seen = np.add.reduceat(value.astype(np.float32)[:, None] * self.basis[word], first, axis=0)
+            product = seen @ self.latent.T
+            norms = np.sqrt(length[:, None] * self.weight)
             # What both vectors lack in the latent space adds no more than its lengths' product.
-            floor = self.least - self.lost * np.sqrt(max(0.0, length - float(seen @ seen))) - ROUNDING * norms
-            window = words[starts[n] : starts[n] + 2 * PASSAGE]
-            for i in np.flatnonzero(product >= floor):
-                share = self.verified(i, window)
-                if share and (share, float(cosine[i])) > best.get(self.items[i], (0.0, 0.0, 0))[:2]:
-                    best[self.items[i]] = (share, float(cosine[i]), offset + int(starts[n]))
+            lacking = np.sqrt(np.maximum(0.0, length - (seen.astype(np.float64) ** 2).sum(axis=1)))
+            floor = self.least - lacking[:, None] * self.lost - ROUNDING * norms
+            for n, i in zip(*np.nonzero(product >= floor), strict=True):
+                best, offset, own = held[owner[low + n]][:3]
+                start = int(starts[low + n])
+                share = self.verified(i, own[start : start + 2 * PASSAGE])
+                cosine = float(product[n, i] / norms[n, i])
+                if share and (share, cosine) > best.get(self.items[i], (0.0, 0.0, 0))[:2]:
+                    best[self.items[i]] = (share, cosine, offset + start)
+            low = high
 
     def verified(self, i: int, window: list[bytes]) -> float:
         """The share of passage ``i`` in order in the window if it is a match, else 0."""
@@ -251,6 +304,8 @@ class Block:
         weight = sum(min(n, there[w]) * self.energy[self.index[w]] for w, n in Counter(passage).items())
         if weight < WEIGHT * sum(self.energy[self.index[w]] for w in passage):
             return 0.0
+        if longest_run(passage, window) >= VERBATIM * len(passage):
+            return share
         answer = passage[-max(3, len(passage) // 4) :]
         return share if common_order(answer, window) >= ANSWER * len(answer) else 0.0
 
@@ -284,8 +339,8 @@ def _found(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     block = model.value
     for batch in batches:
         rows = defaultdict(list)
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            for item, (share, cosine, at) in sorted(block.matches(text).items()):
+        for doc, found in zip(batch.column("doc_id").to_pylist(), block.matches_of(texts(batch)), strict=True):
+            for item, (share, cosine, at) in sorted(found.items()):
                 for name, value in (("doc_id", doc), ("item_id", item), ("ordered", share), ("cosine", cosine), ("first_word", at)):
                     rows[name].append(value)
         kinds = (("doc_id", pa.int64()), ("item_id", pa.int64()), ("ordered", pa.float64()), ("cosine", pa.float64()), ("first_word", pa.int64()))
