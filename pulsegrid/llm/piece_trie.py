@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a trie of distinct marked words.
 
 A marked word is a run of word marks and what follows up to the next mark; no piece of the
-vocabulary reaches over its end. The distinct new words of a batch are sorted, so that they
-are the leaves of a trie in depth-first order, and each keeps the forward states of the
+vocabulary reaches over its end. The distinct new words of some texts (about ``TOGETHER``
+characters) are sorted, so that they are the leaves of a trie in depth-first order, and each keeps the forward states of the
 prefix that it shares with the word before. The given vocabulary is a BPE model: the forward
 state of a prefix is its last piece (the one piece that stays apart from the piece before it
 when both are merged together), where a unigram model would keep the best score.
@@ -11,7 +11,7 @@ when both are merged together), where a unigram model would keep the best score.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -25,7 +25,8 @@ from pulsegrid.llm.common import texts
 MARK = "▁"
 KEEP = 400_000
 LONG = 64
-FLUSH = 2_000_000
+#: Characters of the texts whose words are learned together, about.
+TOGETHER = 1 << 20
 
 
 class PieceTrie:
@@ -61,7 +62,9 @@ class PieceTrie:
         self.whole = {piece: i for piece, i in self.ids.items() if self.steps[i][-1][1] == piece}
         self.stems = {piece[:n] for piece in self.whole for n in range(1, len(piece) + 1)}
         self.apart: dict[int, bool] = {}
+        #: Encoded words of this generation and the one before it.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.former: dict[str, tuple[int, ...]] = {}
 
     def _history(self, text: str) -> list[tuple[float, str, str]]:
         """The merges of a text, best first and the left one of equals: each one's score, and
@@ -99,7 +102,7 @@ class PieceTrie:
         self.apart[left << 20 | right] = found
         return found
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Piece ids of each of the distinct ``words``, depth first over their trie.
 
         last[p] and back[p] are the last piece of the prefix of length p and where it starts;
@@ -149,14 +152,19 @@ class PieceTrie:
     def encode(self, words: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, words)))
 
-    def learn(self, words: list[str]) -> None:
-        """Make every word of ``words`` known, keeping the table bounded."""
+    def learn(self, words: Iterable[str]) -> None:
+        """Make every word of ``words`` known. When the table has half of ``KEEP`` words it
+        becomes the former generation, from which a word that is asked for again moves on
+        without being encoded again; what is not asked for is forgotten."""
         new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > KEEP:
-                self.known.clear()
-                new = set(words)
-            self.known.update(self.encode_words(list(new)))
+        if not new:
+            return
+        if len(self.known) + len(new) > KEEP // 2:
+            self.former, self.known = self.known, {}
+            new = set(words)
+        again = new.intersection(self.former)
+        self.known.update((w, self.former[w]) for w in again)
+        self.known.update(self.encode_words(new.difference(again)))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.surface.__getitem__, ids))[1:].decode("utf-8", "replace")
@@ -169,24 +177,28 @@ def trie(path: str) -> PieceTrie:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = trie(path)
-    for batch in batches:
-        low, values, ends, same = 0, [], [0], []
-        for n, text in enumerate(texts(batch)):
-            words = own.marked(text or "")
-            own.learn(words)
+
+    def out(part: pa.RecordBatch, held: list[str]) -> pa.RecordBatch:
+        lists = [own.marked(t) for t in held]
+        own.learn(chain.from_iterable(lists))
+        values, ends, same = [], [0], []
+        for text, words in zip(held, lists, strict=True):
             ids = own.encode(words)
-            same.append(own.decode(ids) == (text or "").replace(MARK, " "))
+            same.append(own.decode(ids) == text.replace(MARK, " "))
             values.append(np.array(ids, np.int32))
             ends.append(ends[-1] + len(ids))
-            if ends[-1] >= FLUSH or n == batch.num_rows - 1:
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
-                part = batch.slice(low, n + 1 - low)
-                keep = [part.column(i) for i, c in enumerate(batch.schema.names)]
-                yield pa.RecordBatch.from_arrays(
-                    [*keep, lists, pa.array(np.diff(ends).astype(np.int64)), pa.array(same)],
-                    names=[*batch.schema.names, "_ids", "_pieces", "_same"],
-                )
-                low, values, ends, same = n + 1, [], [0], []
+        made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+        more = [made, pa.array(np.diff(ends).astype(np.int64)), pa.array(same)]
+        return pa.RecordBatch.from_arrays([*part.columns, *more], names=[f"c{i}" for i in range(part.num_columns + 3)])
+
+    for batch in batches:
+        low, held, size = 0, [], 0
+        for n, text in enumerate(texts(batch)):
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= TOGETHER or n == batch.num_rows - 1:
+                yield out(batch.slice(low, n + 1 - low), held)
+                low, held, size = n + 1, [], 0
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -194,15 +206,18 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
     round_trip says that decoding the ids gives the text back (a word mark in the text
     decodes as a space, as in the library). Null and empty texts have no pieces. Rows with a
-    null or repeated doc_id are encoded like others; an empty table gives no rows.
+    null or repeated doc_id are encoded like others; an empty table gives no rows. A kept
+    column that is named like one of the three new ones is replaced by it.
     """
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    rows = rows.withColumn("text", F.col("text").cast("string"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    made = rows.mapInArrow(partial(_encoded, path=path), f"{kinds}, _ids array<int>, _pieces long, _same boolean")
-    return made.select(
-        *keep, F.col("_ids").alias("piece_ids"), F.col("_pieces").alias("n_pieces"), F.col("_same").alias("round_trip")
-    )
+    # Columns travel by number, so that no name can clash.
+    kept = [docs[c] for c in keep]
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(kept)], F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields))
+    n = len(kept)
+    made = rows.mapInArrow(partial(_encoded, path=path), f"{kinds}, c{n + 1} array<int>, c{n + 2} long, c{n + 3} boolean")
+    own = ("piece_ids", "n_pieces", "round_trip")
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c not in own]
+    return made.select(*named, *[F.col(f"c{n + 1 + i}").alias(c) for i, c in enumerate(own)])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
