@@ -62,7 +62,7 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
         yield _hashes(tail, len(tail))
 
 
-def summary(text: str | None, width: int = 3, minima: int = 0) -> tuple[int, list[int]]:
+def summary(text: str | None, width: int = 3, minima: int = 0) -> tuple[int, np.ndarray]:
     """The unsigned fingerprint of a whole text (0 where it has no words), and the least of
     its shingle hashes in ``minima`` different orders."""
     votes, total = np.zeros(64, np.int64), 0
@@ -76,8 +76,8 @@ def summary(text: str | None, width: int = 3, minima: int = 0) -> tuple[int, lis
             for at in range(0, len(values), 512):
                 least = np.minimum(least, (values[at : at + 512, None] * FACTORS[:minima]).min(axis=0))
     if not total:
-        return 0, []
-    return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big"), least.tolist()
+        return 0, least[:0]
+    return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big"), least
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [summary(t, width, len(FACTORS)) for t in texts(batch)]
-        least = [np.array(m, np.uint64) for _, m in found]
+        least = [m for _, m in found]
         fps = np.array([f for f, _ in found], np.uint64)
         nodes = [xxhash.xxh64_intdigest(f.tobytes() + m.tobytes(), SEED) for f, m in zip(fps, least, strict=True)]
         columns = [
