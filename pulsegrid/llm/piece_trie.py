@@ -156,12 +156,10 @@ class PieceTrie:
         """Make every word of ``words`` known. When the table has half of ``KEEP`` words it
         becomes the former generation, from which a word that is asked for again moves on
         without being encoded again; what is not asked for is forgotten."""
-        new = set(words).difference(self.known)
-        if not new:
-            return
-        if len(self.known) + len(new) > KEEP // 2:
-            self.former, self.known = self.known, {}
-            new = set(words)
+        asked = set(words)
+        new = asked.difference(self.known)
+        if new and len(self.known) + len(new) > KEEP // 2:
+            self.former, self.known, new = self.known, {}, asked
         again = new.intersection(self.former)
         self.known.update((w, self.former[w]) for w in again)
         self.known.update(self.encode_words(new.difference(again)))

@@ -52,3 +52,26 @@ def test_edge_rows(spark):
     assert kept.columns == [*table.columns, "piece_ids", "n_pieces", "round_trip"]
     assert kept.where("doc_id = 1").first()["text"] is None
     assert decode(encode(docs(spark, []), PATH), PATH).count() == 0
+
+
+def test_words_of_former_generations_stay_right(monkeypatch):
+    from pulsegrid.llm import piece_trie as m
+
+    monkeypatch.setattr(m, "KEEP", 60)
+    own = m.PieceTrie(PATH)
+    library = SentencePieceProcessor(model_file=PATH)
+    for n in range(12):
+        texts = [f"the word{k * n} is number {k + n % 3} again" for k in range(9)]
+        lists = [own.marked(t) for t in texts]
+        own.learn(w for words in lists for w in words)
+        assert [own.encode(words) for words in lists] == [library.encode(t) for t in texts]
+        assert len(own.known) <= 60 and len(own.former) <= 60
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "some text", "a", 7, 8, "b"), (None, None, "c", 9, 10, "d")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _ids string, n_pieces long, c0 long, round_trip string")
+    made = encode(table, PATH, tuple(table.columns))
+    assert made.columns == ["doc_id", "text", "_ids", "c0", "piece_ids", "n_pieces", "round_trip"]
+    got = sorted(((r["doc_id"], r["text"], r["_ids"], r["c0"], r["n_pieces"] > 0, r["round_trip"]) for r in made.collect()), key=str)
+    assert got == sorted([(1, "some text", "a", 8, True, True), (None, None, "c", 10, False, True)], key=str)
