@@ -11,6 +11,7 @@ when both are merged together), where a unigram model would keep the best score.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 from itertools import chain
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import texts
 
 MARK = "▁"
-KEEP = 400_000
+#: Words that a task keeps encoded, about 200 bytes each, in two generations.
+KEEP = 800_000
 LONG = 64
 #: Characters of the texts whose words are learned together, about.
 TOGETHER = 1 << 20
@@ -60,11 +62,12 @@ class PieceTrie:
         #: Only pieces that their own merges build can stand in an encoding.
         self.steps = {i: self._history(piece) for piece, i in self.ids.items()}
         self.whole = {piece: i for piece, i in self.ids.items() if self.steps[i][-1][1] == piece}
-        self.stems = {piece[:n] for piece in self.whole for n in range(1, len(piece) + 1)}
+        #: Every beginning of such a piece, with the id of the piece that it is, or -1.
+        self.stems = {piece[:n]: -1 for piece in self.whole for n in range(1, len(piece) + 1)} | self.whole
         self.apart: dict[int, bool] = {}
         #: Encoded words of this generation and the one before it.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.former: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def _history(self, text: str) -> list[tuple[float, str, str]]:
         """The merges of a text, best first and the left one of equals: each one's score, and
@@ -82,7 +85,7 @@ class PieceTrie:
     def _stays_apart(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border of two pieces: both are built side by side,
         the better merge first, until the parts at the border would merge before either."""
-        if len(self.apart) >= 4 * KEEP:
+        if len(self.apart) >= 2 * KEEP:
             self.apart.clear()
         lefts, rights = self.steps[left], self.steps[right]
         i = j = 0
@@ -102,14 +105,19 @@ class PieceTrie:
         self.apart[left << 20 | right] = found
         return found
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Piece ids of each of the distinct ``words``, depth first over their trie.
+    @staticmethod
+    def _packed(*ids: int) -> bytes:
+        return array("I", ids).tobytes()
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Piece ids (four bytes each) of each of the distinct ``words``, depth first over
+        their trie.
 
         last[p] and back[p] are the last piece of the prefix of length p and where it starts;
         -1 is a character without a piece, spelt in bytes, which no merge reaches over.
         """
-        found: dict[str, tuple[int, ...]] = {}
-        stems, whole, apart, judge, longest = self.stems, self.whole, self.apart, self._stays_apart, self.longest
+        found: dict[str, bytes] = {}
+        stem, apart, judge, longest, pack = self.stems.get, self.apart.get, self._stays_apart, self.longest, self._packed
         last, back, before = [-1], [0], ""
         for word in sorted(words):
             size, shared = len(word), 0
@@ -118,19 +126,24 @@ class PieceTrie:
                     break
                 shared += 1
             last[shared + 1 :] = back[shared + 1 :] = [None] * (size - shared)
-            for start in range(max(0, shared + 1 - longest), size):
+            for start in range(shared + 1 - longest if shared >= longest else 0, size):
                 # Going forward, the first start to reach an end has the longest piece there.
                 behind = last[start]
-                if start >= shared and last[start + 1] is None and word[start] not in whole:
-                    last[start + 1], back[start + 1] = -1, start
-                    continue
-                for end in range(max(start, shared) + 1, min(size, start + longest) + 1):
-                    piece = word[start:end]
-                    if piece not in stems:
-                        break
-                    if last[end] is None and (own := whole.get(piece)) is not None:
-                        if behind < 0 or ((ok := apart.get(behind << 20 | own)) or (ok is None and judge(behind, own))):
-                            last[end], back[end] = own, start
+                end = start if start > shared else shared
+                while end < size:
+                    end += 1
+                    own = stem(word[start:end])
+                    if own is None or own < 0:
+                        if end == start + 1 and last[end] is None:
+                            last[end], back[end] = -1, start
+                        if own is None:
+                            break
+                    elif last[end] is None:
+                        if behind >= 0:
+                            ok = apart(behind << 20 | own)
+                            if not (judge(behind, own) if ok is None else ok):
+                                continue
+                        last[end], back[end] = own, start
             ids: list[int] = []
             at = size
             while at:
@@ -140,7 +153,8 @@ class PieceTrie:
                 else:
                     ids.extend(self.byte[b] for b in reversed(word[start:at].encode("utf-8", "surrogatepass")))
                 at = start
-            found[word] = tuple(reversed(ids))
+            ids.reverse()
+            found[word] = pack(*ids)
             before = word
         return found
 
@@ -149,8 +163,8 @@ class PieceTrie:
     def marked(self, text: str) -> list[str]:
         return self._words.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, words: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+    def encode(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
 
     def learn(self, words: Iterable[str]) -> None:
         """Make every word of ``words`` known. When the table has half of ``KEEP`` words it
@@ -182,8 +196,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         values, ends, same = [], [0], []
         for text, words in zip(held, lists, strict=True):
             ids = own.encode(words)
-            same.append(own.decode(ids) == text.replace(MARK, " "))
-            values.append(np.array(ids, np.int32))
+            same.append(own.decode(ids.tolist()) == text.replace(MARK, " "))
+            values.append(ids)
             ends.append(ends[-1] + len(ids))
         made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
         more = [made, pa.array(np.diff(ends).astype(np.int64)), pa.array(same)]
