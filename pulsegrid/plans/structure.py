@@ -212,9 +212,7 @@ def phrases(spark, sf_dir):
     )
 
 
-@plan(
-    "transition_role",
-    f"""
+_ROLES = f"""
     WITH a AS (SELECT g.*, p.primary_role AS pr, p.energy_trend AS tr, {_COMB} AS dv FROM asg g JOIN phr p ON p.track = g.track AND p.phrase_id = g.phrase_id),
     n AS (SELECT *, dv - lag(dv) OVER w AS dl, CASE WHEN lag(phrase_id) OVER w <> phrase_id THEN lag(pr) OVER w END AS br, lag(boundary_confidence) OVER w AS bb, greatest(coalesce(lag(energy_percentile) OVER w, 0), coalesce(lead(energy_percentile) OVER w, 0)) AS ar,
       coalesce(least(1.0::DOUBLE, greatest(0, lag(vocal_activity) OVER w - vocal_activity) * 0.55::DOUBLE + greatest(0, drum_activity - lag(drum_activity) OVER w) * 0.45::DOUBLE + greatest(0, other_activity - lag(other_activity) OVER w) * 0.30::DOUBLE + drum_activity * 0.15::DOUBLE), 0) AS cue FROM a WINDOW w AS (PARTITION BY track ORDER BY bar)),
@@ -222,10 +220,17 @@ def phrases(spark, sf_dir):
     x AS (SELECT *, CASE WHEN edge_silent THEN 'stable' WHEN dl IS NOT NULL AND phrase_position = 'start' AND abs(dl) >= 0.28 AND (coalesce(br IN ('build_up', 'peak'), false) OR bb >= 0.5) THEN 'drop'
         WHEN (energy_percentile >= 0.82 OR (energy_percentile >= 0.65 AND flux >= 0.75 AND percussive_ratio >= 0.55) OR (drum_activity >= 0.7 AND bass_activity >= 0.45 AND greatest(vocal_activity, other_activity) >= 0.5)) AND energy_percentile >= ar THEN 'peak'
         WHEN pr = 'breakdown' OR (energy_percentile <= 0.4 AND activity_mean >= 0.18 AND (onset_density <= 0.08 OR ({_SPEC} AND percussive_ratio <= 0.25 AND flux <= 0.35) OR ({_SRC} AND greatest(vocal_activity, other_activity) >= 0.25 AND drum_activity <= 0.22 AND bass_activity <= 0.22))) THEN 'breakdown'
-        WHEN pr = 'build_up' AND phrase_progress < 1 THEN 'build_up' WHEN phrase_position IN ('end', 'single') AND (boundary_confidence >= 0.46 OR cue2 >= 0.45) THEN 'cadence' ELSE 'stable' END AS role FROM m)
-    SELECT track, bar, phrase_id::BIGINT AS phrase_id, role AS transition_role, {_r("CASE WHEN edge_silent THEN 0.2::DOUBLE WHEN role = 'drop' THEN least(1.0::DOUBLE, abs(dl) + 0.35::DOUBLE) WHEN role = 'peak' THEN energy_percentile WHEN role = 'breakdown' THEN least(1.0::DOUBLE, 0.55::DOUBLE + activity_mean) WHEN role = 'build_up' THEN least(1.0::DOUBLE, 0.55::DOUBLE + greatest(0, tr) * 4) WHEN role = 'cadence' THEN greatest(boundary_confidence, cue2) ELSE greatest(0.35::DOUBLE, 1 - abs(coalesce(dl, 0))) END", 6)} AS transition_confidence FROM x
+        WHEN pr = 'build_up' AND phrase_progress < 1 THEN 'build_up' WHEN phrase_position IN ('end', 'single') AND (boundary_confidence >= 0.46 OR cue2 >= 0.45) THEN 'cadence' ELSE 'stable' END AS role FROM m)"""
+
+cte("rol", _ROLES + "\nSELECT * FROM x", "asg", "phr")
+
+
+@plan(
+    "transition_role",
+    f"""
+    SELECT track, bar, phrase_id::BIGINT AS phrase_id, role AS transition_role, {_r("CASE WHEN edge_silent THEN 0.2::DOUBLE WHEN role = 'drop' THEN least(1.0::DOUBLE, abs(dl) + 0.35::DOUBLE) WHEN role = 'peak' THEN energy_percentile WHEN role = 'breakdown' THEN least(1.0::DOUBLE, 0.55::DOUBLE + activity_mean) WHEN role = 'build_up' THEN least(1.0::DOUBLE, 0.55::DOUBLE + greatest(0, tr) * 4) WHEN role = 'cadence' THEN greatest(boundary_confidence, cue2) ELSE greatest(0.35::DOUBLE, 1 - abs(coalesce(dl, 0))) END", 6)} AS transition_confidence FROM rol
     """,
-    ("asg", "phr"),
+    ("rol",),
     recursive=True,
 )
 def transition_role(spark, sf_dir):
@@ -236,12 +241,53 @@ def roles_of(spark, sf_dir):
     return stage(spark, sf_dir, "roles", lambda: st.transition_roles(assigned(spark, sf_dir), phrases_of(spark, sf_dir), KEYS))
 
 
-@plan("sections")
+cte("pk_phr", "SELECT track, phrase_id, signature, mean_energy, row_number() OVER (PARTITION BY track ORDER BY phrase_id) AS k FROM phr", "phr")
+# Each phrase joins the first of the most similar running centres, or opens one.
+cte(
+    "secwalk",
+    f"""SELECT DISTINCT track, 0::BIGINT AS k, []::STRUCT(total DOUBLE[], members INTEGER)[] AS op, NULL::BIGINT AS phrase_id, NULL::BIGINT AS ix, NULL::DOUBLE AS conf FROM pk_phr
+UNION ALL SELECT track, k, CASE WHEN jn THEN list_transform(op, lambda o, i: CASE WHEN i = ps THEN {{'total': list_transform(range(1, 20), lambda j: o.total[j] + sg[j]), 'members': o.members + 1}} ELSE o END) ELSE list_append(op, {{'total': sg, 'members': 1}}) END,
+  phrase_id, CASE WHEN jn THEN ps - 1 ELSE len(op) END, CASE WHEN jn THEN lk[ps] ELSE 0.6::DOUBLE END
+FROM (SELECT *, coalesce(lk[ps] >= {st.SIMILAR}::DOUBLE, false) AS jn FROM (SELECT *, list_position(lk, list_max(lk)) AS ps FROM (SELECT w.track, p.k, w.op, p.phrase_id, p.signature AS sg, list_transform(w.op, lambda o: 1 - list_sum(list_transform(range(1, 20), lambda j: abs(o.total[j] / o.members - p.signature[j]))) / 19) AS lk
+  FROM secwalk w JOIN pk_phr p ON p.track = w.track AND p.k = w.k + 1)))""",
+    "pk_phr",
+)
+
+
+@plan(
+    "sections",
+    f"""
+    WITH g AS (SELECT track, phrase_id, ix, conf FROM secwalk WHERE k > 0), a AS (SELECT track, phrase_id, avg(activity_mean) AS act, avg(vocal_activity) AS voc, avg(drum_activity) AS dru, avg(bass_activity) AS bas, avg(other_activity) AS oth FROM asg GROUP BY ALL),
+    m AS (SELECT g.track, g.ix, count(*) AS n, min(g.phrase_id) AS fp, avg(p.mean_energy) AS e, avg(act) AS act, avg(voc) AS voc, avg(dru) AS dru, avg(bas) AS bas, avg(oth) AS oth FROM g JOIN pk_phr p ON p.track = g.track AND p.phrase_id = g.phrase_id JOIN a ON a.track = g.track AND a.phrase_id = g.phrase_id GROUP BY ALL),
+    l AS (SELECT track, max(phrase_id) AS lp FROM pk_phr GROUP BY track),
+    t AS (SELECT m.track, ix, CASE WHEN n = 1 AND fp = 0 THEN 'intro' WHEN n = 1 AND fp = lp THEN 'outro' WHEN e <= 0.35::DOUBLE AND act < 0.35::DOUBLE AND voc < 0.15::DOUBLE THEN 'break'
+      WHEN e >= 0.65::DOUBLE OR (voc >= 0.35::DOUBLE AND dru >= 0.45::DOUBLE AND bas >= 0.25::DOUBLE AND oth >= 0.35::DOUBLE) THEN 'chorus' ELSE 'verse' END AS section FROM m JOIN l USING (track))
+    SELECT g.track, g.phrase_id, 'section-' || (g.ix + 1) AS section_id, section, {_r("conf", 6)} AS section_confidence FROM g JOIN t ON t.track = g.track AND t.ix = g.ix
+    """,
+    ("secwalk", "pk_phr", "asg"),
+    recursive=True,
+)
 def sections(spark, sf_dir):
     return st.sections(phrases_of(spark, sf_dir), assigned(spark, sf_dir), KEYS)
 
 
-@plan("fill_candidates")
+@plan(
+    "fill_candidates",
+    f"""
+    WITH h AS (SELECT track, phrase_id, bool_or(role = 'build_up') AS r1, bool_or(role = 'peak') AS r2, bool_or(role = 'drop') AS r3, bool_or(role = 'breakdown') AS r4, bool_or(role = 'cadence') AS r5 FROM rol GROUP BY ALL),
+    f AS (SELECT p.*, CASE WHEN r1 THEN 'build_up' WHEN r2 THEN 'peak' WHEN r3 THEN 'drop' WHEN r4 THEN 'breakdown' WHEN r5 THEN 'cadence' ELSE primary_role END AS fr FROM phr p JOIN h ON h.track = p.track AND h.phrase_id = p.phrase_id),
+    n AS (SELECT track, end_bar, ending_confidence, abs(lead(mean_energy) OVER w - mean_energy) AS ch, lead(fr) OVER w AS nx, lead(phrase_id) OVER w IS NULL AS fin FROM f WINDOW w AS (PARTITION BY track ORDER BY phrase_id)),
+    z AS (SELECT track, count(*) AS bars FROM rol GROUP BY track),
+    s AS (SELECT r.track, r.bar, bars, edge_silent, role, n.ending_confidence * 0.30::DOUBLE + {_DRIVE} * 0.15::DOUBLE + coalesce(ch, 0) * 0.20::DOUBLE + CASE WHEN nx IN ('peak', 'drop') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN fin THEN CASE WHEN bars >= 4 THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END ELSE 0 END
+      + CASE WHEN {_SPEC} THEN least(0.15::DOUBLE, flux * 0.06::DOUBLE + texture_novelty * 0.05::DOUBLE + high * 0.04::DOUBLE) ELSE 0 END + CASE WHEN {_SRC} THEN least(0.15::DOUBLE, cue2 * 0.10::DOUBLE + drum_activity * 0.03::DOUBLE + other_activity * 0.02::DOUBLE) ELSE 0 END
+      + CASE WHEN role IN ('cadence', 'peak') THEN 0.10::DOUBLE ELSE 0 END AS sc FROM n JOIN rol r ON r.track = n.track AND r.bar = n.end_bar JOIN z ON z.track = r.track),
+    t AS (SELECT *, {_r("least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN edge_silent THEN 0 WHEN role = 'breakdown' THEN sc * 0.55::DOUBLE ELSE sc END))", 6)} AS x FROM s),
+    k AS (SELECT *, x >= {st.FILL}::DOUBLE AND row_number() OVER (PARTITION BY track ORDER BY x >= {st.FILL}::DOUBLE DESC, x DESC, bar) <= greatest(1, ceil(bars / 6.0::DOUBLE)) AS kept FROM t)
+    SELECT track, bar, {_r(f"CASE WHEN kept THEN x ELSE least(x, {st.FILL - 0.001}::DOUBLE) END", 6)} AS fill_score, kept AS fill_candidate FROM k
+    """,
+    ("rol", "phr"),
+    recursive=True,
+)
 def fill_candidates(spark, sf_dir):
     roles = roles_of(spark, sf_dir)
     return st.fill_candidates(roles, st.dominant_roles(roles, phrases_of(spark, sf_dir), KEYS), KEYS)
@@ -331,7 +377,34 @@ def resolution_choice(spark, sf_dir):
     return st.resolution_choice(samples(spark, sf_dir), KEYS)
 
 
-@plan("resolution_plan")
+def _plain_err(n):
+    return f"sum(abs(p - round_even(p / {48 / n}::DOUBLE, 0) * {48 / n}::DOUBLE) * w) / sum(w)"
+
+
+_COARSEST = "CASE WHEN coalesce(e16, 0) <= 0.2::DOUBLE THEN 16 WHEN coalesce(e24, 0) <= 0.2::DOUBLE THEN 24 ELSE 48 END"
+
+
+@plan(
+    "resolution_plan",
+    f"""
+    WITH d AS (SELECT track, max(bar) AS last FROM smp GROUP BY track), b0 AS (SELECT track, unnest(range(0, last + 1)) AS bar FROM d),
+    b AS (SELECT track, bar, bar // 10 AS ph, (bar // 10) % 2 AS sec, lag(CASE WHEN bar % 10 = 9 THEN 0.5 ELSE 0 END) OVER (PARTITION BY track ORDER BY bar) AS before FROM b0),
+    e AS (SELECT track, bar // 10 AS ph, count(*) AS n, {_plain_err(16)} AS e16, {_plain_err(24)} AS e24, {_plain_err(48)} AS e48 FROM smp GROUP BY ALL),
+    p AS (SELECT b.track, b.ph, any_value(sec) AS sec, count(*) AS bars, list(before ORDER BY bar)[1] AS before FROM b GROUP BY b.track, b.ph),
+    q AS (SELECT p.*, e16, e24, e48, CASE WHEN coalesce(n, 0) >= 4 THEN {_COARSEST} ELSE 16 END AS need FROM p LEFT JOIN e ON e.track = p.track AND e.ph = p.ph),
+    v AS (SELECT track, need, sum(bars) AS w FROM q GROUP BY ALL), bs AS (SELECT track, arg_max(need, (w, -need)) AS base FROM v GROUP BY track),
+    sh AS (SELECT track, count(*) AS phrases, min(bars) AS short FROM q GROUP BY track), sn AS (SELECT track, sec, max(need) AS sneed FROM q GROUP BY ALL),
+    j AS (SELECT q.*, base, greatest(need, sneed, base) AS target, phrases >= 2 AND short >= 2 AS usable, coalesce(CASE base WHEN 16 THEN e16 WHEN 24 THEN e24 ELSE e48 END, 0) AS berr FROM q JOIN bs USING (track) JOIN sh USING (track) JOIN sn ON sn.track = q.track AND sn.sec = q.sec),
+    k AS (SELECT *, target > base AND berr >= 0.35::DOUBLE AND (before IS NULL OR before >= 0.4::DOUBLE) AS lifted FROM j),
+    r AS (SELECT b.track, b.bar, usable, lifted, CASE WHEN lifted THEN target ELSE base END AS res FROM b JOIN k ON k.track = b.track AND k.ph = b.ph),
+    c AS (SELECT *, coalesce(lag(res) OVER (PARTITION BY track ORDER BY bar) <> res, false) AS ch FROM r),
+    t AS (SELECT track, count(*) FILTER (ch) AS changes, max(res) AS top, bool_or(lifted) AS any_l, count(*) AS n FROM c GROUP BY track),
+    g0 AS (SELECT track, {_err(16)} AS x16, {_err(24)} AS x24, {_err(48)} AS x48 FROM smp GROUP BY track),
+    g AS (SELECT track, CASE WHEN x16 <= 0.2 THEN 16 WHEN x24 <= 0.2 THEN 24 WHEN x48 <= 0.2 THEN 48 WHEN x16 <= least(x16, x24, x48) + 0.05::DOUBLE THEN 16 WHEN x24 <= least(x16, x24, x48) + 0.05::DOUBLE THEN 24 ELSE 48 END AS whole FROM g0)
+    SELECT c.track, c.bar, (CASE WHEN NOT usable THEN coalesce(whole, 16) WHEN changes > greatest(2, t.n // 8) THEN top WHEN NOT any_l THEN coalesce(whole, 16) ELSE res END)::INTEGER AS resolution FROM c JOIN t USING (track) LEFT JOIN g USING (track)
+    """,
+    ("smp",),
+)
 def resolution_plan(spark, sf_dir):
     found = samples(spark, sf_dir)
     b = F.col("bar")
