@@ -11,6 +11,7 @@ from pulsegrid.plans.bindings import DAY, TICKS, evidence, timeline
 from pulsegrid.plans.evidence import _r, bar_context, peaks, ranked, scored
 from pulsegrid.plans.registry import cte, plan
 from pulsegrid.plans.stages import stage
+from pulsegrid.sources import exports
 
 KEYS = ["track"]
 
@@ -254,26 +255,23 @@ FROM (SELECT *, coalesce(lk[ps] >= {st.SIMILAR}::DOUBLE, false) AS jn FROM (SELE
 )
 
 
-@plan(
-    "sections",
-    f"""
+_SECTIONS = f"""
     WITH g AS (SELECT track, phrase_id, ix, conf FROM secwalk WHERE k > 0), a AS (SELECT track, phrase_id, avg(activity_mean) AS act, avg(vocal_activity) AS voc, avg(drum_activity) AS dru, avg(bass_activity) AS bas, avg(other_activity) AS oth FROM asg GROUP BY ALL),
     m AS (SELECT g.track, g.ix, count(*) AS n, min(g.phrase_id) AS fp, avg(p.mean_energy) AS e, avg(act) AS act, avg(voc) AS voc, avg(dru) AS dru, avg(bas) AS bas, avg(oth) AS oth FROM g JOIN pk_phr p ON p.track = g.track AND p.phrase_id = g.phrase_id JOIN a ON a.track = g.track AND a.phrase_id = g.phrase_id GROUP BY ALL),
     l AS (SELECT track, max(phrase_id) AS lp FROM pk_phr GROUP BY track),
     t AS (SELECT m.track, ix, CASE WHEN n = 1 AND fp = 0 THEN 'intro' WHEN n = 1 AND fp = lp THEN 'outro' WHEN e <= 0.35::DOUBLE AND act < 0.35::DOUBLE AND voc < 0.15::DOUBLE THEN 'break'
       WHEN e >= 0.65::DOUBLE OR (voc >= 0.35::DOUBLE AND dru >= 0.45::DOUBLE AND bas >= 0.25::DOUBLE AND oth >= 0.35::DOUBLE) THEN 'chorus' ELSE 'verse' END AS section FROM m JOIN l USING (track))
     SELECT g.track, g.phrase_id, 'section-' || (g.ix + 1) AS section_id, section, {_r("conf", 6)} AS section_confidence FROM g JOIN t ON t.track = g.track AND t.ix = g.ix
-    """,
-    ("secwalk", "pk_phr", "asg"),
-    recursive=True,
-)
+    """
+cte("sect", _SECTIONS, *("secwalk", "pk_phr", "asg"))
+
+
+@plan("sections", _SECTIONS, ("secwalk", "pk_phr", "asg"), recursive=True)
 def sections(spark, sf_dir):
     return st.sections(phrases_of(spark, sf_dir), assigned(spark, sf_dir), KEYS)
 
 
-@plan(
-    "fill_candidates",
-    f"""
+_FILL_CANDIDATES = f"""
     WITH h AS (SELECT track, phrase_id, bool_or(role = 'build_up') AS r1, bool_or(role = 'peak') AS r2, bool_or(role = 'drop') AS r3, bool_or(role = 'breakdown') AS r4, bool_or(role = 'cadence') AS r5 FROM rol GROUP BY ALL),
     f AS (SELECT p.*, CASE WHEN r1 THEN 'build_up' WHEN r2 THEN 'peak' WHEN r3 THEN 'drop' WHEN r4 THEN 'breakdown' WHEN r5 THEN 'cadence' ELSE primary_role END AS fr FROM phr p JOIN h ON h.track = p.track AND h.phrase_id = p.phrase_id),
     n AS (SELECT track, end_bar, ending_confidence, abs(lead(mean_energy) OVER w - mean_energy) AS ch, lead(fr) OVER w AS nx, lead(phrase_id) OVER w IS NULL AS fin FROM f WINDOW w AS (PARTITION BY track ORDER BY phrase_id)),
@@ -284,10 +282,11 @@ def sections(spark, sf_dir):
     t AS (SELECT *, {_r("least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN edge_silent THEN 0 WHEN role = 'breakdown' THEN sc * 0.55::DOUBLE ELSE sc END))", 6)} AS x FROM s),
     k AS (SELECT *, x >= {st.FILL}::DOUBLE AND row_number() OVER (PARTITION BY track ORDER BY x >= {st.FILL}::DOUBLE DESC, x DESC, bar) <= greatest(1, ceil(bars / 6.0::DOUBLE)) AS kept FROM t)
     SELECT track, bar, {_r(f"CASE WHEN kept THEN x ELSE least(x, {st.FILL - 0.001}::DOUBLE) END", 6)} AS fill_score, kept AS fill_candidate FROM k
-    """,
-    ("rol", "phr"),
-    recursive=True,
-)
+    """
+cte("fillc", _FILL_CANDIDATES, *("rol", "phr"))
+
+
+@plan("fill_candidates", _FILL_CANDIDATES, ("rol", "phr"), recursive=True)
 def fill_candidates(spark, sf_dir):
     roles = roles_of(spark, sf_dir)
     return st.fill_candidates(roles, st.dominant_roles(roles, phrases_of(spark, sf_dir), KEYS), KEYS)
@@ -564,3 +563,36 @@ def skeleton_refill(spark, sf_dir):
 
     points, selected, lattices, exceptions = skeleton_parts(spark, sf_dir)
     return st.resolved_skeleton(selected, points, lattices, exceptions, chart_hints(spark, sf_dir), ["track", "phrase_id"])
+
+
+_T = "round_even(coalesce({}, 0) * 1000, 0)::BIGINT"
+
+
+def _row_sql(names):
+    return " || ',' || ".join(_T.format(n) for n in names)
+
+
+def _text_sql(name):
+    return f"coalesce('\"' || {name} || '\"', 'null')"
+
+
+@plan(
+    "compact_document",
+    f"""
+    WITH t AS (SELECT track, bar, string_agg('[' || tick || ',' || n || ']', ',' ORDER BY tick) AS beats FROM (SELECT track, bar, tick, row_number() OVER (PARTITION BY track, bar ORDER BY tick) AS n FROM pk WHERE beat) GROUP BY ALL),
+    b AS (SELECT r.track, r.bar, '[' || r.bar || ',[' || coalesce(beats, '') || '],[' || {_row_sql(exports.STRUCTURE)} || ',' || r.phrase_id || ',' || {_text_sql("r.role")} || ',' || {_text_sql("section_id")} || '],[' || {_row_sql(exports.SOURCES)} || ',' || {_text_sql("dominant_source")} || ']]' AS x
+      FROM rol r LEFT JOIN sect s ON s.track = r.track AND s.phrase_id = r.phrase_id LEFT JOIN fillc f ON f.track = r.track AND f.bar = r.bar LEFT JOIN t ON t.track = r.track AND t.bar = r.bar),
+    p AS (SELECT p.track, p.phrase_id, '[' || p.phrase_id || ',' || start_bar || ',' || end_bar || ',' || {_text_sql("section_id")} || ',' || {_text_sql("section")} || ',' || {_text_sql("primary_role")} || ',' || {_row_sql(exports.PHRASE)} || ']' AS x FROM phr p JOIN sect s ON s.track = p.track AND s.phrase_id = p.phrase_id)
+    SELECT b.track, '{{"bars":[' || string_agg(x, ',' ORDER BY bar) || '],"phrases":[' || coalesce((SELECT string_agg(x, ',' ORDER BY phrase_id) FROM p WHERE p.track = b.track), '') || ']}}' AS document FROM b GROUP BY b.track
+    """,
+    ("rol", "sect", "fillc", "phr", "pk"),
+    recursive=True,
+)
+def compact_document(spark, sf_dir):
+    roles = roles_of(spark, sf_dir)
+    found = phrases_of(spark, sf_dir)
+    named = st.sections(found, assigned(spark, sf_dir), KEYS)
+    fills = st.fill_candidates(roles, st.dominant_roles(roles, found, KEYS), KEYS).select("track", "bar", "fill_score")
+    bars = roles.join(named.select("track", "phrase_id", "section_id", "section_confidence"), ["track", "phrase_id"], "left").join(fills, ["track", "bar"], "left")
+    beats = peaks(spark, sf_dir).filter("beat").select("track", "bar", "tick")
+    return exports.compact_document(bars, beats, found.join(named.select("track", "phrase_id", "section_id", "section"), ["track", "phrase_id"]), KEYS)

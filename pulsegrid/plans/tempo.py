@@ -187,9 +187,7 @@ def _score_sql(kind, many):
     return _r(f"least(1.0::DOUBLE, {parts})", 6)
 
 
-@plan(
-    "candidate_arbitration",
-    f"""
+_DECISION = f"""
     WITH s AS (SELECT *, CASE WHEN source LIKE 'beatnet%' AND onset_count >= 8 THEN {_score_sql("tracker", True)} WHEN source LIKE 'beatnet%' THEN {_score_sql("tracker", False)} WHEN onset_count >= 8 THEN {_score_sql("base", True)} ELSE {_score_sql("base", False)} END AS score
       FROM (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5::DOUBLE + support_margin)) AS margin, least(1.0::DOUBLE, onset_count / 32.0::DOUBLE) AS volume FROM tc)),
     r AS (SELECT s.*, b.onset_support AS bs, b.onset_count AS bc, CASE WHEN s.source = 'librosa' THEN NULL WHEN s.source LIKE '%+onset-grid' AND NOT s.accepted THEN 'local-rejection:' || s.reason WHEN s.source NOT LIKE 'beatnet%' THEN NULL
@@ -202,16 +200,23 @@ def _score_sql(kind, many):
     g AS (SELECT track, bool_or(source = 'librosa+onset-grid' AND coalesce(rejection LIKE '%ambiguous_candidates%', false)) AS lo, count(rejection) AS rc, coalesce(string_agg(source || '=' || rejection, ';' ORDER BY source) FILTER (rejection IS NOT NULL), '') AS rj, max(CASE WHEN source = 'librosa' THEN score END) AS fs FROM r GROUP BY track)
     SELECT q.track, CASE WHEN lo OR cl THEN 'librosa' ELSE source END AS selected_source, CASE WHEN lo OR cl THEN fs ELSE score END AS selected_score, lo OR cl AS ambiguous, NOT (lo OR cl) AND source <> 'librosa' AS accepted, rc AS rejected_count, rj AS rejections
     FROM q JOIN g USING (track) WHERE fs IS NOT NULL
-    """,
-    ("tc",),
-)
+    """
+cte("decision", _DECISION, "tc")
+
+
+@plan("candidate_arbitration", _DECISION, ("tc",))
 def candidate_arbitration(spark, sf_dir):
+    return tempo.candidate_arbitration(tempo_candidates(spark, sf_dir), ["track"], "librosa")
+
+
+def tempo_candidates(spark, sf_dir):
+    """One candidate per track and event kind, with evidence from its events."""
     source = F.when(F.col("kind") == "view", "librosa").when(F.col("kind") == "click", "librosa+onset-grid").otherwise("beatnet")
     base = of_kind(timeline(spark, sf_dir), "view", "click", "purchase").groupBy("track", source.alias("source")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("si")
     )
     n, si = F.col("n"), F.col("si")
-    rows = base.select(
+    return base.select(
         "track",
         "source",
         (100.0 + si % 5).alias("bpm"),
@@ -231,7 +236,63 @@ def candidate_arbitration(spark, sf_dir):
         (si % 4 != 0).alias("accepted"),
         F.when(si % 8 == 0, "ambiguous_candidates").otherwise("insufficient_onsets").alias("reason"),
     )
-    return tempo.candidate_arbitration(rows, ["track"], "librosa")
+
+
+@plan(
+    "meter_adoption",
+    f"""
+    WITH b AS (SELECT track, bpm AS tb, off AS toff, sig AS tsig FROM tc WHERE source = 'librosa'),
+    a AS (SELECT c.*, tb, toff, tsig, off + 0.1::DOUBLE AS fd, abs(off + 0.1::DOUBLE - toff) % (60 / tb) AS d FROM tc c JOIN b USING (track) WHERE source = 'beatnet'),
+    r AS (SELECT *, CASE WHEN downbeat_count = 0 THEN 'no-downbeats' WHEN abs(bpm - tb) / greatest(bpm, tb) > 0.03::DOUBLE THEN 'tempo-disagrees' WHEN interval_count < CASE sig WHEN '3/4' THEN 2 ELSE 3 END THEN 'insufficient-tracker-intervals' WHEN interval_stability < 0.8 THEN 'unstable-beat-intervals'
+      WHEN number_completeness < 0.7 THEN 'incomplete-beat-numbers' WHEN meter_stability < 0.5 THEN 'unstable-meter' WHEN downbeat_count >= 2 AND meter_length < 0.65 THEN 'implausible-meter-length' WHEN time_coverage < 0.5 THEN 'insufficient-coverage' WHEN downbeat_support < 0.45 THEN 'unsupported-downbeats'
+      WHEN sig = tsig AND least(d, 60 / tb - d) <= 0.08::DOUBLE THEN 'same-meter' ELSE 'adopted' END AS why FROM a)
+    SELECT d.track, tb AS tempo_bpm, CASE WHEN ok THEN sig ELSE tsig END AS time_signature, CASE WHEN ok THEN fd ELSE toff END AS offset_s, CASE WHEN ok THEN 'beatnet' ELSE 'librosa' END AS meter_source, ok AS partial,
+      CASE WHEN ok THEN 'adopted' WHEN ambiguous THEN 'ambiguous-tempo' WHEN selected_source <> 'librosa' THEN 'tempo-not-from-fallback' WHEN why IS NULL THEN 'no-tracker' ELSE why END AS reason
+    FROM (SELECT d.*, b.tb, toff0 AS toff, tsig0 AS tsig, r.sig, r.fd, r.why, NOT ambiguous AND selected_source = 'librosa' AND coalesce(why = 'adopted', false) AS ok FROM decision d JOIN (SELECT track, tb, toff AS toff0, tsig AS tsig0 FROM b) b USING (track) LEFT JOIN (SELECT track, sig, fd, why FROM r) r USING (track)) d
+    """,
+    ("tc", "decision"),
+)
+def meter_adoption(spark, sf_dir):
+    rows = tempo_candidates(spark, sf_dir).withColumn("first_downbeat", F.col("offset") + 0.1)
+    return tempo.meter_adoption(rows, tempo.candidate_arbitration(rows.drop("first_downbeat"), ["track"], "librosa"), ["track"], "librosa")
+
+
+@plan(
+    "silent_onsets",
+    """
+    WITH o AS (SELECT track, t FROM ev WHERE kind = 'click'), r AS (SELECT track, t AS s, t + 7200000000 AS e FROM ev WHERE kind = 'error')
+    SELECT o.track, count(*) AS onset_count, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.track = o.track AND o.t >= r.s AND o.t < r.e)) AS false_positive_count FROM o GROUP BY o.track
+    """,
+    ("ev",),
+)
+def silent_onsets(spark, sf_dir):
+    events = timeline(spark, sf_dir)
+    ranges = of_kind(events, "error").select("track", F.col("t").alias("start_t"), (F.col("t") + 7200 * SECOND).alias("end_t"))
+    return tempo.silent_onsets(of_kind(events, "click").select("track", "t"), ranges, ["track"], 3600 * SECOND)
+
+
+@plan(
+    "regular_grid",
+    f"""
+    WITH b AS (SELECT track, bpm, ((center % (60 / bpm)) + 60 / bpm) % (60 / bpm) AS o, 60 / bpm AS iv, CASE track % 3 WHEN 0 THEN 3 ELSE 4 END AS bpb FROM walked WHERE i = 264),
+    g AS (SELECT track, o, iv, bpb, unnest(range(0, floor((8 - o) / iv + 1e-9)::BIGINT + 1)) AS step FROM b)
+    SELECT track, step, {_r("o + step * iv", 6)} AS time_s, (step % bpb + 1)::INTEGER AS number FROM g
+    """,
+    ("walked",),
+    recursive=True,
+)
+def regular_grid(spark, sf_dir):
+    """Beats of the first eight seconds at the tempo and phase that the scan found."""
+    onsets = of_kind(timeline(spark, sf_dir), "view", "click")
+    best = tempo.tempo_scan(onsets, ["track"], seconds(), weight(), 30.0, FALLBACK_BPM)
+    tracks = best.select(
+        "track",
+        F.col("best_bpm").alias("bpm"),
+        F.pmod(F.col("phase_center"), F.lit(60.0) / F.col("best_bpm")).alias("offset_s"),
+        F.lit(8.0).alias("duration_s"),
+        F.when(F.col("track") % 3 == 0, 3).otherwise(4).alias("beats_per_bar"),
+    )
+    return tempo.regular_grid(tracks, ["track"]).withColumn("time_s", round_half_even(F.col("time_s"), 6))
 
 
 @plan(
