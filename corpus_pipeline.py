@@ -16,12 +16,23 @@ from pulsegrid.llm.common import read_table
 from pulsegrid.llm.vocabularies import vocabulary
 from pulsegrid.session import ensure_checkpoint_dir
 
+#: Rows of a batch that travels to Python: texts may be long, and two or three columns of a
+#: batch are held at once by each of an executor's tasks and their workers.
+BATCH = 1000
 #: A document whose language's filter knows a smaller share of its n-grams is rejected.
 KNOWN = 0.5
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have ``BATCH`` rows at most from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the corpus; the others go."""
+    small_batches(spark)
     return language_masks.known_language(spark, docs, KNOWN)
 
 
@@ -32,16 +43,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return simhash_planes.one_of_each(spark, docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    small_batches(spark)
     return latent_decontamination.without_leaks(spark, docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, and whether these decode to the text."""
+    small_batches(spark)
     return piece_trie.encode(docs, vocabulary("piece_bpe_32k.model"), tuple(docs.columns))
 
 
