@@ -24,7 +24,8 @@ from pulsegrid.llm.common import parts, texts, utf8
 # Phrases and labels that are always reported.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Openings of public licences (label, text, mandatory key phrases).
+# Openings and telling sentences of public licences, and identifiers (label, text,
+# mandatory key phrases).
 TEMPLATES = (
     (
         "mit",
@@ -52,6 +53,71 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("licensed", "cc", "nc")),
     ("cc-by", "licensed under a creative commons attribution license", ("creative commons attribution",)),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike license", ("attribution sharealike",)),
+    (
+        "cc0",
+        "the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+        ("associated cc0", "waived all copyright"),
+    ),
+    (
+        "mit",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        ("warranties of merchantability", "noninfringement"),
+    ),
+    (
+        "apache",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+        ("except in compliance", "apache org licenses"),
+    ),
+    (
+        "gpl-2",
+        "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        ("gnu general public license", "version 2 of the license"),
+    ),
+    (
+        "gpl-3",
+        "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("gnu general public license", "version 3 of the license"),
+    ),
+    (
+        "lgpl",
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        ("gnu lesser general public license",),
+    ),
+    (
+        "agpl",
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        ("gnu affero general public license",),
+    ),
+    (
+        "epl",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license which accompanies this distribution",
+        ("accompanying materials", "eclipse public license"),
+    ),
+    (
+        "bsd-3",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("endorse or promote", "prior written permission"),
+    ),
+    (
+        "boost",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        ("person or organization", "accompanying documentation covered"),
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        ("authors be held liable", "arising from the use"),
+    ),
+    (
+        "artistic",
+        "you may copy distribute and modify this package under the terms of the artistic license",
+        ("artistic license",),
+    ),
+    *((label, f"spdx license identifier {tag}", (f"spdx license identifier {tag}",)) for tag, label in (
+        ("mit", "mit"), ("apache 2 0", "apache"), ("gpl 2 0", "gpl-2"), ("gpl 3 0", "gpl-3"), ("lgpl", "lgpl"), ("agpl 3 0", "agpl"),
+        ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd-3"), ("mpl 2 0", "mpl"), ("epl 2 0", "epl"), ("isc", "isc"), ("zlib", "zlib"), ("bsl 1 0", "boost"), ("cc0 1 0", "cc0"),
+    )),
 )
 
 # Every byte that is no digit, lower-case letter or part of a non-ASCII character becomes a space.

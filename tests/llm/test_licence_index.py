@@ -1,8 +1,9 @@
+import random
 import re
 
 from helpers import docs, given, long_text
 
-from pulsegrid.llm.licence_index import BASE, licence_scan, word_parts
+from pulsegrid.llm.licence_index import BASE, TEMPLATES, licence_scan, word_parts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MIT = (
@@ -74,3 +75,23 @@ def test_word_parts_cut_between_words():
     text = "Ab,c " * 500_000
     words = [w for part in word_parts(text) for w in part]
     assert words == [b"ab", b"c"] * 500_000
+
+
+def test_every_template_is_found_whole_and_with_changed_words(spark):
+    rng = random.Random(2)
+    texts, want = [], []
+    for label, text, keys in TEMPLATES:
+        words = text.split()
+        texts.append("before it " + text.title() + ", after it")
+        want.append(label)
+        # Every sixth word outside the key phrases is another one.
+        free = [i for i, w in enumerate(words) if not any(w in k.split() for k in keys)]
+        for i in rng.sample(free, len(free) // 6):
+            words[i] = "changed"
+        texts.append("before it " + " ".join(words) + " after it")
+        want.append(label)
+    filler = [f"plain filler text number {n} of any kind" for n in range(400)]
+    got = {g[0]: set(g[6].split(",")) for g in scanned(docs(spark, texts + filler))}
+    missed = [(n, texts[n], got[n]) for n, label in enumerate(want) if label not in got[n]]
+    assert not missed
+    assert all(got[n] == {""} for n in range(len(texts), len(texts) + 400))
