@@ -8,11 +8,14 @@ address; equal values get equal pseudonyms in all documents, and the key gives t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "pulsegrid"
+#: The session setting with the secret key of the query.
+KEY_CONF = "spark.pulsegrid.pseudonym.key"
 EPOCH = "1900-01-01"
 #: Days from 1900 to 2099, as a product: the ranges of the two numbers of a date.
 DAYS = (17, 4297)
@@ -38,6 +41,15 @@ def _long(value: Column) -> Column:
     return value.cast("long")
 
 
+def keyed(key: str, *parts: Column | str) -> Column:
+    """A number below 2^60 from the parts and a secret key: the head of a nested SHA-256, so
+    that without the key no value can be worked out or confirmed."""
+    fields = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    inner = F.sha2(F.concat_ws("\x1f", F.lit(key), *fields).cast("binary"), 256)
+    outer = F.sha2(F.concat(F.lit(key), inner).cast("binary"), 256)
+    return F.conv(F.substring(outer, 1, 15), 16, 10).cast("long")
+
+
 def _permuted(a: Column, b: Column, m: Column, n: Column, kind: str, key: str, back: bool) -> Column:
     """struct(a, b): the pair after all rounds, a below m and b below n; ``back`` undoes it."""
     steps = list(range(ROUNDS, 0, -1)) if back else list(range(1, ROUNDS + 1))
@@ -45,8 +57,8 @@ def _permuted(a: Column, b: Column, m: Column, n: Column, kind: str, key: str, b
 
     def turned(acc: Column, step: Column) -> Column:
         own, other = acc["a"], acc["b"]
-        on_a = F.pmod(own + sign * F.pmod(F.xxhash64(F.lit(key), F.lit(kind), step, other), m), m)
-        on_b = F.pmod(other + sign * F.pmod(F.xxhash64(F.lit(key), F.lit(kind), step, own), n), n)
+        on_a = F.pmod(own + sign * F.pmod(keyed(key, kind, step, other), m), m)
+        on_b = F.pmod(other + sign * F.pmod(keyed(key, kind, step, own), n), n)
         odd = step % 2 == 1
         return F.struct(F.when(odd, on_a).otherwise(own).alias("a"), F.when(odd, other).otherwise(on_b).alias("b"))
 
@@ -242,7 +254,7 @@ def _email(value: Column, key: str, back: bool) -> Column:
 
     def moved(half: Column, other: Column, step: Column) -> Column:
         def char(c: Column, i: Column) -> Column:
-            by = sign * F.pmod(F.xxhash64(F.lit(key), F.lit("email"), step, other, domain, i), F.lit(260))
+            by = sign * F.pmod(keyed(key, "email", step, other, domain, i), F.lit(260))
             def within(low: str, n: int) -> Column:
                 return F.char(F.pmod(F.ascii(c) - ord(low) + by, F.lit(n)) + ord(low))
 
@@ -299,7 +311,13 @@ def _named(value: Column, key: str, back: bool) -> Column:
     return F.struct(kind.alias("kind"), new.alias("value"))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key of ``KEY_CONF``; where it is not set, one that is drawn for this call and kept
+    nowhere, so that its pseudonyms are linked among each other but never given back."""
+    return spark.conf.get(KEY_CONF, None) or secrets.token_hex(32)
+
+
+def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, n_values, kinds (distinct, sorted, comma-joined).
 
     E-mail addresses, dates (1900 to 2099; day first where both can be meant), account numbers

@@ -47,7 +47,8 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feistel_pseudonyms.pseudonymised(read_table(spark, sf_dir, "documents"))
+    key = feistel_pseudonyms.session_key(spark)
+    return feistel_pseudonyms.pseudonymised(read_table(spark, sf_dir, "documents"), key)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

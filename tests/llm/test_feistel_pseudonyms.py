@@ -45,7 +45,7 @@ def test_kinds_formats_and_links(spark):
         "not 000-12-3456 4111111111111112 999.1.1.1 1999-02-30 01.2.3 12345",
         "+44 20 7946 0958",
     ]
-    got = [(r["text"], r["kinds"], r["n_values"]) for r in pseudonymised(docs(spark, texts)).orderBy("doc_id").collect()]
+    got = [(r["text"], r["kinds"], r["n_values"]) for r in pseudonymised(docs(spark, texts), "a key").orderBy("doc_id").collect()]
     assert got[4] == (texts[4], "", 0)
     assert [g[1:] for g in got] == [("card,phone", 3), ("address,card", 2), ("date,email", 4), ("ssn", 1), ("", 0), ("phone", 1)]
     one, two = re.search(r"\+1 (.*?) or (\S+),", got[0][0]).groups()
@@ -63,16 +63,16 @@ def test_kinds_formats_and_links(spark):
 
 def test_a_permutation_has_no_collisions(spark):
     days = [datetime.date(1990, 1, 1) + datetime.timedelta(n) for n in range(3000)]
-    made = pseudonymised(docs(spark, [d.isoformat() for d in days])).collect()
+    made = pseudonymised(docs(spark, [d.isoformat() for d in days]), "a key").collect()
     assert len({r["text"] for r in made}) == 3000
 
 
 def test_edge_rows(spark):
     long = long_text() + " a@b.example " + "x" * 100_000 + "@"
     texts = [None, "", "@", "1" * 5000, long, "a@b.example", "a@b.example"]
-    got = sorted(((r["doc_id"], r["n_values"]) for r in pseudonymised(docs(spark, texts, [1, 2, 3, 4, 5, None, None])).collect()), key=str)
+    got = sorted(((r["doc_id"], r["n_values"]) for r in pseudonymised(docs(spark, texts, [1, 2, 3, 4, 5, None, None]), "a key").collect()), key=str)
     assert got == sorted([(1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (None, 1), (None, 1)], key=str)
-    assert pseudonymised(docs(spark, [])).count() == 0
+    assert pseudonymised(docs(spark, []), "a key").count() == 0
 
 
 def test_month_first_one_digit_dates_and_account_numbers(spark):
@@ -96,3 +96,14 @@ def test_month_first_one_digit_dates_and_account_numbers(spark):
         assert month <= 12 < day
     back = pseudonymised(made, "a key", back=True).orderBy("doc_id").collect()
     assert [r["text"][3:-4] for r in back] == texts + wrong
+
+
+def test_the_key_comes_from_the_session_or_is_drawn(spark):
+    from pulsegrid.llm.feistel_pseudonyms import KEY_CONF, session_key
+
+    assert len({session_key(spark) for _ in range(3)}) == 3
+    spark.conf.set(KEY_CONF, "own")
+    try:
+        assert session_key(spark) == "own"
+    finally:
+        spark.conf.unset(KEY_CONF)
