@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.session import ensure_checkpoint_dir
@@ -38,6 +38,12 @@ def sent_if_small(frame: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= rows else frame
 
 
+def drawn_below(rate: Column, *columns: str) -> Column:
+    """Whether a hash of the columns, as a number from 0 to 1, lies below ``rate``: a sample
+    that is the same in every run and has no least size."""
+    return F.xxhash64(*columns).cast("double") / float(1 << 64) + 0.5 < rate
+
+
 def utf8(text: str | None) -> bytes:
     """The text's UTF-8 bytes; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import parts, texts, utf8, written
+from pulsegrid.llm.common import drawn_below, parts, texts, utf8, written
 
 GRAM = 4
 BITS = 20
@@ -47,7 +47,8 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
         words = part.split()
         if not words:
             continue
-        data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
+        # A single letter and the spaces around it are one byte short of an n-gram.
+        data = np.frombuffer((b" " + b" ".join(words) + b" ").ljust(GRAM), np.uint8).astype(np.uint32)
         if len(data) >= GRAM:
             yield data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
 
@@ -137,7 +138,7 @@ def fit_filters(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE)
     rates = spark.createDataFrame(
         [(lang, min(1.0, sample / sizes[lang])) for lang in langs], "lang string, rate double"
     )
-    picked = rows.join(F.broadcast(rates), "lang").where("pmod(xxhash64(doc_id, text), 1000000) < rate * 1000000")
+    picked = rows.join(F.broadcast(rates), "lang").where(drawn_below(F.col("rate"), "doc_id", "text"))
     counted = picked.select("text", "lang").mapInArrow(_document_grams, "lang string, g long, docs long")
     counted = written(spark, counted.groupBy("lang", "g").agg(F.sum("docs").alias("docs")), "grams")
     drawn = {r["lang"]: r["docs"] for r in counted.where("g < 0").collect()}
@@ -167,7 +168,7 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Learns from rows that are not held out and have a language; predicts from the text
     alone. A text that is null or has no letters is ``und`` with score 0, as is every row
-    where nothing can be learned. A row with a null doc_id is not held out. Ties go to the
+    where nothing can be learned; letters that no language knows get the first by name and 0. A row with a null doc_id is not held out. Ties go to the
     language first by name. Repeated rows are predicted alike; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")

@@ -71,3 +71,10 @@ def test_many_languages_fit(spark):
     fitted = fit_filters(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert fitted.table.shape[1] == 2
     assert sum(fitted.predict(t)[0] == g for _, t, g in rows) == 70
+
+
+def test_single_letters_get_a_language(spark):
+    texts = ["the house and the garden"] * 3 + ["das haus und der garten"] * 3 + ["a", "I", "5 a 3", "A.", "5 3", ""]
+    langs = ["en"] * 3 + ["de"] * 3 + [None] * 6
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(spark, docs(spark, texts, langs=langs)).collect()}
+    assert all(got[n] in ("de", "en") for n in range(6, 10)) and got[10] == got[11] == "und"
