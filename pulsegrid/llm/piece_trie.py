@@ -25,7 +25,7 @@ from pulsegrid.llm.common import texts
 
 MARK = "▁"
 #: Words that a task keeps encoded, about 200 bytes each, in two generations.
-KEEP = 800_000
+KEEP = 200_000
 LONG = 64
 #: Characters of the texts whose words are learned together, about.
 TOGETHER = 1 << 20
