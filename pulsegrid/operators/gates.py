@@ -347,3 +347,39 @@ def alignment_report(charts: DataFrame, group: str) -> DataFrame:
         "deterministic_chart_count",
         ratio(F.col("deterministic_chart_count"), F.col("chart_count"), digits=6).alias("deterministic_rate"),
     )
+
+
+#: Ratios of the course report: name, counted part, whole, and the value of an empty whole.
+REPORT_RATIOS = (
+    ("unsupported_rate", "unsupported_count", "note_evaluated", 0.0),
+    ("strong_response", "strong_responded", "strong_evaluated", 1.0),
+    ("fill_alignment", "fill_aligned", "fill_evaluated", 1.0),
+    ("violation_rate", "violation_count", "activity_count", 0.0),
+    ("mean_tick_error", "tick_error_sum", "tick_evaluated", 0.0),
+    ("deterministic_rate", "deterministic_count", "chart_count", 1.0),
+)
+
+
+def course_report(charts: DataFrame, group: str) -> DataFrame:
+    """The alignment of charts per group and over all ("all"): notes without support, response
+    to strong onsets, alignment of fills, notes in silence, distance to the tick, and charts
+    that were rebuilt alike. Counts are added up once for groups and total; a ratio is that of
+    the sums.
+
+    ``charts`` carry the counts that ``REPORT_RATIOS`` names (null is 0; a chart's own metrics
+    may be missing), tick_error_sum and the flag deterministic.
+    """
+    counts = [n for n in dict.fromkeys(x for _, part, whole, _ in REPORT_RATIOS for x in (part, whole)) if n not in ("deterministic_count", "chart_count")]
+    rolled = charts.groupingSets([[group], []], group).agg(
+        F.grouping(group).alias("_all"),
+        F.count(F.lit(1)).alias("chart_count"),
+        flag_sum(F.coalesce(F.col("deterministic"), F.lit(False))).alias("deterministic_count"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts],
+    )
+    return rolled.select(
+        F.when(F.col("_all") == 1, "all").otherwise(F.col(group)).alias(group),
+        "chart_count",
+        "deterministic_count",
+        *[n for n in counts if n != "tick_error_sum"],
+        *[ratio(F.col(part), F.col(whole), empty=empty, digits=6).alias(name) for name, part, whole, empty in REPORT_RATIOS],
+    )

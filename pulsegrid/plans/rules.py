@@ -12,7 +12,7 @@ from pulsegrid.plans.bindings import HOUR, SECOND, TICKS, chart_bars, evidence,
 from pulsegrid.plans.charts import COURSES, corpus_bars, notes_of
 from pulsegrid.plans.evidence import _EDGE, _r, bar_context, bursts_of, event_bars, ranked, scored
 from pulsegrid.plans.quality import load_rows, timed_notes
-from pulsegrid.plans.registry import cte, plan
+from pulsegrid.plans.registry import SQL, cte, plan
 
 
 @plan(
@@ -713,3 +713,56 @@ def alignment_report(spark, sf_dir):
         "*", (F.col("track") % 7 != 0).alias("deterministic"), course.alias("course")
     )
     return gates.alignment_report(rows, "course")
+
+
+_COURSE = "['Easy', 'Normal', 'Hard', 'Oni'][CAST(track % 4 + 1 AS INTEGER)]"
+
+
+def _part(name):
+    """The SQL of another plan as a table."""
+    return f"({SQL[name]})"
+
+
+@plan(
+    "course_report",
+    f"""
+    WITH c AS (SELECT DISTINCT track FROM bars), u AS (SELECT * FROM {_part("unsupported_notes")}), o AS (SELECT * FROM {_part("onset_response")}), f AS (SELECT * FROM {_part("fill_alignment")}), t AS (SELECT * FROM {_part("tick_error")}),
+    v AS (SELECT c.track, sum(length(regexp_replace(c.notes, '[^123457]', '', 'g')))::BIGINT AS ac, sum(CASE WHEN x.silent OR x.edge THEN length(regexp_replace(c.notes, '[^123457]', '', 'g')) ELSE 0 END)::BIGINT AS vc FROM chart c JOIN ctx x ON x.track = c.track AND x.bar = c.bar GROUP BY c.track),
+    h AS (SELECT DISTINCT track FROM nt WHERE note IN ('1', '2', '3', '4', '5', '7', '9')),
+    j AS (SELECT {_COURSE.replace("track", "c.track")} AS course, h.track IS NOT NULL AS det, u.evaluated_count AS ue, u.unsupported_count AS un, o.evaluated_count AS oe, o.responded_count AS orr, f.evaluated_count AS fe, f.aligned_count AS fa, t.evaluated_count AS te, t.mean_tick_error * t.evaluated_count AS ts, ac, vc
+      FROM c LEFT JOIN u USING (track) LEFT JOIN o USING (track) LEFT JOIN f USING (track) LEFT JOIN t USING (track) LEFT JOIN v USING (track) LEFT JOIN h USING (track)),
+    r AS (SELECT CASE WHEN GROUPING(course) = 1 THEN 'all' ELSE course END AS course, count(*) AS chart_count, count(*) FILTER (det) AS deterministic_count, coalesce(sum(un), 0)::BIGINT AS unsupported_count, coalesce(sum(ue), 0)::BIGINT AS note_evaluated, coalesce(sum(orr), 0)::BIGINT AS strong_responded, coalesce(sum(oe), 0)::BIGINT AS strong_evaluated,
+      coalesce(sum(fa), 0)::BIGINT AS fill_aligned, coalesce(sum(fe), 0)::BIGINT AS fill_evaluated, coalesce(sum(vc), 0)::BIGINT AS violation_count, coalesce(sum(ac), 0)::BIGINT AS activity_count, coalesce(sum(te), 0)::BIGINT AS tick_evaluated, coalesce(sum(ts), 0) AS tsum FROM j GROUP BY GROUPING SETS ((course), ()))
+    SELECT * EXCLUDE (tsum), {", ".join(f"coalesce({_r(f'{part} / nullif({whole}, 0)::DOUBLE', 6)}, {empty}) AS {name}" for name, part, whole, empty in ((n, p.replace("tick_error_sum", "tsum"), w, e) for n, p, w, e in gates.REPORT_RATIOS))} FROM r
+    """,
+    ("bars", "chart", "ctx", "nt"),
+    recursive=True,
+)
+def course_report(spark, sf_dir):
+    """Alignment of every chart against its own evidence, and whether a second build of the
+    charts gives the same times."""
+    from pulsegrid.operators.quality import silence_violations
+    from pulsegrid.plans import quality as parts
+    from pulsegrid.plans.bindings import build_chart_bars
+    from pulsegrid.plans.charts import timeline_hash
+
+    bars = chart_bars(spark, sf_dir)
+    context = bar_context(spark, sf_dir).select("track", "bar", "silent", "edge")
+    quiet = silence_violations(bars.join(context, ["track", "bar"]), ["track"], F.col("silent") | F.col("edge"), N.activity_count(F.col("notes")))
+    again = charts.explode_notes(build_chart_bars(spark, sf_dir)).filter(N.in_class(F.col("note"), N.NOTE_STARTS))
+    again = gates.timeline_hash(again, ["track"], "bar", "time_s").select("track", F.col("times_hash").alias("_again"))
+    same = timeline_hash(spark, sf_dir).join(again, "track").select("track", (F.col("times_hash") == F.col("_again")).alias("deterministic"))
+    tables = (
+        (parts.unsupported_notes(spark, sf_dir), {"note_evaluated": "evaluated_count", "unsupported_count": "unsupported_count"}),
+        (parts.onset_response(spark, sf_dir), {"strong_evaluated": "evaluated_count", "strong_responded": "responded_count"}),
+        (parts.fill_alignment(spark, sf_dir), {"fill_evaluated": "evaluated_count", "fill_aligned": "aligned_count"}),
+        (quiet, {"activity_count": "activity_count", "violation_count": "violation_count"}),
+    )
+    rows = bars.select("track").distinct().join(same, "track", "left")
+    for frame, names in tables:
+        rows = rows.join(frame.select("track", *[F.col(own).alias(n) for n, own in names.items()]), "track", "left")
+    ticks = parts.tick_error(spark, sf_dir).select(
+        "track", F.col("evaluated_count").alias("tick_evaluated"), (F.col("mean_tick_error") * F.col("evaluated_count")).alias("tick_error_sum")
+    )
+    course = F.element_at(F.array(*[F.lit(c) for c in COURSES]), (F.pmod(F.col("track"), F.lit(4)) + 1).cast("int"))
+    return gates.course_report(rows.join(ticks, "track", "left").withColumn("course", course), "course")

@@ -102,3 +102,16 @@ def test_evidence_summary(spark):
     wrong = spark.createDataFrame([(3, "late"), (1, "late")], "track long, code string")
     row = gates.evidence_summary(metrics, charts, wrong, ["a", "b"], ["score", "total"], ["track"], 2).collect()
     assert [tuple(r) for r in row] == [(3, 2, 2, "score", "2=b 3=a,b", "1=late 3=late")]
+
+
+def test_course_report(spark):
+    names = ["note_evaluated", "unsupported_count", "strong_evaluated", "strong_responded", "fill_evaluated", "fill_aligned", "activity_count", "violation_count", "tick_evaluated", "tick_error_sum"]
+    rows = [("Easy", True, 10, 5, 4, 2, 2, 1, 20, 5, 4, 2.0), ("Easy", False, 10, 0, None, None, None, None, 0, 0, None, None), ("Oni", True, None, None, 1, 1, 0, 0, 5, 0, 1, 0.5)]
+    frame = spark.createDataFrame(rows, "course string, deterministic boolean, " + ", ".join(f"{n} {'double' if n == 'tick_error_sum' else 'long'}" for n in names))
+    got = {r.course: r for r in gates.course_report(frame, "course").collect()}
+    assert set(got) == {"Easy", "Oni", "all"}
+    easy, whole = got["Easy"], got["all"]
+    assert (easy.chart_count, easy.deterministic_count, easy.deterministic_rate) == (2, 1, 0.5)
+    assert (easy.unsupported_rate, easy.strong_response, easy.fill_alignment, easy.violation_rate, easy.mean_tick_error) == (0.25, 0.5, 0.5, 0.25, 0.5)
+    assert (whole.note_evaluated, whole.strong_response, whole.fill_alignment, whole.violation_rate, whole.mean_tick_error) == (20, 0.6, 0.5, 0.2, 0.5)
+    assert (got["Oni"].unsupported_rate, got["Oni"].fill_alignment) == (0.0, 1.0)
