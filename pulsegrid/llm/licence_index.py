@@ -57,27 +57,27 @@ TEMPLATES = (
     (
         "cc0",
         "the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
-        ("associated cc0", "waived all copyright"),
+        ("associated cc0",),
     ),
     (
         "mit",
         "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-        ("warranties of merchantability", "noninfringement"),
+        ("merchantability", "noninfringement"),
     ),
     (
         "apache",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-        ("except in compliance", "apache org licenses"),
+        ("apache org licenses",),
     ),
     (
         "gpl-2",
         "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-        ("gnu general public license", "version 2 of the license"),
+        ("gnu general public license", "version 2"),
     ),
     (
         "gpl-3",
         "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-        ("gnu general public license", "version 3 of the license"),
+        ("gnu general public license", "version 3"),
     ),
     (
         "lgpl",
@@ -97,17 +97,17 @@ TEMPLATES = (
     (
         "bsd-3",
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-        ("endorse or promote", "prior written permission"),
+        ("prior written permission",),
     ),
     (
         "boost",
         "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
-        ("person or organization", "accompanying documentation covered"),
+        ("accompanying documentation covered",),
     ),
     (
         "zlib",
         "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
-        ("authors be held liable", "arising from the use"),
+        ("held liable",),
     ),
     (
         "artistic",
@@ -174,6 +174,8 @@ class PositionalIndex:
         self.templates = [
             (label, text.encode().split(), [tuple(k.encode().split()) for k in keys]) for label, text, keys in TEMPLATES
         ]
+        #: The words of each template's key phrases, all of which a file must have.
+        self.required = [frozenset(w for k in keys for w in k) for _, _, keys in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         needed = {w for words, _ in self.base for w in words} | {w for _, _, keys in self.templates for k in keys for w in k}
         for n, (_, words, _) in enumerate(self.templates):
@@ -246,10 +248,14 @@ class PositionalIndex:
                 starts += places
         labels = set(base)
         asked = sorted((w for w in found if w in self.postings), key=lambda w: (-self.idf[w], w))
-        for n, (label, words, _) in enumerate(self.templates):
-            own = [w for w in asked if w in words][:ASKED]
-            if own and (share := self.template_share(n, found, own)):
-                labels.add(label)
+        rarest: dict[int, list[bytes]] = defaultdict(list)
+        for word in asked:
+            for n in {template for template, _ in self.postings[word]}:
+                if len(rarest[n]) < ASKED:
+                    rarest[n].append(word)
+        for n, own in rarest.items():
+            if self.required[n] <= found.keys() and (share := self.template_share(n, found, own)):
+                labels.add(self.templates[n][0])
                 score = max(score, share)
         return (
             n_words, len(starts), min(starts, default=None), max(starts, default=None),
