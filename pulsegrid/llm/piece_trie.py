@@ -25,14 +25,15 @@ from pulsegrid.llm.common import texts
 
 MARK = "▁"
 #: Words that a task keeps encoded, about 200 bytes each, in two generations.
-KEEP = 200_000
+KEEP = 800_000
 LONG = 64
 #: Characters of the texts whose words are learned together, about.
 TOGETHER = 1 << 20
 
 
 class PieceTrie:
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None):
+        self.keep = keep or KEEP
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         spec = sentencepiece_model_pb2.ModelProto()
@@ -85,7 +86,7 @@ class PieceTrie:
     def _stays_apart(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border of two pieces: both are built side by side,
         the better merge first, until the parts at the border would merge before either."""
-        if len(self.apart) >= 2 * KEEP:
+        if len(self.apart) >= 2 * self.keep:
             self.apart.clear()
         lefts, rights = self.steps[left], self.steps[right]
         i = j = 0
@@ -167,12 +168,12 @@ class PieceTrie:
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
 
     def learn(self, words: Iterable[str]) -> None:
-        """Make every word of ``words`` known. When the table has half of ``KEEP`` words it
+        """Make every word of ``words`` known. When the table has half of ``keep`` words it
         becomes the former generation, from which a word that is asked for again moves on
         without being encoded again; what is not asked for is forgotten."""
         asked = set(words)
         new = asked.difference(self.known)
-        if new and len(self.known) + len(new) > KEEP // 2:
+        if new and len(self.known) + len(new) > self.keep // 2:
             self.former, self.known, new = self.known, {}, asked
         again = new.intersection(self.former)
         self.known.update((w, self.former[w]) for w in again)
@@ -183,12 +184,12 @@ class PieceTrie:
 
 
 @lru_cache(maxsize=2)
-def trie(path: str) -> PieceTrie:
-    return PieceTrie(path)
+def trie(path: str, keep: int = KEEP) -> PieceTrie:
+    return PieceTrie(path, keep)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own = trie(path)
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, held_words: int) -> Iterator[pa.RecordBatch]:
+    own = trie(path, held_words)
 
     def out(part: pa.RecordBatch, held: list[str]) -> pa.RecordBatch:
         lists = [own.marked(t) for t in held]
@@ -213,20 +214,21 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 low, held, size = n + 1, [], 0
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), held_words: int = KEEP) -> DataFrame:
     """The columns ``keep`` with piece_ids (array of int), n_pieces, round_trip.
 
     round_trip says that decoding the ids gives the text back (a word mark in the text
     decodes as a space, as in the library). Null and empty texts have no pieces. Rows with a
     null or repeated doc_id are encoded like others; an empty table gives no rows. A kept
-    column that is named like one of the three new ones is replaced by it.
+    column that is named like one of the three new ones is replaced by it. Each task keeps
+    ``held_words`` words encoded at most; fewer take less memory and more time.
     """
     # Columns travel by number, so that no name can clash.
     kept = [docs[c] for c in keep]
     rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(kept)], F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields))
     n = len(kept)
-    made = rows.mapInArrow(partial(_encoded, path=path), f"{kinds}, c{n + 1} array<int>, c{n + 2} long, c{n + 3} boolean")
+    made = rows.mapInArrow(partial(_encoded, path=path, held_words=held_words), f"{kinds}, c{n + 1} array<int>, c{n + 2} long, c{n + 3} boolean")
     own = ("piece_ids", "n_pieces", "round_trip")
     named = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c not in own]
     return made.select(*named, *[F.col(f"c{n + 1 + i}").alias(c) for i, c in enumerate(own)])
