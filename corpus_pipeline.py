@@ -19,6 +19,8 @@ from pulsegrid.session import ensure_checkpoint_dir
 #: Rows of a batch that travels to Python: texts may be long, and two or three columns of a
 #: batch are held at once by each of an executor's tasks and their workers.
 BATCH = 1000
+#: Words that a task of the last stage keeps encoded, in executors that the stages share.
+WORDS = 200_000
 #: A document whose language's filter knows a smaller share of its n-grams is rejected.
 KNOWN = 0.5
 
@@ -56,7 +58,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, and whether these decode to the text."""
     small_batches(spark)
-    return piece_trie.encode(docs, vocabulary("piece_bpe_32k.model"), tuple(docs.columns))
+    return piece_trie.encode(docs, vocabulary("piece_bpe_32k.model"), tuple(docs.columns), WORDS)
 
 
 STAGES = [
