@@ -309,9 +309,17 @@ def stem_quality(bars: DataFrame, ticks: DataFrame, notes: DataFrame, keys: Sequ
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation as an aggregate; 0 when a side is flat or has fewer than 2 rows."""
+    """Pearson correlation as an aggregate; 0 when a side is flat or has fewer than 2 rows.
+
+    Aggregates are worked out before any condition on them, and ``corr`` divides by zero on
+    flat rows; so the quotient is taken here.
+    """
+    both = x.isNotNull() & y.isNotNull()
     flat = (F.count(F.lit(1)) < 2) | (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return F.when(flat, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(x, y))))
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    flat = flat | ((flag_sum(both) >= 2) & (spread == 0))
+    measure = F.try_divide(F.covar_pop(x, y), spread)
+    return F.when(flat, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), measure)))
 
 
 def structure_quality(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
