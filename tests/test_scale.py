@@ -29,3 +29,21 @@ def test_a_small_file_of_many_rows_is_not_broadcast(spark, tmp_path):
     plan(name)(lambda spark, sf_dir: spark.read.parquet(path).join(spark.read.parquet(path).withColumnRenamed("text", "other"), "k"))
     joined = PLANS.pop(name)(spark, "")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hit_scores_do_not_shuffle_the_dense_grid(spark, tmp_path):
+    from pulsegrid.operators import evidence as ev
+
+    numbers = ["vocal_activity", "drum_activity", "bass_activity", "accompaniment_activity", "energy"]
+    bars = spark.range(8).select(
+        (F.col("id") % 2).alias("track"), F.floor(F.col("id") / 2).cast("int").alias("bar"), *[F.lit(0.5).alias(n) for n in numbers],
+        F.lit("peak").alias("role"), F.lit(False).alias("edge"), (F.col("id") < 4).alias("silent"),
+    )
+    # The first bars of both tracks are silent and move, the second ones are silent and do not.
+    points = bars.where("bar <> 1").select("track", "bar", F.lit(6).alias("tick"), F.lit(True).alias("onset"), F.lit(False).alias("hint"), *[F.lit(0.6).alias(n) for n in ev.CHANNELS])
+    ev.with_peaks(ev.evidence_grid(points, bars)).write.parquet(str(tmp_path / "peaks"))
+    peaks = spark.read.parquet(str(tmp_path / "peaks"))
+    assert {(r["bar"], r["_moving"]) for r in peaks.collect()} == {(0, True), (1, False), (2, True), (3, True)}
+    scored = ev.hit_scores(peaks, spark.createDataFrame([(0, 0.5), (1, 0.5)], "track long, transient_p75 double"))
+    assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["bar"] for r in scored.collect()} == {0, 2, 3}
