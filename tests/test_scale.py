@@ -47,3 +47,35 @@ def test_hit_scores_do_not_shuffle_the_dense_grid(spark, tmp_path):
     scored = ev.hit_scores(peaks, spark.createDataFrame([(0, 0.5), (1, 0.5)], "track long, transient_p75 double"))
     assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert {r["bar"] for r in scored.collect()} == {0, 2, 3}
+
+
+def test_peaks_of_a_grid_without_empty_ticks_are_those_of_the_whole_grid(spark):
+    from pulsegrid.operators import evidence as ev
+
+    numbers = ["vocal_activity", "drum_activity", "bass_activity", "accompaniment_activity", "energy"]
+    bars = spark.range(4).select(
+        (F.col("id") % 2).alias("track"), F.floor(F.col("id") / 2).cast("int").alias("bar"), *[F.lit(0.5).alias(n) for n in numbers],
+        F.lit("peak").alias("role"), F.lit(False).alias("edge"), F.lit(False).alias("silent"),
+    )
+    # Neighbours, ticks apart, ticks on and off the beat, a repeated and an outside tick; one bar has none.
+    ticks = [(0, 0, 5, 0.4), (0, 0, 6, 0.9), (0, 0, 8, 0.7), (0, 0, 8, 0.3), (0, 1, 12, 0.6), (0, 1, 13, 0.6), (1, 0, 47, 0.8), (1, 0, 48, 1.0), (1, 0, 45, 0.0)]
+    points = spark.createDataFrame(ticks, "track long, bar int, tick int, x double").select(
+        "track", "bar", "tick", (F.col("x") > 0.35).alias("onset"), F.lit(False).alias("hint"), *[F.col("x").alias(n) for n in ev.CHANNELS]
+    )
+    whole = ev.with_peaks(ev.evidence_grid(points, bars))
+    short = ev.with_peaks(ev.evidence_grid(points, bars, whole=False))
+    assert whole.columns == short.columns
+    held = {(r["track"], r["bar"], r["tick"]): r for r in short.collect()}
+    assert len(held) == 16 + 6 and short.count() == len(held)
+    for row in whole.collect():
+        place = (row["track"], row["bar"], row["tick"])
+        if place in held:
+            assert row == held[place]
+        else:
+            assert not (row["onset_peak"] or row["spectral_peak"] or row["beat"] or row["onset"])
+            assert row["margin"] == row["spectral"] == row["drum_raw"] == row["activity"] == 0.0
+    reference = spark.createDataFrame([(0, 0.5), (1, 0.5)], "track long, transient_p75 double")
+    found = [ev.hit_scores(p, reference) for p in (whole, short)]
+    assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
+    salience = [ev.bar_salience(p, h) for p, h in zip((whole, short), found, strict=True)]
+    assert sorted(map(str, salience[0].collect())) == sorted(map(str, salience[1].collect()))
