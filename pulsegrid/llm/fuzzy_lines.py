@@ -5,13 +5,13 @@ its distinct words. Nodes meet where their SimHashes agree in two of five blocks
 for three differing bits), and link if the edit similarity of their texts is high enough.
 Of each connected group the first occurrence stays, all others are removed.
 
-Every SimHash is held against the smallest one of its buckets first; a second pass holds what
-these links leave unconnected in a bucket against the rest of it. A group of copies or variants
-thus costs rows in proportion to its size.
+Every node is held against the first one of its SimHash and of its buckets; a second pass holds
+what these links leave unconnected in a bucket against the rest of it. A group of copies or
+variants thus costs rows in proportion to its size.
 
 Exact repeats are always found. Near lines are found in part: a pair is compared only if its
-SimHashes agree in two of the five blocks and differ in ``NEAR`` bits at most, and of lines
-with one SimHash only the first is compared with others. The README gives the recall.
+SimHashes agree in two of the five blocks and differ in ``NEAR`` bits at most; of these pairs
+none is left out. The README gives the recall.
 """
 
 from __future__ import annotations
@@ -166,12 +166,13 @@ def linked_nodes(spark: SparkSession, nodes: DataFrame, lines: DataFrame, docs:
     # Nodes of one SimHash against the first of them.
     shared = heads.where("nodes > 1").select("sig", "head")
     within = nodes.join(sent_if_small(shared), "sig").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    # The SimHashes of a bucket against the smallest; rows alone in their bucket end here.
-    order = Window.partitionBy("g").orderBy("sig")
-    keyed = heads.select("sig", "head", F.explode(_keys()).alias("g"))
-    keyed = keyed.select("g", "sig", "head", F.first("sig").over(order).alias("sig2"), F.first("head").over(order).alias("head2"), F.lead("sig").over(order).alias("next"))
-    met = written(spark, keyed.where("sig <> sig2 OR next IS NOT NULL").drop("next"), "buckets")
-    # A SimHash has a smallest one in each of its buckets; the least of those will do here.
+    # The nodes of a bucket against its first; rows alone in their bucket end here.
+    order = Window.partitionBy("g").orderBy("sig", "node")
+    keyed = nodes.select("sig", "node", F.explode(_keys()).alias("g"))
+    keyed = keyed.select("g", "sig", "node", F.first("sig").over(order).alias("sig2"), F.lead("sig").over(order).alias("next"))
+    met = keyed.where("sig <> sig2 OR next IS NOT NULL").select("g", "sig", F.col("node").alias("head"), "sig2")
+    met = written(spark, met, "buckets")
+    # A node has a smallest SimHash in each of its buckets; the least of those will do here.
     star = met.where((F.col("sig") != F.col("sig2")) & _near("sig", "sig2")).groupBy("sig", F.col("head").alias("a")).agg(F.min("sig2").alias("sig2"))
     star = star.join(heads.select(F.col("sig").alias("sig2"), F.col("head").alias("b")), "sig2").select("a", "b")
     first = written(spark, _verified(spark, within.union(star).distinct(), lines, docs, similar), "links")
@@ -185,7 +186,8 @@ def linked_nodes(spark: SparkSession, nodes: DataFrame, lines: DataFrame, docs:
     others = mixed.where("part <> main").select("g", F.col("sig").alias("sig2"), F.col("head").alias("head2"), F.col("part").alias("part2"))
     cross = mixed.join(others, "g").where((F.col("part") != F.col("part2")) & _near("sig", "sig2"))
     cross = cross.select(F.least("head", "head2").alias("a"), F.greatest("head", "head2").alias("b")).distinct()
-    tried = written(spark, star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    tried = within.union(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = written(spark, tried, "tried")
     second = written(spark, _verified(spark, cross.join(tried, ["a", "b"], "left_anti"), lines, docs, similar), "links")
     if second.isEmpty():
         return known

@@ -61,6 +61,17 @@ def test_near_lines_link_and_different_ones_do_not(spark):
     assert got == {1: [], 2: [1], 3: [], 4: [0]}
 
 
+def test_lines_of_one_simhash_are_all_compared(spark):
+    # The same distinct words give one SimHash; two orders of them are two groups of similar lines.
+    words = [f"token{n}" for n in range(40)]
+    there, back = " ".join(words), " ".join(reversed(words))
+    texts = [there, back, f"{there} token39", f"{back} token0", f"{there} token39 token39", f"{back} token0 token0"]
+    nodes = simhashes(docs(spark, texts).selectExpr("doc_id", "0 AS pos", "text AS norm")).select("sig").distinct()
+    assert nodes.count() == 1
+    got = {r["row"]["doc_id"]: r["removed"] for r in cleaned(spark, docs(spark, texts)).collect()}
+    assert got == {0: [], 1: [], 2: [0], 3: [0], 4: [0], 5: [0]}
+
+
 def test_a_large_group_of_variants_keeps_one(spark):
     base = [f"token{n}" for n in range(60)]
     texts = []
