@@ -5,9 +5,10 @@ its distinct words. Nodes meet where their SimHashes agree in two of five blocks
 for three differing bits), and link if the edit similarity of their texts is high enough.
 Of each connected group the first occurrence stays, all others are removed.
 
-Every node is held against the first one of its SimHash and of its buckets; a second pass holds
-what these links leave unconnected in a bucket against the rest of it. A group of copies or
-variants thus costs rows in proportion to its size.
+Nodes without a near SimHash in a bucket leave it. The others are held against the first node
+of their SimHash, the first of a bucket and the nearest one that follows them in a bucket; a
+second pass holds what these links leave unconnected in a bucket against the rest of it. A
+group of copies or variants thus costs rows in proportion to its size.
 
 Exact repeats are always found. Near lines are found in part: a pair is compared only if its
 SimHashes agree in two of the five blocks and differ in ``NEAR`` bits at most; of these pairs
@@ -16,7 +17,9 @@ none is left out. The README gives the recall.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ LEAST = 20
 SIMILAR = 0.8
 #: Beyond so many differing bits of 63 two nodes of a bucket are not verified.
 NEAR = 5
+#: Neighbours on each side, in the order of a bucket, that a node is held against before it leaves.
+SIDE = 8
 WIDTHS = (13, 13, 13, 12, 12)
 #: Bits of a counter, of which seven fit into a long; of the SimHash; words to a segment.
 LANE = 9
@@ -107,10 +112,33 @@ def _near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= NEAR
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """g, sig, head (a node), first and next (sig and node of the bucket's first row and of the
+    one that follows) of the nodes (node, sig) that have a near SimHash in bucket g.
+
+    A node leaves a bucket if no other one there is near it. That is known where all others are
+    among the ``SIDE`` rows before and behind it; in larger buckets a node stays.
+    """
+    order = Window.partitionBy("g").orderBy("sig", "node")
+    keyed = nodes.select("sig", "node", F.explode(_keys()).alias("g"))
+    row = F.struct("sig", "node")
+    keyed = keyed.select("g", "sig", F.col("node").alias("head"), F.first(row).over(order).alias("first"), F.lead(row).over(order).alias("next"))
+    met = keyed.where("head <> first.node OR next IS NOT NULL")
+    order = Window.partitionBy("g").orderBy("sig", "head")
+    around = [f("sig", n).over(order) for n in range(1, SIDE + 1) for f in (F.lag, F.lead)]
+    beyond = [f("sig", SIDE + 1).over(order).isNotNull() for f in (F.lag, F.lead)]
+    near = [F.coalesce(F.bit_count(F.col("sig").bitwiseXOR(other)) <= NEAR, F.lit(False)) for other in around]
+    met = met.withColumn("stays", reduce(or_, [*near, *beyond]))
+    return met.where("stays").drop("stays")
+
+
 def _verified(spark: SparkSession, pairs: DataFrame, lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have the edit similarity. Only the first line of
-    each of their nodes is read again from its document."""
-    pairs = written(spark, pairs, "line-pairs")
+    """The pairs (a, b) of nodes, a written table, whose texts have the edit similarity. Only the
+    first line of each of their nodes is read again from its document."""
     asked = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     places = lines.join(sent_if_small(asked), "node").groupBy("node").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     places = written(spark, places.select("node", "at.doc_id", "at.pos"), "places")
@@ -162,20 +190,18 @@ def _shared(a: Column, b: Column) -> Column:
 def linked_nodes(spark: SparkSession, nodes: DataFrame, lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     """node, component of the nodes (node, sig) that link to others; ``lines`` has their places."""
     heads = nodes.groupBy("sig").agg(F.min("node").alias("head"), F.count("*").alias("nodes"))
-    heads = written(spark, heads, "simhashes")
     # Nodes of one SimHash against the first of them.
-    shared = heads.where("nodes > 1").select("sig", "head")
+    shared = written(spark, heads.where("nodes > 1").select("sig", "head"), "simhashes")
     within = nodes.join(sent_if_small(shared), "sig").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    # The nodes of a bucket against its first; rows alone in their bucket end here.
-    order = Window.partitionBy("g").orderBy("sig", "node")
-    keyed = nodes.select("sig", "node", F.explode(_keys()).alias("g"))
-    keyed = keyed.select("g", "sig", "node", F.first("sig").over(order).alias("sig2"), F.lead("sig").over(order).alias("next"))
-    met = keyed.where("sig <> sig2 OR next IS NOT NULL").select("g", "sig", F.col("node").alias("head"), "sig2")
-    met = written(spark, met, "buckets")
-    # A node has a smallest SimHash in each of its buckets; the least of those will do here.
-    star = met.where((F.col("sig") != F.col("sig2")) & _near("sig", "sig2")).groupBy("sig", F.col("head").alias("a")).agg(F.min("sig2").alias("sig2"))
-    star = star.join(heads.select(F.col("sig").alias("sig2"), F.col("head").alias("b")), "sig2").select("a", "b")
-    first = written(spark, _verified(spark, within.union(star).distinct(), lines, docs, similar), "links")
+    met = written(spark, buckets(nodes), "buckets")
+    # A node has a first row in each of its buckets; the least of those that are near will do
+    # here. Of the rows that follow it, the nearest will.
+    apart = F.bit_count(F.col("sig").bitwiseXOR(F.col("next.sig")))
+    star = met.where((F.col("head") != F.col("first.node")) & _near("sig", "first.sig")).groupBy(F.col("head").alias("a")).agg(F.min("first").alias("to"))
+    chain = met.where(apart <= NEAR).groupBy(F.col("head").alias("a")).agg(F.min(F.struct(apart, "next.node")).alias("to"))
+    tried = within.union(star.select("a", "to.node")).union(chain.select("a", "to.node"))
+    tried = written(spark, _pairs(tried), "tried")
+    first = written(spark, _verified(spark, tried, lines, docs, similar), "links")
     known = written(spark, components(spark, first), "line-groups")
     # What is still apart within a bucket, against the bucket's other components.
     placed = met.join(sent_if_small(known.withColumnRenamed("node", "head")), "head", "left")
@@ -185,10 +211,9 @@ def linked_nodes(spark: SparkSession, nodes: DataFrame, lines: DataFrame, docs:
     mixed = placed.join(main.select("g", "main"), "g")
     others = mixed.where("part <> main").select("g", F.col("sig").alias("sig2"), F.col("head").alias("head2"), F.col("part").alias("part2"))
     cross = mixed.join(others, "g").where((F.col("part") != F.col("part2")) & _near("sig", "sig2"))
-    cross = cross.select(F.least("head", "head2").alias("a"), F.greatest("head", "head2").alias("b")).distinct()
-    tried = within.union(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = written(spark, tried, "tried")
-    second = written(spark, _verified(spark, cross.join(tried, ["a", "b"], "left_anti"), lines, docs, similar), "links")
+    cross = _pairs(cross.select(F.col("head").alias("a"), F.col("head2").alias("b")))
+    cross = written(spark, cross.join(tried, ["a", "b"], "left_anti"), "line-pairs")
+    second = written(spark, _verified(spark, cross, lines, docs, similar), "links")
     if second.isEmpty():
         return known
     return components(spark, known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))

@@ -3,7 +3,7 @@ import re
 from helpers import docs, given, long_text
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.fuzzy_lines import cleaned, simhashes, without_repeats
+from pulsegrid.llm.fuzzy_lines import NEAR, buckets, cleaned, simhashes, without_repeats
 
 
 def plain_norm(line):
@@ -72,6 +72,37 @@ def test_lines_of_one_simhash_are_all_compared(spark):
     assert got == {0: [], 1: [], 2: [0], 3: [0], 4: [0], 5: [0]}
 
 
+def test_the_last_node_of_a_simhash_is_compared(spark):
+    # Three nodes of one SimHash; the two similar ones both differ from the first.
+    words = [f"token{n}" for n in range(40)]
+    there, back = " ".join(words), " ".join(reversed(words))
+    rows = spark.createDataFrame([(f"{t} token{n}",) for t in (there, back) for n in range(10)], "x string")
+    found = {r["x"]: r["h"] for r in rows.selectExpr("x", "xxhash64(x) AS h").collect()}
+    for one, two in ((there, back), (back, there)):
+        behind = [x for x in found if x.startswith(two)]
+        first = min((x for x in found if x.startswith(one)), key=found.get)
+        behind = [x for x in behind if found[x] > found[first]]
+        if len(behind) >= 2:
+            break
+    texts = [first, *behind[:2]]
+    got = {r["row"]["doc_id"]: r["removed"] for r in cleaned(spark, docs(spark, texts)).collect()}
+    assert got == {0: [], 1: [], 2: [0]}
+
+
+def test_nodes_without_a_near_one_leave_their_bucket(spark):
+    # Bits 0 to 25 are equal, so all meet in one bucket; of the rest a few nodes have near ones.
+    def table(n):
+        sigs = [k * 0x9E3779B97F4A7C15 % (1 << 37) << 26 for k in range(1, n + 1)]
+        sigs += [sigs[0] ^ 1 << 62, sigs[1] ^ 7 << 40]
+        return spark.createDataFrame(list(enumerate(sigs)), "node long, sig long")
+
+    for n in (3, 5, 40):
+        rows = {r["node"]: r["sig"] for r in table(n).collect()}
+        near = {a for a, x in rows.items() for b, y in rows.items() if a != b and (x ^ y).bit_count() <= NEAR}
+        kept = {r["head"] for r in buckets(table(n)).where("g = 0").collect()}
+        assert kept == near if n < 8 else kept == set(rows)
+
+
 def test_a_large_group_of_variants_keeps_one(spark):
     base = [f"token{n}" for n in range(60)]
     texts = []
