@@ -3,7 +3,7 @@ import re
 from helpers import docs, given, long_text
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.fuzzy_lines import NEAR, buckets, cleaned, simhashes, without_repeats
+from pulsegrid.llm.fuzzy_lines import NEAR, SIGNS, buckets, cleaned, simhashes, without_repeats, word_bound
 
 
 def plain_norm(line):
@@ -29,6 +29,30 @@ def test_simhash_is_the_majority_of_bits(spark):
     assert sorted(r["pos"] for r in got) == list(range(11))
 
 
+def test_simhashes_group_and_shuffle_nothing(spark):
+    rows = spark.createDataFrame([(1, 0, "one two three")], "doc_id long, pos int, norm string")
+    plan = simhashes(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_words_bound_the_edit_distance(spark):
+    words = [f"word{n}" for n in range(60)]
+    line = " ".join(words)
+    pairs = [
+        # Words that go at one place and come at another shift all between them.
+        (line, " ".join([*words[1:50], "more", "of", "them", *words[50:]])),
+        (line, " ".join(["first", *words[:30], "ward30", *words[32:]])),
+        (line, " ".join(reversed(words))),
+        ("", "a"), ("a", "a b"), ("a a a", "b"), ("x  y", "x y"), ("\u4e00 b", "b \u4e00\u4e00"),
+    ]
+    many = " ".join(f"w{n}" for n in range(len(SIGNS) + 1))
+    table = spark.createDataFrame([*pairs, (many, "w1")], "l string, r string")
+    got = {(x["l"], x["r"]): x["n"] for x in table.select("l", "r", word_bound(F.col("l"), F.col("r")).alias("n")).collect()}
+    assert got.pop((many, "w1")) is None
+    assert all(edit_distance(*pair) <= n for pair, n in got.items())
+    assert all(got[pair] <= 0.2 * len(line) for pair in pairs[:2])
+
+
 def test_exact_repeats_of_the_given_documents(spark):
     rows = given("documents", "doc_id, text")
     made = {r["row"]["doc_id"]: r for r in cleaned(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
