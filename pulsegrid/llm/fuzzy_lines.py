@@ -35,13 +35,15 @@ NEAR = 5
 #: Neighbours on each side, in the order of a bucket, that a node is held against before it leaves.
 SIDE = 8
 WIDTHS = (13, 13, 13, 12, 12)
-#: Bits of a counter, of which seven fit into a long; of the SimHash; words that a counter holds.
+#: Bits of a counter, of which seven fit into a long; of the SimHash; words to a segment.
 LANE = 9
 BITS = 63
 ONES = sum(1 << LANE * j for j in range(BITS // LANE))
-MOST_WORDS = (1 << LANE - 1) - 1
+SEGMENT = (1 << LANE - 1) - 1
 #: Characters that stand for the words of a pair of texts.
 SIGNS = "".join(map(chr, range(0x100, 0x800)))
+#: More differing words than these are left to the exact distance.
+WORD_STEPS = 64
 
 
 def normalised(line: Column) -> Column:
@@ -76,22 +78,25 @@ def simhashes(lines: DataFrame) -> DataFrame:
     has the bits that are set in over half of the hashes of its distinct words. Counting a
     word once keeps long lines of one language, which repeat the same few words, apart.
 
-    A line's words are added up where the line is, seven counters to a long, so that nothing
-    is grouped or shuffled; lines of more words than a counter holds have each bit counted.
+    Words are added up by hash aggregation, seven counters to a long; a line is cut into
+    segments of as many words as a counter holds, and only lines of more than one segment
+    have their counters unpacked and added up again.
     """
-    hashes = F.transform(F.array_distinct(F.split("norm", " ")), lambda word: F.xxhash64(word))
-    rows = lines.select("doc_id", "pos", F.xxhash64("norm").alias("node"), hashes.alias("h"))
-
-    def added(value: Callable[[Column], Column]) -> Column:
-        return F.aggregate("h", F.lit(0).cast("long"), lambda count, h: count + value(h))
-
-    packed = [added(lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ONES))) for k in range(LANE)]
+    line = ["u", "doc_id", "pos", "node"]
+    rows = lines.select(F.monotonically_increasing_id().alias("u"), "doc_id", "pos", F.xxhash64("norm").alias("node"), "norm")
+    rows = rows.select(*line, F.posexplode(F.array_distinct(F.split("norm", " "))).alias("i", "word"))
+    rows = rows.select(*line, F.floor(F.col("i") / SEGMENT).alias("seg"), F.xxhash64("word").alias("h"))
+    packed = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(ONES))).alias(f"c{k}") for k in range(LANE)]
+    added = rows.groupBy(*line, "seg").agg(F.count(F.lit(1)).cast("int").alias("words"), *packed)
+    # The first segment, if it is not full, is the line's only one.
+    single = F.col("seg") * SEGMENT + F.col("words") < SEGMENT
+    short = added.where(single).select(*line[1:], _majority([F.col(f"c{k}") for k in range(LANE)], F.col("words")).alias("sig"))
+    counters = [F.sum(F.shiftrightunsigned(f"c{b % LANE}", b // LANE * LANE).bitwiseAND(F.lit((1 << LANE) - 1))).alias(f"b{b}") for b in range(BITS)]
+    long = added.where(~single).groupBy(*line).agg(F.sum("words").alias("words"), *counters)
     bits = F.lit(0).cast("long")
     for b in range(BITS):
-        count = added(lambda h, b=b: F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long")))
-        bits = bits.bitwiseOR(F.when(2 * count > F.size("h"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
-    sig = F.when(F.size("h") <= MOST_WORDS, _majority(packed, F.size("h"))).otherwise(bits)
-    return rows.select("doc_id", "pos", "node", sig.alias("sig"))
+        bits = bits.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("words"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
+    return short.union(long.select(*line[1:], bits.alias("sig")))
 
 
 def _keys() -> Column:
@@ -186,7 +191,8 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
 def word_bound(left: Column, right: Column) -> Column:
     """No less than the edit distance of two texts: the words of either that are replaced, left out
     or put in by an alignment of their words cost no more than as many of the longest words,
-    and a space each. Null if the texts have more words than ``SIGNS`` has characters.
+    and a space each. Null if the texts have more words than ``SIGNS`` has characters, or
+    more of them differ than ``WORD_STEPS``.
 
     Every word becomes one character, so that far fewer cells are filled than by the texts.
     """
@@ -198,10 +204,10 @@ def word_bound(left: Column, right: Column) -> Column:
     lengths = F.sort_array(F.transform(F.concat(*words), lambda word: F.length(word)), asc=False)
 
     def cost(steps: Column) -> Column:
-        return F.aggregate(F.slice(lengths, F.lit(1), steps), steps, lambda total, length: total + length)
+        return F.when(steps >= 0, F.aggregate(F.slice(lengths, F.lit(1), steps), steps, lambda total, length: total + length))
 
     def bound(known: Column) -> Column:
-        steps = F.levenshtein(signs(words[0], known), signs(words[1], known))
+        steps = F.levenshtein(signs(words[0], known), signs(words[1], known), WORD_STEPS)
         return F.when(F.size(known) <= len(SIGNS), _with(steps, cost))
 
     return _with(F.array_union(*words), bound)
