@@ -79,3 +79,63 @@ def test_peaks_of_a_grid_without_empty_ticks_are_those_of_the_whole_grid(spark):
     assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
     salience = [ev.bar_salience(p, h) for p, h in zip((whole, short), found, strict=True)]
     assert sorted(map(str, salience[0].collect())) == sorted(map(str, salience[1].collect()))
+
+
+def test_density_coverage_takes_notes_to_the_kinds_in_reach_only(spark, monkeypatch):
+    import random
+
+    from pulsegrid.operators import quality
+
+    draw = random.Random(5)
+    kinds = ("silent", "rest", "sparse", "normal")
+    # Kinds change every 40; a tie, both ends of the tolerance and a track without candidates.
+    found = [(1, kinds[1 + int(t // 40) % 3], t) for t in sorted(draw.sample(range(400), 90))] + [(2, "rest", 7.0), (2, "sparse", 9.0), (2, "rest", 64.0)]
+    notes = [(1, float(t) / 2) for t in draw.sample(range(-4, 800), 160)] + [(2, 8.0), (2, 8.0), (2, 63.0), (2, 65.0), (3, 1.0)]
+
+    def walked(track, kind):
+        refs = sorted(t for k, n, t in found if (k, n) == (track, kind))
+        ests = sorted(t for k, t in notes if k == track and t >= 0)
+        i = j = hits = 0
+        while i < len(refs) and j < len(ests):
+            if abs(ests[j] - refs[i]) <= 1.0:
+                i, j, hits = i + 1, j + 1, hits + 1
+            elif ests[j] < refs[i]:
+                j += 1
+            else:
+                i += 1
+        return hits, len(refs)
+
+    seen = []
+    whole = quality.match_one_to_one
+
+    def watched(references, estimates, *more, **named):
+        seen.append(estimates.count())
+        return whole(references, estimates, *more, **named)
+
+    monkeypatch.setattr(quality, "match_one_to_one", watched)
+    made = quality.density_coverage(
+        spark.createDataFrame([(k, n, float(t)) for k, n, t in found], "track long, kind string, t double"),
+        spark.createDataFrame(notes, "track long, t double"), ["track"], kinds, 1.0, 96.0,
+    )
+    got = {(r.track, r.kind): (r.responded_count, r.evaluated_count) for r in made.collect()}
+    assert got == {(t, k): walked(t, k) for t in (1, 2, 3) for k in kinds}
+    assert got[(2, "rest")] == (2, 2) and got[(2, "sparse")] == (1, 1)
+    assert seen and max(seen) < 2 * len(notes)
+
+
+def test_tables_staged_by_bar_are_not_shuffled_by_bar_again(spark, tmp_path):
+    from pyspark.sql import Window
+
+    from pulsegrid.plans.stages import buckets, stage
+
+    assert buckets(spark, 0) == buckets(spark, 100) == spark.sparkContext.defaultParallelism
+    assert buckets(spark, 250_000 * 99 + 1) == 100
+    rows = spark.range(3000).select((F.col("id") % 7).alias("track"), (F.col("id") % 11).alias("bar"), "id").withColumn("bar", F.when(F.col("bar") < 10, F.col("bar")))
+    made = [stage(spark, str(tmp_path), f"probe-{n}", lambda: rows.repartition(6, "track", "bar"), ("track", "bar"), 6) for n in "ab"]
+    assert made[0].exceptAll(rows).count() == 0 == rows.exceptAll(made[0]).count()
+    first = made[0].withColumn("n", F.row_number().over(Window.partitionBy("track", "bar").orderBy("id"))).filter("n = 1")
+    sums = made[1].groupBy("track", "bar").agg(F.max("id").alias("last"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    met = first.join(sums, ["track", "bar"])
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 70
