@@ -139,3 +139,23 @@ def test_tables_staged_by_bar_are_not_shuffled_by_bar_again(spark, tmp_path):
     met = first.join(sums, ["track", "bar"])
     assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
     assert met.count() == 70
+
+
+def test_candidates_are_picked_per_bar_without_a_shuffle(spark, tmp_path):
+    from pulsegrid.operators import evidence as ev
+    from pulsegrid.plans.evidence import ranked, scored
+    from pulsegrid.plans.registry import measured_broadcasts
+
+    n = F.col("id")
+    spark.range(400).select(
+        F.when(n % 50 > 0, n % 3).alias("l_suppkey"), (n % 50 + 1).cast("decimal(15,2)").alias("l_quantity"), ((n % 11) / 100).alias("l_discount"), ((n % 9) / 100).alias("l_tax"),
+        F.element_at(F.array(F.lit("A"), F.lit("R"), F.lit("N")), (n % 3 + 1).cast("int")).alias("l_returnflag"), F.when(n % 2 == 0, "O").otherwise("F").alias("l_linestatus"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (n * 37 % 300).cast("int")).alias("l_shipdate"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    measured_broadcasts(spark)
+    picked = ev.quota_topk(ranked(spark, str(tmp_path)), size=8, arbitrary=1)
+    assert "Exchange" not in picked._jdf.queryExecution().executedPlan().toString()
+    best = {(r.track, r.bar): r.n for r in picked.groupBy("track", "bar").agg(F.count("tick").alias("n")).collect()}
+    assert best and max(best.values()) == 8 and {t for t, _ in best} <= {0, 1, 2}
+    points = scored(spark, str(tmp_path))[1]
+    assert not {"section_id", "onset_count", "margin", "energy"} & set(points.columns)
